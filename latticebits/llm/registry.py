@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from latticebits.llm import decontaminate
+from latticebits.llm.decontaminate import op6_decontamination
 from latticebits.llm.packing import op5_packing
+from latticebits.llm.sharding import op4_sharding
 from latticebits.llm.token_output import op8_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_packing, op8_token_output)}
+    return {f.__name__: f for f in (op4_sharding, op5_packing, op6_decontamination, op8_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": decontaminate.ORACLE_SQL}
