@@ -104,7 +104,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, tiers: tuple[int
         raise ValueError("tiers must be rising powers of two, step_tokens a multiple of the longest")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(tokenizer_path)
+        encoder = tokens.encoder(tokenizer_path)
         high = TaskContext.get().partitionId() << 33
         sequence, group = high, high
         doc_ids: list[int | None] = []
@@ -129,9 +129,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, tiers: tuple[int
 
         size = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                piece = batch.slice(lo, 64)
-                got = encoder.encode(piece.column(1).to_pylist())
+            for lo in range(0, batch.num_rows, 1024):
+                piece = batch.slice(lo, 1024)
+                got = encoder.encode(piece.column(1))
                 doc_ids.extend(piece.column(0).to_pylist())
                 coded.extend(got)
                 size += sum(map(len, got)) // 4

@@ -34,7 +34,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, *,
     tokenizer_path = tokenizer_path or tokens.default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(tokenizer_path, end_id)
+        encoder = tokens.encoder(tokenizer_path, end_id)
         part, seg, begun = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
         coded: list[bytes] = []
@@ -53,9 +53,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, *,
             return row
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                piece = batch.slice(lo, 64)
-                for doc_id, got in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist())):
+            for lo in range(0, batch.num_rows, 1024):
+                piece = batch.slice(lo, 1024)
+                for doc_id, got in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1))):
                     ids.append(doc_id)
                     coded.append(got)
                     size += len(got) // 4
