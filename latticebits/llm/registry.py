@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from latticebits.llm import decontaminate, topk
 from latticebits.llm.decontaminate import op6_decontamination
 from latticebits.llm.language import op1_language
+from latticebits.llm.minhash import op10_near_duplicates
 from latticebits.llm.packing import op5_packing
 from latticebits.llm.pii import op7_pii
 from latticebits.llm.sharding import op4_sharding
@@ -17,7 +18,7 @@ from latticebits.llm.topk import op2_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_topk, op4_sharding, op5_packing, op6_decontamination, op7_pii, op8_token_output)}
+    return {f.__name__: f for f in (op1_language, op2_topk, op4_sharding, op5_packing, op6_decontamination, op7_pii, op8_token_output, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
