@@ -54,13 +54,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     windows = shared.written(item_windows(benchmark, size).coalesce(1), "benchmark-windows")
     lengths = sorted((r[0] for r in windows.select("len").distinct().collect()), reverse=True)  # at most `size` values
     base = shared.columns(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_id"), "doc_id", words(F.col("text")).alias("ws"))
-    base = base.select("row_id", "doc_id", "ws", F.size("ws").alias("n_words"), word_hashes(F.col("ws")).alias("hs"))
+    base = base.select("row_id", "doc_id", "ws", F.size("ws").alias("n_words"))
     n = F.col("n_words")
-    # the windows of each length, one length after another, and a last entry that keeps every document
-    every = F.concat(*[window_hashes(F.col("hs"), n, k) for k in lengths], F.array(F.lit(None).cast("long")))
+    # the windows of each length, one length after another, and a last entry that keeps every document (so the outer
+    # form drops nothing, and no filter on the size of the array is made, which would compute it twice); the lambda
+    # binds the word hashes, which the optimiser would else compute anew for each window
+    every = F.transform(F.array(word_hashes(F.col("ws"))), lambda hs: F.concat(*[window_hashes(hs, n, k) for k in lengths], F.array(F.lit(None).cast("long"))))[0]
     counts = {k: F.greatest(n - (k - 1), F.lit(0)) for k in lengths}
     total = sum(counts.values(), F.lit(0))
-    entries = base.select("row_id", "doc_id", "ws", "n_words", every.alias("every")).select("row_id", "doc_id", "ws", "n_words", F.posexplode("every").alias("pos", "h"))
+    entries = base.select("row_id", "doc_id", "ws", "n_words", every.alias("every")).select("row_id", "doc_id", "ws", "n_words", F.posexplode_outer("every").alias("pos", "h"))
     small = shared.rows_of(windows) <= MAX_BROADCAST
     met = entries.join(F.broadcast(windows) if small else windows, F.col("h") == F.col("hash"), "left")
     met = met.where(F.col("hash").isNotNull() | (F.col("pos") == total))

@@ -13,13 +13,14 @@ from latticebits.llm.minhash import op10_near_duplicates
 from latticebits.llm.packing import op5_packing
 from latticebits.llm.pii import op7_pii
 from latticebits.llm.sharding import op4_sharding
+from latticebits.llm.suffixes import op3_suffix_dedup
 from latticebits.llm.token_output import op8_token_output
 from latticebits.llm.topk import op2_topk
 from latticebits.llm.windows import op9_window_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_topk, op4_sharding, op5_packing, op6_decontamination, op7_pii, op8_token_output, op9_window_dedup, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_language, op2_topk, op3_suffix_dedup, op4_sharding, op5_packing, op6_decontamination, op7_pii, op8_token_output, op9_window_dedup, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
