@@ -232,14 +232,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document, of the least doc_id, of each class."""
-    numbered = shared.written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-documents")
-    signatures = shared.written(sign(numbered, "doc_id", "_row"), "near-signatures")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = shared.written(docs.withColumn(row, F.monotonically_increasing_id()), "near-documents")
+    signatures = shared.written(sign(numbered, "doc_id", row).withColumnRenamed(row, "row"), "near-signatures")
     found = classes(numbered, signatures, similarity)
-    placed = signatures.select("doc_id", "_row", "h1", "h2").join(found, ["h1", "h2"], "left")
-    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "_row")
-    best = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(order).alias("best")).select(F.col("best._row").alias("_row"))
-    keep = best.union(placed.where(F.col("comp").isNull()).select("_row"))
-    return numbered.join(keep, "_row", "left_semi").select(*docs.columns)
+    placed = signatures.select("doc_id", "row", "h1", "h2").join(found, ["h1", "h2"], "left")
+    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row")
+    best = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(order).alias("best")).select(F.col("best.row").alias(row))
+    keep = best.union(placed.where(F.col("comp").isNull()).select("row"))
+    return numbered.join(keep, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

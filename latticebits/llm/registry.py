@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from latticebits.llm import decontaminate, topk
 from latticebits.llm.decontaminate import op6_decontamination
 from latticebits.llm.language import op1_language
@@ -20,7 +21,7 @@ from latticebits.llm.windows import op9_window_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_topk, op3_suffix_dedup, op4_sharding, op5_packing, op6_decontamination, op7_pii, op8_token_output, op9_window_dedup, op10_near_duplicates)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language, op2_topk, op3_suffix_dedup, op4_sharding, op5_packing, op6_decontamination, op7_pii, op8_token_output, op9_window_dedup, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
