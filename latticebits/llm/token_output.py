@@ -65,7 +65,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, *,
             yield segment()
 
     rows = shared.columns(docs, "doc_id", "text")
-    ordered = rows.repartitionByRange(shared.null_first("doc_id"), shared.null_first("text")).sortWithinPartitions(shared.null_first("doc_id"), shared.null_first("text"))
+    ordered = rows.repartitionByRange(shared.null_first("doc_id")).sortWithinPartitions(shared.null_first("doc_id"), shared.null_first("text"))
     ordered.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
