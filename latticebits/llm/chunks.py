@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticebits.llm import shared
+from latticebits.llm import memory, shared
 
-CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 16384
-BUCKET_BYTES, MIN_BUCKETS = 16 << 20, 64
+CHUNK_BYTES, CHUNK_DOCS = 2 << 20, 16384
+BUCKET_BYTES, MIN_BUCKETS = 8 << 20, 64
 #: Stands for a null doc_id in comparisons: later than every other.
 LAST = 2**63 - 1
 SCHEMA = "chunk long, n_bytes long, ids array<long>, ends array<long>, data binary"
@@ -82,6 +82,7 @@ class Corpus:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in _chunks(batches):
                 yield from f(chunk)
+                memory.release()
 
         return self.spark.read.schema(SCHEMA).parquet(self.path).mapInArrow(run, schema)
 
@@ -95,6 +96,7 @@ class Corpus:
 
         def answered(group: pa.Table) -> pa.Table:
             replies = answer(group.column("packed").to_pylist())
+            memory.release()
             chunk = group.column("chunk")
             part = pa.array((chunk.to_numpy() >> 32).astype(np.int32))
             return pa.table({"part": part, "chunk": chunk, "bucket": group.column("bucket"), "packed": pa.array(replies, pa.binary())})

@@ -40,26 +40,45 @@ def default_tokenizer() -> str:
 class Fingerprints:
     """Two 64-bit polynomial hashes of byte strings, all strings of a buffer at once."""
 
+    #: Strings are hashed by groups that begin within so many bytes, so powers are kept for little more than that.
+    GROUP = 1 << 18
+
     def __init__(self, seed: int = 7):
         draw = np.random.default_rng(seed)
         self.values = [draw.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
-        self.bases = [int(x) * 8 + 5 for x in draw.integers(1 << 40, 1 << 60, 2)]
-        self.powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in range(2)]
+        self.bases = [(int(x) * 8 + 5) & (2**64 - 1) for x in draw.integers(1 << 40, 1 << 60, 2)]
+        self._powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in range(2)]
+
+    def powers(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers 0 to n at least of base k and of its inverse modulo 2**64."""
+        if len(self._powers[k][0]) <= n:
+            self._powers[k] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + n // 4 + 1, x, dtype=np.uint64))]) for x in (self.bases[k], pow(self.bases[k], -1, 1 << 64)))
+        return self._powers[k]
 
     def __call__(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for k in range(2):
-            if len(self.powers[k][0]) <= len(data):
-                n, base = 2 * len(data) + 1, self.bases[k] & (2**64 - 1)
-                self.powers[k] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x, dtype=np.uint64))]) for x in (base, pow(base, -1, 1 << 64)))
-            up, down = self.powers[k]
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(self.values[k][data] * up[: len(data)], out=sums[1:])
-            h = (sums[ends] - sums[begins]) * down[begins]
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            out.append(np.maximum(h, np.uint64(1)))
+        if len(begins) and (np.diff(begins) < 0).any():
+            by = np.argsort(begins, kind="stable")
+            out = [np.empty(len(begins), np.uint64) for _ in range(2)]
+            for h, sorted_h in zip(out, self(data, begins[by], ends[by])):
+                h[by] = sorted_h
+            return out
+        out = [np.empty(len(begins), np.uint64) for _ in range(2)]
+        cut = np.searchsorted(begins, np.arange(0, len(data) + self.GROUP, self.GROUP))
+        cut[-1] = len(begins)
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if i == j:
+                continue
+            low = int(begins[i])
+            part = data[low : int(ends[i:j].max())]
+            for k in range(2):
+                up, down = self.powers(k, len(part) + 1)
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(self.values[k][part] * up[: len(part)], out=sums[1:])
+                h = (sums[ends[i:j] - low] - sums[begins[i:j] - low]) * down[begins[i:j] - low]
+                h ^= h >> np.uint64(32)
+                h *= np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+                out[k][i:j] = np.maximum(h, np.uint64(1))
         return out
 
 

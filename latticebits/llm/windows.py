@@ -52,8 +52,8 @@ class _Windows:
         self.start = (self.at - (np.cumsum(self.n_words) - self.n_words)[self.doc[self.at]]).astype(np.uint32)
 
     def _sum(self, h: np.ndarray, size: int, k: int, prints: Fingerprints) -> np.ndarray:
-        up, down = prints.powers[k]
         n = len(h)
+        up, down = prints.powers(k, n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(h * up[:n], out=sums[1:])
         out = (sums[self.at + size] - sums[self.at]) * down[self.at]
