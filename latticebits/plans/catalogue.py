@@ -1,10 +1,448 @@
-"""The registered queries of the graph operators and their oracle SQL."""
+"""The registered queries of the graph operators and their oracle SQL. Queries run over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from latticebits.functions import columns as c
+from latticebits.operators import bridge, degree, digest, distortion, evaluate, graph, logistic, models, nested_cv, profile, splits, synthetic, validate
+from latticebits.plans import binding as b
+from latticebits.plans.binding import table
+from latticebits.sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+EDGES = f"(SELECT quantile_cont(distance, [{', '.join(f'CAST({i / 12!r} AS DOUBLE)' for i in range(1, 12))}]) FROM tr)"
+
+
+def query(oracle: str | None = None, *, bound: bool = True):
+    """Register a query under its function's name; `bound` puts the domain relations before the oracle."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = f"WITH {b.SQL} {oracle}" if bound else oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(n, digits).alias(n) if n in names else n for n in df.columns])
+
+
+# ---- relations
+
+
+@query("SELECT source, target, round(distance, 6) AS distance FROM cand")
+def candidate_pairs(spark, d):
+    return rounded(graph.candidate_pairs(b.nodes(spark, d)).select("source", "target", "distance"), "distance")
+
+
+@query("SELECT pre, post, synapse_count FROM cnt")
+def pair_counts(spark, d):
+    return b.counts(spark, d)
+
+
+@query("SELECT pre, post, synapse_count FROM cnt")
+def pair_counts_partial_final(spark, d):
+    ev = b.events(spark, d).where("pre <> post").withColumn("part", F.pmod(F.xxhash64("pre", "post", F.lit(1)), F.lit(3)))
+    return graph.merged_counts(*[graph.pair_counts(ev.where(F.col("part") == k)) for k in range(3)])
+
+
+@query("SELECT source, target, synapse_count, connected FROM pairs")
+def labelled_pairs(spark, d):
+    return b.pairs(spark, d).select("source", "target", "synapse_count", "connected")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n = 1", bound=False)
+def unique_nodes(spark, d):
+    return graph.unique_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1", bound=False)
+def dedupe_first(spark, d):
+    return graph.first_rows(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderkey"])
+
+
+@query("SELECT id, type FROM nodes WHERE id IN (SELECT pre FROM ev WHERE pre <> post UNION SELECT post FROM ev WHERE pre <> post)")
+def endpoint_semi_join(spark, d):
+    return graph.nodes_with_events(b.nodes(spark, d), b.events(spark, d).where("pre <> post")).select("id", "type")
+
+
+@query("SELECT id, type FROM nodes WHERE id IN (SELECT pre FROM ev WHERE pre <> post UNION SELECT post FROM ev WHERE pre <> post) ORDER BY id LIMIT 100")
+def first_nodes(spark, d):
+    return graph.nodes_with_events(b.nodes(spark, d), b.events(spark, d).where("pre <> post"), 100).select("id", "type")
+
+
+@query("SELECT pre, post, count(*) AS n FROM ev WHERE pre IN (SELECT id FROM nodes WHERE type < '5') AND post IN (SELECT id FROM nodes WHERE type < '5') GROUP BY pre, post")
+def event_double_semi(spark, d):
+    return graph.events_between(b.events(spark, d), b.nodes(spark, d).where("type < '5'")).groupBy("pre", "post").agg(F.count("*").alias("n"))
+
+
+@query("SELECT pre, post, synapse_count FROM cnt WHERE pre NOT IN (SELECT id FROM nodes WHERE type < '5') OR post NOT IN (SELECT id FROM nodes WHERE type < '5')")
+def orphan_pairs(spark, d):
+    return validate.orphan_pairs(b.counts(spark, d), b.nodes(spark, d).where("type < '5'"))
+
+
+# ---- cleaning
+
+
+@query("SELECT l_linenumber, l_linestatus, count(*) AS n, coalesce(lower(trim(CAST(l_linenumber AS VARCHAR))) IN ('t', 'true', '1', 'yes'), false) AS status FROM lineitem GROUP BY ALL", bound=False)
+def status_filter(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_linenumber", "l_linestatus").agg(F.count("*").alias("n")).withColumn("status", c.status_true(F.col("l_linenumber")))
+
+
+@query(
+    """SELECT p_partkey, TRY_CAST(s AS BIGINT) AS whole, CAST(CASE WHEN t LIKE '%.5' THEN NULL ELSE p_partkey END AS BIGINT) AS integral, TRY_CAST(p_brand AS BIGINT) AS bad, CAST(p_size AS DOUBLE) AS number
+       FROM (SELECT *, ' ' || CAST(p_partkey + 864691135771728000 AS VARCHAR) || ' ' AS s, CAST(p_partkey AS VARCHAR) || CASE WHEN p_partkey % 3 = 0 THEN '.5' ELSE '.0' END AS t FROM part)""",
+    bound=False,
+)
+def numeric_coerce(spark, d):
+    s = F.concat(F.lit(" "), (F.col("p_partkey") + 864691135771728000).cast("string"), F.lit(" "))
+    t = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, ".5").otherwise(".0"))
+    return table(spark, d, "part").select("p_partkey", c.coerced_id(s).alias("whole"), c.coerced_id(t).alias("integral"), c.coerced_id(F.col("p_brand")).alias("bad"), c.coerced_double(F.col("p_size").cast("string")).alias("number"))
+
+
+_RAW = "CASE c_nationkey % 6 WHEN 0 THEN 'e' WHEN 1 THEN ' I ' WHEN 2 THEN 'G' WHEN 3 THEN '  ' WHEN 4 THEN NULL ELSE c_mktsegment END"
+
+
+@query(f"SELECT c_custkey, CASE WHEN t = 'e' THEN 'excitatory' WHEN t = 'i' THEN 'inhibitory' WHEN t = 'g' THEN 'glia' WHEN t = '' THEN 'unknown' ELSE t END AS type FROM (SELECT c_custkey, lower(trim(coalesce({_RAW}, 'unknown'))) AS t FROM customer)", bound=False)
+def type_normalise(spark, d):
+    return table(spark, d, "customer").select("c_custkey", c.normal_type(F.expr(_RAW)).alias("type"))
+
+
+@query("SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS code FROM part", bound=False)
+def category_codes(spark, d):
+    p = table(spark, d, "part")
+    codes = p.select("p_brand").distinct().withColumn("code", F.row_number().over(graph.Window.orderBy("p_brand")) - 1)
+    return p.join(F.broadcast(codes), "p_brand").select("p_partkey", "code")  # brands are few
+
+
+@query("SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS id FROM events", bound=False)
+def json_identity(spark, d):
+    return table(spark, d, "events").select("event_id", c.json_identity(F.try_parse_json("props"), "$.k").cast("bigint").alias("id"))
+
+
+@query(
+    """SELECT count(*) AS records, count(*) FILTER (WHERE pre IS NULL OR post IS NULL) AS missing, count(*) FILTER (WHERE pre BETWEEN 1 AND 50 AND post BETWEEN 1 AND 50) AS selected,
+       count(*) FILTER (WHERE pre BETWEEN 1 AND 50 AND post = pre) AS loops, count(DISTINCT CASE WHEN pre BETWEEN 1 AND 50 AND post BETWEEN 1 AND 50 THEN (pre, post) END) AS pairs
+       FROM (SELECT CASE WHEN event_id % 10 > 0 THEN user_id % 100 END AS pre, CAST(json_extract_string(props, '$.k') AS BIGINT) AS post FROM events)""",
+    bound=False,
+)
+def extraction_diagnostics(spark, d):
+    e = table(spark, d, "events")
+    site = F.when(F.col("event_id") % 10 > 0, F.col("user_id") % 100)
+    line = F.to_json(F.struct(F.struct(site.alias("neuron_id")).alias("pre_synaptic_site"), F.struct(c.json_identity(F.try_parse_json("props"), "$.k").cast("string").alias("neuron_id")).alias("post_synaptic_partner")))
+    ids = spark.range(1, 51).select(F.col("id").cast("decimal(20,0)"))
+    return records.diagnostics(records.endpoints_of(e.select(line.alias("value"))), ids)
+
+
+# ---- splits
+
+
+@query("SELECT id, slab FROM slab")
+def spatial_slabs(spark, d):
+    return splits.slabs(b.nodes(spark, d)).select("id", "slab")
+
+
+@query("SELECT id, CASE WHEN r <= round_even(0.7 * n, 0) THEN 'train' WHEN r <= round_even(0.85 * n, 0) THEN 'validation' ELSE 'test' END AS part FROM (SELECT id, row_number() OVER (ORDER BY x, id) AS r, count(*) OVER () AS n FROM nodes)")
+def split_70_15_15(spark, d):
+    return splits.axis_split(b.nodes(spark, d)).select("id", "part")
+
+
+@query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY x, id) AS r, count(*) OVER () AS n FROM nodes) WHERE r BETWEEN (n - 100) // 2 + 1 AND (n - 100) // 2 + 100")
+def central_window(spark, d):
+    return splits.central_window(b.nodes(spark, d), 100).select("id")
+
+
+@query("SELECT source, target, s_slab AS slab, connected FROM sp WHERE s_slab = t_slab")
+def within_slab_pairs(spark, d):
+    return splits.within_parts(b.slabbed(spark, d), "slab").select("source", "target", "slab", "connected")
+
+
+@query("SELECT s_slab AS slab, count(*) AS pairs, CAST(sum(connected) AS BIGINT) AS positives, sum(connected) > 0 AS enough FROM sp WHERE s_slab = t_slab GROUP BY s_slab")
+def slab_precheck(spark, d):
+    return splits.slab_positives(b.slabbed(spark, d))
+
+
+@query("SELECT CASE WHEN r <= k THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY pre, post) AS r, round_even(0.7 * count(*) OVER (), 0) AS k FROM cnt) GROUP BY 1")
+def permutation_split(spark, d):
+    return splits.permutation_split(b.counts(spark, d), ["pre", "post"], 0.3, 8).groupBy("part").agg(F.count("*").alias("n"))
+
+
+# ---- rates and bits
+
+_TRAIN = "tr AS (SELECT * FROM sp WHERE s_slab < 4 AND t_slab < 4), te AS (SELECT * FROM sp WHERE s_slab = 4 AND t_slab = 4)"
+_BINNED = f"{_TRAIN}, e AS (SELECT {EDGES} AS edges), tb AS (SELECT tr.*, len(list_filter(edges, lambda x: x <= distance)) AS bin FROM tr, e)"
+_RATE = "(sum(connected) + 0.5) / (count(*) + 1.0)"
+
+
+def _train(spark, d):
+    return b.slabbed(spark, d).where(splits.among("slab", [0, 1, 2, 3]))
+
+
+@query(f", {_BINNED} SELECT CAST(bin AS INTEGER) AS bin, count(*) AS pairs, round({_RATE}, 9) AS rate FROM tb GROUP BY bin")
+def bin_rates(spark, d):
+    train = _train(spark, d)
+    binned = train.withColumn("bin", c.bin_of(F.col("distance"), models._interior(models.distance_edges(train, 12))))
+    return rounded(binned.groupBy("bin").agg(F.count("*").alias("pairs"), models.rate().alias("rate")), "rate", digits=9)
+
+
+@query(f", {_TRAIN} SELECT source_type, target_type, round({_RATE}, 9) AS rate FROM tr GROUP BY ALL")
+def type_pair_rates(spark, d):
+    return rounded(_train(spark, d).groupBy("source_type", "target_type").agg(models.rate().alias("rate")), "rate", digits=9)
+
+
+@query(f", {_BINNED} SELECT source_type, target_type, CAST(bin AS INTEGER) AS distance_bin, round({_RATE}, 9) AS p FROM tb GROUP BY ALL")
+def type_distance_rates(spark, d):
+    return rounded(models.type_distance(_train(spark, d)).rates, "p", digits=9)
+
+
+_BITS = "sum(CASE WHEN connected = 1 THEN -log2(q) ELSE -log2(1 - q) END)"
+_MODELS = f"""
+, {_BINNED}, g AS (SELECT {_RATE} AS p FROM tr), db AS (SELECT bin, {_RATE} AS p FROM tb GROUP BY bin),
+tp AS (SELECT source_type, target_type, {_RATE} AS p FROM tr GROUP BY ALL), td AS (SELECT source_type, target_type, bin, {_RATE} AS p FROM tb GROUP BY ALL),
+xb AS (SELECT te.*, len(list_filter(edges, lambda x: x <= distance)) AS bin FROM te, e),
+sc AS (SELECT xb.connected, g.p AS p0, coalesce(db.p, g.p) AS p1, coalesce(tp.p, g.p) AS p2, coalesce(td.p, g.p) AS p3 FROM xb CROSS JOIN g
+       LEFT JOIN db ON xb.bin = db.bin LEFT JOIN tp ON xb.source_type = tp.source_type AND xb.target_type = tp.target_type
+       LEFT JOIN td ON xb.source_type = td.source_type AND xb.target_type = td.target_type AND xb.bin = td.bin),
+lo AS (SELECT m, connected, greatest(least(p, 1 - 1e-12), 1e-12) AS q FROM (SELECT 'global' AS m, connected, p0 AS p FROM sc UNION ALL SELECT 'distance', connected, p1 FROM sc UNION ALL SELECT 'type_pair', connected, p2 FROM sc UNION ALL SELECT 'type_distance', connected, p3 FROM sc)),
+rs AS (SELECT m AS model, count(*) AS test_pairs, CAST(sum(connected) AS BIGINT) AS positives, {_BITS} AS bits,
+       CAST(64 * CASE m WHEN 'global' THEN 1 WHEN 'distance' THEN 25 WHEN 'type_pair' THEN (SELECT count(*) FROM tp) + 1 ELSE (SELECT count(*) FROM td) + 14 END AS BIGINT) AS model_bits FROM lo GROUP BY m)
+"""
+
+
+@query(f"{_MODELS} SELECT model, test_pairs, positives, round(bits, 5) AS residual_bits, model_bits, round(bits + model_bits, 5) AS two_part_bits, round(bits / test_pairs, 8) AS bits_per_pair, round(bits / positives, 8) AS bits_per_positive FROM rs")
+def evaluate_models(spark, d):
+    pairs = b.slabbed(spark, d)
+    rows = evaluate.model_comparison(pairs, splits.among("slab", [0, 1, 2, 3]), splits.among("slab", [4]))
+    return rounded(rounded(rows, "residual_bits", "two_part_bits", digits=5), "bits_per_pair", "bits_per_positive", digits=8)
+
+
+def _one_model(fit):
+    def run(spark, d):
+        pairs = b.slabbed(spark, d)
+        model = fit(pairs.where(splits.among("slab", [0, 1, 2, 3])))
+        scored = model.predict(pairs.where(splits.among("slab", [4])))
+        bits = F.sum(c.code_length(F.col("connected"), F.col("p")))
+        return scored.agg(F.round(bits, 5).alias("residual_bits")).withColumn("model_bits", F.lit(model.model_bits).cast("bigint"))
+
+    return run
+
+
+for _name, _fit in (("global", models.GlobalRate.fit), ("distance", models.distance_binned), ("type_pair", models.type_pair), ("type_distance", models.type_distance)):
+    QUERIES[f"bits_{_name}"] = _one_model(_fit)
+    ORACLE[f"bits_{_name}"] = f"WITH {b.SQL} {_MODELS} SELECT round(bits, 5) AS residual_bits, model_bits FROM rs WHERE model = '{_name}'"
+
+
+@query("SELECT c_nationkey, round(CASE WHEN p IN (0, 1) THEN 0.0 ELSE -p * log2(p) - (1 - p) * log2(1 - p) END, 9) AS bits FROM (SELECT c_nationkey, avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) AS p FROM customer GROUP BY c_nationkey)", bound=False)
+def entropy_bits(spark, d):
+    p = F.avg(F.when(F.col("c_acctbal") > 0, 1.0).otherwise(0.0))
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(p.alias("p")).select("c_nationkey", F.round(c.entropy_bits(F.col("p")), 9).alias("bits"))
+
+
+_FEATURES_SQL = {"f_log_distance": "ln(1 + distance)"} | {f"f_abs_{a}": f"abs(t{a} - s{a})" for a in "xyz"} | {f"f_unit_{a}": f"(t{a} - s{a}) / greatest(distance, 1e-12)" for a in "xyz"} | {f"f_source_{a}": f"s{a}" for a in "xyz"} | {f"f_target_{a}": f"t{a}" for a in "xyz"} | {f"f_middle_{a}": f"(s{a} + t{a}) / 2" for a in "xyz"}
+
+
+@query(f"SELECT source, {', '.join(f'round(avg({v}), 4) AS {k}' for k, v in _FEATURES_SQL.items())} FROM pairs GROUP BY source")
+def geometry_features(spark, d):
+    pairs = graph.candidate_pairs(b.nodes(spark, d))
+    return pairs.groupBy("source").agg(*[F.round(F.avg(v), 4).alias(k) for k, v in c.geometry_features("spatial").items()])
+
+
+@query(f"SELECT {', '.join(f'round(avg({v}), 4) + 0.0 AS mean_{k}, round(stddev_pop({v}), 4) AS sd_{k}' for k, v in list(_FEATURES_SQL.items())[:7])} FROM pairs")
+def feature_moments(spark, d):
+    pairs, features = graph.candidate_pairs(b.nodes(spark, d)), c.geometry_features("relative")
+    return pairs.agg(*[x for k, v in features.items() for x in ((F.round(F.avg(v), 4) + 0.0).alias(f"mean_{k}"), F.round(F.stddev_pop(v), 4).alias(f"sd_{k}"))])
+
+
+@query(
+    """, z AS (SELECT ln(1 + distance) AS x, connected AS y, 1 / (1 + exp(1.0 + 0.05 * ln(1 + distance))) AS p FROM pairs)
+    SELECT round(sum(p - y), 3) AS g0, round(sum((p - y) * x), 3) AS g1, round(sum(p * (1 - p)), 3) AS h00, round(sum(p * (1 - p) * x), 3) AS h01, round(sum(p * (1 - p) * x * x), 3) AS h11 FROM z"""
+)
+def gram_pass(spark, d):
+    got = logistic.gram(b.pairs(spark, d), "distance", [-1.0, -0.05])
+    g, h = got["gradient"], got["hessian"]
+    return spark.createDataFrame([tuple(round(float(v), 3) for v in (g[0], g[1], h[0, 0], h[0, 1], h[1, 1]))], "g0 double, g1 double, h00 double, h01 double, h11 double")
+
+
+def near_pairs(spark, d):
+    """Pairs whose edges are kept only where the ends are near, so that geometry tells something."""
+    pairs = b.slabbed(spark, d)
+    cut = pairs.agg(F.percentile("distance", F.lit(0.25))).first()[0]
+    return pairs.withColumn("connected", F.when(F.col("distance") <= cut, F.col("connected")).otherwise(0))
+
+
+def _fits(solver):
+    def run(spark, d):
+        pairs = near_pairs(spark, d).persist()
+        fits = logistic.fit_many(pairs, [logistic.Spec(f, f, 1.0, frozenset(range(4))) for f in c.FEATURE_SETS], solver)
+        test = pairs.where(splits.among("slab", [4])).agg(*[F.sum(c.code_length(F.col("connected"), m.probability())).alias(n) for n, m in fits.items()]).first()
+        pairs.unpersist()
+        rows = [(n, round(test[n], 3), m.model_bits, [round(float(x), 6) for x in m.coefficients]) for n, m in fits.items()]
+        return spark.createDataFrame(rows, "model string, residual_bits double, model_bits bigint, coefficients array<double>")
+
+    return run
+
+
+QUERIES["newton_fit"] = _fits("newton")
+QUERIES["damped_fit"] = _fits("damped")
+
+
+@query(
+    """, te AS (SELECT * FROM sp WHERE s_slab = 4 AND t_slab = 4), o AS (SELECT source AS id, sum(connected) AS d FROM te GROUP BY source), i AS (SELECT target AS id, sum(connected) AS d FROM te GROUP BY target),
+    h AS MATERIALIZED (SELECT (o.d + 0.5) * (i.d + 0.5) AS w, connected, count(*) AS n FROM te JOIN o ON te.source = o.id JOIN i ON te.target = i.id GROUP BY ALL),
+    k AS MATERIALIZED (SELECT CAST(sum(n * connected) AS DOUBLE) AS edges FROM h),
+    up AS MATERIALIZED (SELECT min(s) AS high FROM (SELECT s, (SELECT sum(least(s * w, 1 - 1e-12) * n) FROM h) AS e FROM (SELECT CAST(2 AS DOUBLE) ** j AS s FROM range(0, 40) t(j))) , k WHERE e >= edges),
+    b AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS low, high FROM up
+          UNION ALL SELECT i + 1, CASE WHEN e < edges THEN (low + high) / 2 ELSE low END, CASE WHEN e < edges THEN high ELSE (low + high) / 2 END
+          FROM (SELECT b.*, (SELECT sum(least((b.low + b.high) / 2 * w, 1 - 1e-12) * n) FROM h) AS e FROM b WHERE i < 80), k),
+    q AS (SELECT sum(CASE WHEN connected = 1 THEN -log2(p) ELSE -log2(1 - p) END * n) AS bits FROM (SELECT connected, n, greatest(least(s.high * w, 1 - 1e-12), 1e-12) AS p FROM h, (SELECT high FROM b WHERE i = 80) s))
+    SELECT (SELECT count(*) FROM o) AS n_nodes, round(bits, 4) AS residual_bits, CAST(2 * (SELECT count(*) FROM o) * greatest(1, ceil(log2((SELECT count(*) FROM o)))) AS BIGINT) AS degree_side_bits,
+    round(bits + 2 * (SELECT count(*) FROM o) * greatest(1, ceil(log2((SELECT count(*) FROM o)))), 4) AS total_bits FROM q"""
+)
+def degree_diagnostic(spark, d):
+    return rounded(degree.degree_diagnostic(b.slabbed(spark, d).where(splits.among("slab", [4]))), "residual_bits", "total_bits", digits=4)
+
+
+ORACLE["degree_diagnostic"] = ORACLE["degree_diagnostic"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("SELECT family, CAST(arg_min(l2, (bits, -l2)) AS INTEGER) AS l2 FROM (SELECT l_returnflag AS family, l_linenumber AS l2, round(avg(l_tax), 2) AS bits FROM lineitem GROUP BY ALL) GROUP BY family", bound=False)
+def select_lambda(spark, d):
+    scores = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("family"), F.col("l_linenumber").alias("l2")).agg(F.round(F.avg("l_tax"), 2).alias("bits"))
+    return scores.groupBy("family").agg(F.min_by("l2", F.struct("bits", -F.col("l2"))).cast("int").alias("l2"))
+
+
+@query(
+    """SELECT family, CAST(count(*) FILTER (WHERE bits < base) AS BIGINT) AS wins, round((sum(base) - sum(bits)) / sum(base), 9) AS reduction
+       FROM (SELECT a.family, a.fold, a.bits, g.bits AS base FROM r a JOIN r g ON a.fold = g.fold WHERE g.family = 'A') GROUP BY family""".replace("FROM r a JOIN r g", "FROM (SELECT l_returnflag AS family, l_linenumber AS fold, sum(l_quantity) AS bits FROM lineitem GROUP BY ALL) a JOIN (SELECT l_returnflag AS family, l_linenumber AS fold, sum(l_quantity) AS bits FROM lineitem GROUP BY ALL) g"),
+    bound=False,
+)
+def wins_and_reduction(spark, d):
+    r = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("family"), F.col("l_linenumber").alias("fold")).agg(F.sum("l_quantity").alias("bits"))
+    base = r.where("family = 'A'").select("fold", F.col("bits").alias("base"))
+    both = r.join(base, "fold")
+    return both.groupBy("family").agg(F.count_if(F.col("bits") < F.col("base")).alias("wins"), F.round((F.sum("base") - F.sum("bits")) / F.sum("base"), 9).alias("reduction"))
+
+
+def nested_cv_folds(spark, d):
+    pairs = near_pairs(spark, d).drop("s_slab", "t_slab")
+    result = nested_cv.run(pairs, b.nodes(spark, d))
+    return rounded(nested_cv.fold_rows(result, spark), "residual_bits", "two_part_bits", digits=2)
+
+
+QUERIES["nested_cv_folds"] = nested_cv_folds
+
+
+# ---- bridges
+
+_ROIS = "SELECT l_orderkey, l_linenumber AS session, CAST(l_partkey % 4 AS INTEGER) AS scan_idx, CAST(l_partkey % 3 AS INTEGER) AS field, l_partkey AS mask_id FROM lineitem"
+_UNITS = "SELECT s AS session, CAST(p_partkey % 4 AS INTEGER) AS scan_idx, CAST(p_partkey % 3 AS INTEGER) AS field, p_partkey AS mask_id, p_partkey * 10 + s AS unit_id FROM part, (SELECT 1 AS s UNION ALL SELECT 2 UNION ALL SELECT 3) WHERE p_size > 10"
+
+
+@query(f"SELECT l_orderkey, session, mask_id, unit_id FROM ({_ROIS}) LEFT JOIN (SELECT DISTINCT * FROM ({_UNITS})) USING (session, scan_idx, field, mask_id)", bound=False)
+def roi_unit_join(spark, d):
+    rois = spark.sql(_ROIS.replace("FROM lineitem", "FROM {l}"), l=table(spark, d, "lineitem"))
+    units = spark.sql(_UNITS.replace("FROM part", "FROM {p}"), p=table(spark, d, "part"))
+    return bridge.map_rois_to_units(rois, units.unionByName(units)).select("l_orderkey", "session", "mask_id", F.col("unit_id").cast("bigint").alias("unit_id"))
+
+
+@query(
+    """SELECT unit_id, CASE WHEN n IS NULL THEN 'unmatched' WHEN n = 1 THEN 'accepted' ELSE 'ambiguous' END AS match, CASE WHEN n = 1 THEN root END AS pt_root_id, CASE WHEN n = 1 THEN x END AS x
+       FROM (SELECT p_partkey AS unit_id FROM part) LEFT JOIN (SELECT l_partkey AS unit_id, count(DISTINCT (l_suppkey, l_linenumber)) AS n, min(l_suppkey) AS root, min(l_linenumber) AS x FROM lineitem WHERE l_quantity > 49 GROUP BY 1) USING (unit_id)""",
+    bound=False,
+)
+def release_match_class(spark, d):
+    release = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("unit_id"), F.col("l_suppkey").alias("pt_root_id"), F.col("l_linenumber").alias("x"))
+    units = table(spark, d, "part").select(F.col("p_partkey").alias("unit_id"))
+    return bridge.match_class(units, release, identity=("pt_root_id", "x"))
+
+
+@query("SELECT pt_root_id, l_partkey FROM (SELECT l_suppkey * 7 + l_linenumber AS pt_root_id, l_partkey, count(*) OVER (PARTITION BY l_suppkey * 7 + l_linenumber) AS n FROM lineitem WHERE l_quantity > 48) WHERE n = 1", bound=False)
+def one_to_one_roots(spark, d):
+    rows = table(spark, d, "lineitem").where("l_quantity > 48").select((F.col("l_suppkey") * 7 + F.col("l_linenumber")).alias("pt_root_id"), "l_partkey")
+    return bridge.one_to_one(rows)
+
+
+@query("SELECT coalesce(a.id, c.id) AS id, CASE WHEN a.id IS NULL THEN 'right' WHEN c.id IS NULL THEN 'left' ELSE 'both' END AS side FROM (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0) c ON a.id = c.id", bound=False)
+def id_overlap(spark, d):
+    return bridge.id_overlap(table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_custkey"), table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey"))
+
+
+@query("SELECT count(*) AS ids, sha256(string_agg(CAST(id AS VARCHAR) || chr(10), '' ORDER BY id)) AS sha256 FROM (SELECT DISTINCT o_custkey AS id FROM orders)", bound=False)
+def id_manifest(spark, d):
+    ids, sha = digest.id_manifest(table(spark, d, "orders").select("o_custkey"))
+    return ids.agg(F.count("*").alias("ids")).withColumn("sha256", F.lit(sha))
+
+
+# ---- profiles and validation
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS \"column\", count(*) FILTER (WHERE {n} IS NULL) AS nulls, count(DISTINCT {n}) AS \"distinct\", count(TRY_CAST({n} AS DOUBLE)) AS finite, round(min(TRY_CAST({n} AS DOUBLE)), 6) AS min, round(max(TRY_CAST({n} AS DOUBLE)), 6) AS max FROM customer"
+        for n in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    ),
+    bound=False,
+)
+def table_profile(spark, d):
+    return rounded(profile.column_profile(table(spark, d, "customer")).select("column", "nulls", "distinct", "finite", "min", "max"), "min", "max")
+
+
+@query("SELECT coalesce(CAST(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS VARCHAR), '<NA>') AS value, count(*) AS rows FROM orders GROUP BY 1", bound=False)
+def value_counts(spark, d):
+    o = table(spark, d, "orders").withColumn("v", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")))
+    return profile.value_counts(o, "v")
+
+
+@query("SELECT count(*) AS objects, CAST(coalesce(sum(length(html)), 0) AS BIGINT) AS bytes, CAST(min(length(html)) AS BIGINT) AS smallest, CAST(max(length(html)) AS BIGINT) AS largest FROM pages WHERE starts_with(url, 'http')", bound=False)
+def object_summary(spark, d):
+    listing = table(spark, d, "pages").select(F.col("url").alias("name"), F.length("html").cast("string").alias("size"))
+    return profile.object_summary(listing, "http")
+
+
+@query(
+    """, w AS (SELECT source, target, CASE WHEN source % 97 = 0 THEN 1 - connected ELSE connected END AS connected, synapse_count, CASE WHEN target % 89 = 0 THEN distance + 1 ELSE distance END AS distance FROM pairs),
+    r AS (SELECT count(*) FILTER (WHERE connected <> CAST(synapse_count > 0 AS INTEGER)) AS label_mismatch, count(*) FILTER (WHERE target % 89 = 0) AS distance_mismatch FROM w)
+    SELECT rule, CAST(CASE rule WHEN 'label_mismatch' THEN label_mismatch WHEN 'distance_mismatch' THEN distance_mismatch ELSE 0 END AS BIGINT) AS violations FROM r,
+    (SELECT unnest(['too_few_nodes', 'pair_count', 'repeated_node', 'bad_place', 'self_pair', 'negative_count', 'label_mismatch', 'bad_distance', 'unknown_node', 'distance_mismatch', 'type_mismatch', 'repeated_pair']) AS rule)"""
+)
+def validate_violations(spark, d):
+    pairs = b.pairs(spark, d)
+    broken = pairs.withColumn("connected", F.when(F.col("source") % 97 == 0, 1 - F.col("connected")).otherwise(F.col("connected"))).withColumn("distance", F.when(F.col("target") % 89 == 0, F.col("distance") + 1).otherwise(F.col("distance")))
+    return validate.violations(b.nodes(spark, d), broken)
+
+
+@query("SELECT count(*) AS shards, true AS covered_once, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(records) AS BIGINT) AS records FROM (SELECT event_id % 7 AS shard, sum(length(props)) AS bytes, count(*) AS records FROM events GROUP BY 1)", bound=False)
+def part_audit(spark, d):
+    e = table(spark, d, "events").select((F.col("event_id") % 7).cast("int").alias("shard"), F.length("props").alias("size"))
+    parts = e.groupBy((F.col("shard") % 3).alias("part")).agg(F.collect_set("shard").alias("shards"), F.sum("size").alias("bytes"), F.count("*").alias("records"))
+    return validate.part_audit(parts, 7)
+
+
+# ---- rate-distortion, synthetic
+
+
+@query("SELECT source, target FROM (SELECT source, target, row_number() OVER (ORDER BY synapse_count DESC, source, target) AS r, count(*) OVER () AS n FROM pairs WHERE connected = 1) WHERE r <= round_even(0.1 * n, 0)")
+def retention_topk(spark, d):
+    p = b.pairs(spark, d).withColumn("p", 1.0 / (1.0 + F.col("synapse_count")))
+    return distortion.retained(p, "residual-first", 0.1).select("source", "target")
+
+
+def rate_distortion_curve(spark, d):
+    p = b.pairs(spark, d).withColumn("p", 1.0 / (1.0 + F.col("synapse_count"))).withColumn("source", F.col("source") - 1).withColumn("target", F.col("target") - 1)
+    return distortion.distortion_curve(p, b.nodes(spark, d).count())
+
+
+def synthetic_baselines(spark, d):
+    rows = splits.permutation_split(synthetic.pairs(spark), ["pair_id"], 0.3, 8).persist()
+    return evaluate.model_comparison(rows, F.col("part") == "train", F.col("part") == "test")
+
+
+QUERIES["rate_distortion_curve"] = rate_distortion_curve
+QUERIES["synthetic_baselines"] = synthetic_baselines
