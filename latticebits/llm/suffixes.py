@@ -38,7 +38,7 @@ HOT = 2048
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 BLOCKS = 4
 _BLOCK_BYTES = 1 << 20
-_SLICE = 1 << 19
+_SLICE = 1 << 18
 _LOW = np.uint64(0xFFFFFFFF)
 _AT = np.uint64(0xFFFFFF)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -130,7 +130,7 @@ class _Spans:
 
     def __init__(self, chunk: chunks.Chunk, prints: Fingerprints):
         data, n = chunk.data, len(chunk.data)
-        stop = np.repeat(chunk.ends, chunk.ends + 1 - chunk.begins)
+        stop = np.repeat(chunk.ends.astype(np.int32), chunk.ends + 1 - chunk.begins)
         first, count, key = [], [], []
         for lo in range(0, max(0, n - SIZE + 1), _SLICE):
             part = data[lo : lo + _SLICE + SIZE - 1]
@@ -154,10 +154,12 @@ class _Spans:
             before = upto[begin] - 1
             first.append(begin + lo)
             count.append(np.diff(before, append=total))
-            key.append(grams[anchor[begin]])
+            key.append(grams[anchor[begin]])  # a minimum: small, so mixed anew below
         empty = np.zeros(0, np.int64)
         self.first, self.count = np.concatenate([empty, *first]), np.concatenate([empty, *count])
-        self.key = np.concatenate([empty.astype(np.uint64), *key])
+        self.key = np.concatenate([empty.astype(np.uint64), *key]) * np.uint64(0xBF58476D1CE4E5B9)
+        self.key ^= self.key >> np.uint64(31)
+        self.key *= np.uint64(0x94D049BB133111EB)
         self.order = chunk.order[np.searchsorted(chunk.ends, self.first, side="right")] if len(self.first) else empty
 
     def take(self, i: np.ndarray) -> _Spans:
@@ -171,10 +173,7 @@ def prints_of(prints: Fingerprints, data: np.ndarray, size: int) -> np.ndarray:
     n = len(data)
     if n < size:
         return np.zeros(0, np.uint64)
-    prints(data[:1], np.zeros(1, np.int64), np.ones(1, np.int64))
-    if len(prints.powers[0][0]) <= n:
-        prints(np.zeros(2 * _SLICE, np.uint8), np.zeros(1, np.int64), np.ones(1, np.int64))
-    up, down = prints.powers[0]
+    up, down = prints.powers(0, n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(prints.values[0][data] * up[:n], out=sums[1:])
     h = (sums[size:] - sums[:-size]) * down[: n - size + 1]
