@@ -8,9 +8,10 @@ probability Jaccard of two texts, which is their Jaccard similarity where shingl
 into BANDS bands; texts that share a band meet.
 
 Texts of one shingle set are one node. In each bucket every node is paired with the least node; pairs are verified by
-the exact Jaccard similarity of their shingle sets. Where that leaves a bucket with several classes, all pairs of its
-nodes across classes are compared too, first by their registers, then exactly: no pair of a bucket that could join
-two classes goes unseen, and pairs inside a class are never made. Classes are the connected components.
+the exact Jaccard similarity of their shingle sets, after their registers say that it may reach the threshold. Where
+that leaves a bucket with several classes, its node of most links so far meets the nodes of the others, a few times
+over; what is then still apart is compared in all pairs across classes: no pair of a bucket that could join two classes
+goes unseen, and pairs inside a class are never made. Classes are the connected components.
 
 A pair of similarity s shares a band with probability 1 - (1 - s**6)**32: 0.99994 at 0.8.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticebits.llm import shared, tokens
+from latticebits.llm import memory, shared, tokens
 from latticebits.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -38,7 +39,11 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Registers of one byte: pairs of an estimate this far below the threshold (over 5 standard errors) are not verified.
 SLACK = 0.16
-_BATCH_BYTES = 2 << 20
+#: Rounds in which the text of most links of a bucket meets those of other classes, before all pairs across classes do.
+HUB_ROUNDS = 2
+#: Nodes of a block of a family, on average.
+BLOCK = 256
+_BATCH_BYTES = 1 << 20
 _MIX1, _MIX2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 SIGNATURE = "h1 long, h2 long, n_shingles int, bands array<long>, registers binary"
@@ -123,6 +128,7 @@ def _batches(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _BATCH_BYTES)))
         yield lo, texts.slice(lo, hi - lo)
+        memory.release()
         lo = hi
 
 
@@ -191,38 +197,94 @@ def classes(docs: DataFrame, signatures: DataFrame, similarity: float = SIMILARI
     heads = buckets.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("key", "u")
     shared_buckets = shared.written(buckets.join(heads, "key").select("key", "u", "node"), "near-buckets")
     pairs = shared_buckets.where("u <> node").select("u", F.col("node").alias("v")).distinct()
-    first = shared.written(_verified(docs, nodes, pairs, similarity), "near-pairs")
-    comps = components(first.where("same"))
-
-    of = comps.select("node", "comp")
-    placed = shared_buckets.join(of, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    placed = shared.written(placed.join(mixed, "key", "left_semi"), "near-mixed")
-    a, b = placed.select("key", F.col("node").alias("u"), F.col("comp").alias("cu")), placed.select("key", F.col("node").alias("v"), F.col("comp").alias("cv"))
-    across = a.join(b, "key").where("cu < cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    across = across.join(first.select("u", "v"), ["u", "v"], "left_anti")
-    second = shared.written(_verified(docs, nodes, across, similarity), "near-pairs")
-    links = first.where("same").select("u", "v").union(second.where("same").select("u", "v"))
-    if not second.where("same").isEmpty():
-        comps = components(links)
+    wanted = shared.written(shared_buckets.select("node").distinct().join(nodes.select("node", "h1", "h2", F.coalesce("min_doc", F.lit(_NO_ID)).alias("min_doc")), "node"), "near-wanted")
+    sets = shared.written(_sets(docs, wanted), "near-sets")
+    tested = shared.written(_verified(nodes, sets, pairs, similarity), "near-pairs")
+    comps = components(tested.where("same"))
+    for turn in range(HUB_ROUNDS + 1):
+        placed = shared_buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        placed = shared.written(placed.join(mixed, "key", "left_semi"), "near-mixed")
+        if placed.isEmpty():
+            break
+        if turn == HUB_ROUNDS:
+            links = shared.written(_across(nodes, sets, placed, similarity), "near-links")
+            if not links.isEmpty():
+                comps = components(tested.where("same").select("u", "v").unionByName(links))
+            break
+        # the text of most links so far, an original among its copies, meets the rest of its bucket
+        ends = tested.where("same").select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        ranked = placed.join(ends, "node", "left").select("key", F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "comp").alias("hub"))
+        hubs = ranked.groupBy("key").agg(F.max("hub").alias("hub")).select("key", F.col("hub.node").alias("u"), F.col("hub.comp").alias("cu"))
+        others = placed.select("key", F.col("node").alias("v"), F.col("comp").alias("cv"))
+        across = hubs.join(others, "key").where("cu <> cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        across = shared.written(across.join(tested.select("u", "v"), ["u", "v"], "left_anti"), "near-across")
+        if across.isEmpty():
+            continue
+        more = shared.written(_verified(nodes, sets, across, similarity), "near-pairs")
+        tested = tested.unionByName(more)
+        if not more.where("same").isEmpty():
+            comps = components(tested.where("same"))
     whole = nodes.join(comps, "node", "left").select("h1", "h2", "min_doc", F.coalesce("comp", "node").alias("comp"))
     ids = whole.groupBy("comp").agg(F.min("min_doc").alias("class_id"))
     return whole.join(ids, "comp").select("h1", "h2", "comp", "class_id")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, s) for the nodes of wanted (node, h1, h2, min_doc): their shingle sets, made anew from their texts."""
+    texts = docs.select("doc_id", "text").join(wanted.select("min_doc").distinct(), F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("min_doc"), "left_semi")
+    return shingles(texts).join(wanted.select("node", "h1", "h2"), ["h1", "h2"]).groupBy("node").agg(F.any_value("shingles").alias("s"))
+
+
+def _verified(nodes: DataFrame, sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """(u, v, same): whether the shingle sets of two nodes are as similar as asked."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     likely = pairs.join(side("u"), "u").join(side("v"), "v").where((F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")))
     likely = shared.written(likely.select("u", "v", "n_u", "n_v", _estimate("r_u", "r_v").alias("estimate")).where(F.col("estimate") >= similarity - SLACK), "near-likely")
-    wanted = shared.written(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "h1", "h2", F.coalesce("min_doc", F.lit(_NO_ID)).alias("min_doc")), "node"), "near-wanted")
-    texts = docs.select("doc_id", "text").join(wanted.select("min_doc").distinct(), F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("min_doc"), "left_semi")
-    sets = shared.written(shingles(texts).join(wanted.select("node", "h1", "h2"), ["h1", "h2"]).groupBy("node").agg(F.any_value("shingles").alias("s")), "near-sets")
     full = likely.join(sets.select(F.col("node").alias("u"), F.col("s").alias("s_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("s_v")), "v")
     both = F.size(F.array_intersect("s_u", "s_v"))
     return full.select("u", "v", (both >= similarity * (F.col("n_u") + F.col("n_v") - both)).alias("same"))
 
 
+def _across(nodes: DataFrame, sets: DataFrame, placed: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between classes among all pairs that share a bucket of placed (key, node, comp).
+
+    Nodes that buckets connect form a family; a family is cut into blocks, and every two blocks are compared inside one
+    task of a bounded size, which gives only the links: pairs don't become rows, and a large family is many tasks."""
+    heads = placed.groupBy("key").agg(F.min("node").alias("u"))
+    families = components(placed.join(heads, "key").select("u", F.col("node").alias("v")).distinct())
+    sized = families.join(families.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "comp").select("node", F.col("comp").alias("family"), "blocks")
+    members = shared.written(sized.join(placed.select("node", "comp").distinct(), "node"), "near-members")
+    rows = members.join(nodes.select("node", "bands", "registers"), "node").join(sets, "node")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = shared.written(rows.select("family", "blocks", block.alias("block"), "node", "comp", "bands", "registers", "s"), "near-blocks")
+    units = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+
+    def compare(unit: pa.Table) -> pa.Table:
+        block = unit.column("block").to_numpy()
+        low, high = unit.column("low")[0].as_py(), unit.column("high")[0].as_py()
+        node, comp = unit.column("node").to_numpy(), unit.column("comp").to_numpy()
+        band = np.array(unit.column("bands").to_pylist(), dtype=np.int64)
+        register = np.frombuffer(b"".join(unit.column("registers").to_pylist()), np.uint8).reshape(len(node), -1)
+        lists = unit.column("s").to_pylist()
+        sets: dict[int, set] = {}
+        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        u, v = [], []
+        for i in one.tolist():
+            rest = two[(comp[two] != comp[i]) & ((two > i) if low == high else True)]
+            rest = rest[(band[rest] == band[i]).any(axis=1)]
+            near = ((register[rest] == register[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            for j in rest[near >= similarity - SLACK].tolist():
+                a, b = sets.setdefault(i, set(lists[i])), sets.setdefault(j, set(lists[j]))
+                both = len(a & b)
+                if both >= similarity * (len(a) + len(b) - both):
+                    u.append(min(node[i], node[j]))
+                    v.append(max(node[i], node[j]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return units.groupBy("family", "low", "high").applyInArrow(compare, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every row of docs (doc_id, text)."""
     signatures = shared.written(sign(docs, "doc_id"), "near-signatures")
