@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticebits.llm import shared, tokens
+from latticebits.llm import memory, shared, tokens
 
 ORDER = 4
 TRAIN_BYTES, TOTAL_BYTES, MAX_DOC_BYTES = 1 << 20, 8 << 20, 1 << 16
@@ -137,8 +137,8 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.table = tokens._Table()
-        self.bits = np.zeros((0, len(self.model.languages)))
+        self.table = tokens._Table(tokens.SLOTS // 2)
+        self.bits = np.zeros((0, len(self.model.languages)), np.float32)
 
     def costs(self, words: pa.StringArray) -> np.ndarray:
         ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
@@ -151,7 +151,7 @@ class Scorer:
                 new = np.arange(len(words))
             at = self.table.words
             if at + len(new) > len(self.bits):
-                self.bits = np.concatenate([self.bits[:at], np.zeros((at + 2 * len(new), len(self.model.languages)))])
+                self.bits = np.concatenate([self.bits[:at], np.zeros((at + len(new) + 50_000, len(self.model.languages)), np.float32)])
             self.bits[at : at + len(new)] = self.model.word_costs(words.take(pa.array(new)))
             self.table.add(h1[new], h2[new], np.arange(at, at + len(new), dtype="<u4"), np.ones(len(new), np.int32))
             slot = self.table.find(h1, h2)
@@ -168,11 +168,12 @@ class Scorer:
             split = split_words(texts.slice(lo, hi - lo))
             coded = split.flatten().dictionary_encode()
             each = self.costs(coded.dictionary)[coded.indices.to_numpy()]
-            total = np.add.reduceat(each, split.offsets.to_numpy()[:-1] - split.offsets[0].as_py(), axis=0)
+            total = np.add.reduceat(each.astype(np.float64), split.offsets.to_numpy()[:-1] - split.offsets[0].as_py(), axis=0)
             best = total.argmin(axis=1)
             odds = np.exp2(np.maximum(total[np.arange(len(best)), best][:, None] - total, -1000.0)).sum(axis=1)
             labels.append(best)
             scores.append(1 / odds)
+            memory.release()
             lo = hi
         if not labels:
             return pa.array([], pa.string()), np.zeros(0)
@@ -181,15 +182,9 @@ class Scorer:
         return pc.if_else(pa.array(letters), named, UND), np.where(letters, score, 0.0)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
-    """One per Python worker and model."""
-    if model.token not in _scorers:
-        _scorers.clear()
-        _scorers[model.token] = Scorer(model)
-    return _scorers[model.token]
+    """The worker's scorer of a model, kept from task to task."""
+    return memory.kept(("language", model.token), lambda: Scorer(model))
 
 
 def held_out() -> Column:

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
-from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from latticebits.llm import memory
+
 END_ID = 2
 #: Slots and words of a worker's table, about 60 MB; a full table starts anew, of no influence on any result.
 SLOTS, WORDS = 1 << 21, 1_200_000
@@ -85,20 +86,21 @@ class Fingerprints:
 class _Table:
     """Fingerprint to a run of ids, open addressing."""
 
-    def __init__(self):
-        self.first, self.second = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
-        self.start, self.length = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+    def __init__(self, slots: int = SLOTS):
+        self.slots = slots
+        self.first, self.second = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.start, self.length = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.pool, self.used, self.words = np.zeros(1 << 16, "<u4"), 0, 0
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where absent."""
-        slot, at, todo = np.full(len(h1), -1), (h1 & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(h1))
+        slot, at, todo = np.full(len(h1), -1), (h1 & np.uint64(self.slots - 1)).astype(np.int64), np.arange(len(h1))
         while len(todo):
             key = self.first[at]
             hit = (key == h1[todo]) & (self.second[at] == h2[todo])
             slot[todo[hit]] = at[hit]
             go = ~hit & (key != 0)
-            todo, at = todo[go], (at[go] + 1) & (SLOTS - 1)
+            todo, at = todo[go], (at[go] + 1) & (self.slots - 1)
         return slot
 
     def add(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -108,7 +110,7 @@ class _Table:
         starts = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
         self.words += len(h1)
-        at, todo = (h1 & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(h1))
+        at, todo = (h1 & np.uint64(self.slots - 1)).astype(np.int64), np.arange(len(h1))
         while len(todo):
             free = self.first[at] == 0
             self.second[at[free]] = todo[free]  # the last to write a slot has it
@@ -116,7 +118,7 @@ class _Table:
             won[free] = self.second[at[free]] == todo[free].astype(np.uint64)
             self.first[at[won]], self.second[at[won]] = h1[todo[won]], h2[todo[won]]
             self.start[at[won]], self.length[at[won]] = starts[todo[won]], lengths[todo[won]]
-            todo, at = todo[~won], (at[~won] + 1) & (SLOTS - 1)
+            todo, at = todo[~won], (at[~won] + 1) & (self.slots - 1)
 
 
 class Encoder:
@@ -196,11 +198,12 @@ class Encoder:
             hi = max(lo + 1, int(np.searchsorted(upto, before + _BATCH_BYTES)))
             raw, ends = self._flat(texts.slice(lo, hi - lo))
             out.extend(raw[a:b] + self.end for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
+            del raw
+            memory.release()
             lo = hi
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, end_id: int = END_ID) -> Encoder:
-    """One per Python worker, kept from task to task."""
-    return Encoder(path, end_id)
+    """The worker's encoder, kept from task to task."""
+    return memory.kept(("encoder", path, end_id), lambda: Encoder(path, end_id))
