@@ -77,10 +77,12 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
+    from pyspark.errors import PySparkException
+
     args = parser().parse_args(argv)
     try:
         print(json.dumps(args.run(args), indent=2))
-    except (ValueError, RuntimeError, OSError) as e:
-        print(f"error: {e}", file=sys.stderr)
+    except (ValueError, RuntimeError, OSError, PySparkException) as e:
+        print(f"error: {str(e).splitlines()[0]}", file=sys.stderr)
         return 1
     return 0

@@ -318,9 +318,12 @@ def select_lambda(spark, d):
     return scores.groupBy("family").agg(F.min_by("l2", F.struct("bits", -F.col("l2"))).cast("int").alias("l2"))
 
 
+_SCORES = "(SELECT l_returnflag AS family, l_linenumber AS fold, sum(l_quantity) AS bits FROM lineitem GROUP BY ALL)"
+
+
 @query(
-    """SELECT family, CAST(count(*) FILTER (WHERE bits < base) AS BIGINT) AS wins, round((sum(base) - sum(bits)) / sum(base), 9) AS reduction
-       FROM (SELECT a.family, a.fold, a.bits, g.bits AS base FROM r a JOIN r g ON a.fold = g.fold WHERE g.family = 'A') GROUP BY family""".replace("FROM r a JOIN r g", "FROM (SELECT l_returnflag AS family, l_linenumber AS fold, sum(l_quantity) AS bits FROM lineitem GROUP BY ALL) a JOIN (SELECT l_returnflag AS family, l_linenumber AS fold, sum(l_quantity) AS bits FROM lineitem GROUP BY ALL) g"),
+    f"""SELECT a.family, count(*) FILTER (WHERE a.bits < g.bits) AS wins, round((sum(g.bits) - sum(a.bits)) / sum(g.bits), 9) AS reduction
+        FROM {_SCORES} a JOIN {_SCORES} g ON a.fold = g.fold WHERE g.family = 'A' GROUP BY a.family""",
     bound=False,
 )
 def wins_and_reduction(spark, d):
