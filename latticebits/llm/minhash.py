@@ -309,3 +309,15 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(shared.documents(spark, sf_dir))
+
+
+#: For small tables: SQL has no way around all windows or pairs.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '\S+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+l AS MATERIALIZED (SELECT a.rid AS u, b.rid AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+e AS MATERIALIZED (SELECT u, v FROM l JOIN n x ON u = x.rid JOIN n y ON v = y.rid WHERE k >= 0.8 * (x.n + y.n - k)),
+r AS (SELECT rid AS u, rid AS v FROM d UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT a.doc_id, min(b.doc_id) AS class_id FROM r JOIN d a ON r.u = a.rid JOIN d b ON r.v = b.rid GROUP BY a.rid, a.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from latticebits.llm import decontaminate, topk
+from latticebits.llm import decontaminate, minhash, sharding, suffixes, topk, windows
 from latticebits.llm.decontaminate import op6_decontamination
 from latticebits.llm.language import op1_language
 from latticebits.llm.minhash import op10_near_duplicates
@@ -25,4 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL}
+    return {
+        "op2_topk": topk.ORACLE_SQL,
+        "op3_suffix_dedup": suffixes.ORACLE_SQL,
+        "op4_sharding": sharding.ORACLE_SQL,
+        "op6_decontamination": decontaminate.ORACLE_SQL,
+        "op9_window_dedup": windows.ORACLE_SQL,
+        "op10_near_duplicates": minhash.ORACLE_SQL,
+    }

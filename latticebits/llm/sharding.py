@@ -100,7 +100,10 @@ def permuted(i: Column, n: int, seed: int) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("long"))
 
 
-def shard(docs: DataFrame, n_shards: int = 8, seed: int = 20240501) -> DataFrame:
+SEED = 20240501
+
+
+def shard(docs: DataFrame, n_shards: int = 8, seed: int = SEED) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and row_number of every row.
 
     Broadcast: one row per partition of the numbered table, so at most the number of shuffle partitions."""
@@ -128,3 +131,24 @@ def shard(docs: DataFrame, n_shards: int = 8, seed: int = 20240501) -> DataFrame
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(shared.documents(spark, sf_dir))
+
+
+def _once_sql(p: str, source: str) -> str:
+    """The permutation once, of column p of a table with row_number, n, a and b, as nested subqueries."""
+    out = f"SELECT row_number, n, a, b, {p} // b AS l, {p} % b AS r FROM {source}"
+    for k, (mul, add) in enumerate(keys(SEED)):
+        change = f"l, (r + ((l * {mul} + {add}) >> 17)) % b AS r" if k % 2 else f"(l + ((r * {mul} + {add}) >> 17)) % a AS l, r"
+        out = f"SELECT row_number, n, a, b, {change} FROM ({out})"
+    return f"SELECT row_number, n, a, b, l * b + r AS p FROM ({out})"
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crcs),
+d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS MATERIALIZED (SELECT doc_id, len(h) // 2 + 1 AS size, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substring(h, 2 * i + 1, 2) AS BIGINT))), lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, t),
+q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number, count(*) OVER () AS n FROM s),
+z AS MATERIALIZED (SELECT row_number, n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT row_number, n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM q)),
+w AS ({_once_sql("row_number", "z")} UNION ALL {_once_sql("p", "w WHERE p >= n")})
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p % 8 AS INTEGER) AS shard, CAST(p // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(q.row_number AS BIGINT) AS row_number
+FROM q JOIN w ON q.row_number = w.row_number WHERE p < w.n
+"""

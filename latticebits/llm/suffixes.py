@@ -355,3 +355,20 @@ def remove_repeated(docs: DataFrame, *, with_text: bool = False, hot_spans: int
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(shared.documents(spark, sf_dir))
+
+
+#: For small tables: SQL has no way around all windows or pairs.
+ORACLE_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT rid, doc_id, i, substring(h, 2 * i + 1, 100) AS g FROM (SELECT rid, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+f AS (SELECT g, min(doc_id) AS least FROM p GROUP BY g HAVING min(doc_id) < max(doc_id)),
+x AS MATERIALIZED (SELECT DISTINCT rid, i FROM p JOIN f USING (g) WHERE doc_id > least),
+b AS (SELECT rid, i, CASE WHEN i - lag(i, 1, -1000) OVER (PARTITION BY rid ORDER BY i) > 50 THEN 1 ELSE 0 END AS opens FROM x),
+k AS (SELECT rid, i, sum(opens) OVER (PARTITION BY rid ORDER BY i) AS k FROM b),
+runs AS MATERIALIZED (SELECT rid, k, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY rid, k),
+t AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans, list((a, z) ORDER BY a) AS spans FROM runs GROUP BY rid),
+kept AS (SELECT d.rid, string_agg(substring(h, 2 * z0 + 1, 2 * (a - z0)), '' ORDER BY a) AS h FROM d JOIN
+  (SELECT rid, a, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS z0 FROM (SELECT rid, a, z FROM runs UNION ALL SELECT rid, len(h) // 2, NULL FROM d)) q ON d.rid = q.rid GROUP BY d.rid)
+SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (rid) LEFT JOIN t USING (rid)
+"""

@@ -216,3 +216,15 @@ def remove_repeated(docs: DataFrame, size: int = SIZE, *, with_text: bool = Fals
 
 def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(shared.documents(spark, sf_dir))
+
+
+#: For small tables: SQL has no way around all windows or pairs.
+ORACLE_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, doc_id, s, w[s:s + 19] AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+m AS (SELECT *, min((coalesce(doc_id, 9223372036854775807), s)) OVER (PARTITION BY g) AS first FROM p),
+c AS (SELECT rid, list_sort(list_distinct(flatten(list(range(s, s + 20))))) AS gone FROM m WHERE (coalesce(doc_id, 9223372036854775807), s) > first GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_where(w, list_transform(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i))), ' ') END, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (rid)
+"""
