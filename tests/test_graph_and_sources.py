@@ -88,7 +88,7 @@ def test_profile(spark):
     assert rows(profile.value_counts(df, "t")) == [("<NA>", 1), ("a", 1), ("b", 1)] and profile.label_counts(df, "t", 1) is None
     assert rows(profile.repeated_ids(df, "neuron_id")) == [(1, 2)]
     assert rows(profile.object_summary(spark.createDataFrame([("p/a", "100"), ("p/b", "250"), ("q", "9")], "name string, size string"), "p/")) == [(2, 350, 100, 250)]
-    assert checks.column_roles(["soma_x_nm", "cell_type", "neuron_id"]) == {"coordinate": ["soma_x_nm"], "label": ["cell_type"], "id": ["neuron_id"]}
+    assert checks.column_roles(["soma_x_nm", "cell_type", "neuron_id"]) == {"coordinate": ["soma_x_nm"], "label": ["cell_type"], "id": ["cell_type", "neuron_id"]}
 
 
 # ---- records and shards
