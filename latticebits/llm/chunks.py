@@ -82,7 +82,7 @@ class Corpus:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in _chunks(batches):
                 yield from f(chunk)
-                memory.release()
+                memory.after(len(chunk.data))
 
         return self.spark.read.schema(SCHEMA).parquet(self.path).mapInArrow(run, schema)
 
@@ -96,7 +96,7 @@ class Corpus:
 
         def answered(group: pa.Table) -> pa.Table:
             replies = answer(group.column("packed").to_pylist())
-            memory.release()
+            memory.after(group.nbytes)
             chunk = group.column("chunk")
             part = pa.array((chunk.to_numpy() >> 32).astype(np.int32))
             return pa.table({"part": part, "chunk": chunk, "bucket": group.column("bucket"), "packed": pa.array(replies, pa.binary())})

@@ -63,7 +63,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     counts = {k: F.greatest(n - (k - 1), F.lit(0)) for k in lengths}
     total = sum(counts.values(), F.lit(0))
     entries = base.select("row_id", "doc_id", "ws", "n_words", every.alias("every")).select("row_id", "doc_id", "ws", "n_words", F.posexplode_outer("every").alias("pos", "h"))
-    small = shared.rows_of(windows) <= MAX_BROADCAST
+    small = windows.count() <= MAX_BROADCAST
     met = entries.join(F.broadcast(windows) if small else windows, F.col("h") == F.col("hash"), "left")
     met = met.where(F.col("hash").isNotNull() | (F.col("pos") == total))
     start, before = F.lit(None).cast("int"), F.lit(0)

@@ -173,7 +173,7 @@ class Scorer:
             odds = np.exp2(np.maximum(total[np.arange(len(best)), best][:, None] - total, -1000.0)).sum(axis=1)
             labels.append(best)
             scores.append(1 / odds)
-            memory.release()
+            memory.after(int(upto[hi - 1] - (upto[lo - 1] if lo else 0)), 4 * memory.EVERY)
             lo = hi
         if not labels:
             return pa.array([], pa.string()), np.zeros(0)

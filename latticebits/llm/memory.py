@@ -27,6 +27,19 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+EVERY = 24 << 20
+_seen = 0
+
+
+def after(n_bytes: int, every: int = EVERY) -> None:
+    """release(), once for every so many bytes of text that a worker has gone through."""
+    global _seen
+    _seen += n_bytes
+    if _seen >= every:
+        _seen = 0
+        release()
+
+
 def release() -> None:
     pa.default_memory_pool().release_unused()
     if _trim is not None:

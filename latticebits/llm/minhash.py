@@ -128,7 +128,7 @@ def _batches(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _BATCH_BYTES)))
         yield lo, texts.slice(lo, hi - lo)
-        memory.release()
+        memory.after(int(upto[hi - 1] - (upto[lo - 1] if lo else 0)))
         lo = hi
 
 

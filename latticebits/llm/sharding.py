@@ -111,7 +111,7 @@ def shard(docs: DataFrame, n_shards: int = 8, seed: int = SEED) -> DataFrame:
     rows = shared.columns(docs, "doc_id", "text").select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     order = [shared.null_first("doc_id"), F.col("text_crc32"), F.col("size")]
     numbered = shared.written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rid", F.monotonically_increasing_id()), "shard-rows")
-    n = shared.rows_of(numbered)
+    n = numbered.count()
     part = F.shiftright("rid", 33)
     totals = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("total"))
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))

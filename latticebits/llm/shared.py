@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (tests, one machine).
-LOCAL_SHARED = "/tmp/latticebits-shared"
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """For sessions that name no folder (tests, one machine): removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="latticebits-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    os.makedirs(LOCAL_SHARED, exist_ok=True)
-    return f"file://{LOCAL_SHARED}"
+    return named.rstrip("/") if named else f"file://{_own_folder()}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -46,10 +51,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rows_of(df: DataFrame) -> int:
-    """Exact row count of a (small or written) table."""
-    return df.count()
-
-
 def null_first(c: str) -> Column:
     return F.col(c).asc_nulls_first()

@@ -198,8 +198,7 @@ class Encoder:
             hi = max(lo + 1, int(np.searchsorted(upto, before + _BATCH_BYTES)))
             raw, ends = self._flat(texts.slice(lo, hi - lo))
             out.extend(raw[a:b] + self.end for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
-            del raw
-            memory.release()
+            memory.after(int(upto[hi - 1] - before), 4 * memory.EVERY)
             lo = hi
         return out
 
