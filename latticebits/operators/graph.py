@@ -13,6 +13,8 @@ from latticebits.functions.columns import coerced_double, coerced_id, is_finite,
 MAX_NODES, MAX_PAIRS = 5_000, 5_000_000
 #: Tables of so many rows at most (some MB) are sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: The same for rows of three numbers: their broadcast spares a shuffle of the wide pair table.
+BROADCAST_COUNTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -23,9 +25,9 @@ class Graph:
     pairs: DataFrame
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint, given only after the size is checked (the count stops at the bound)."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def unique_rows(df: DataFrame, *keys: str) -> DataFrame:
@@ -125,7 +127,7 @@ def labelled_pairs(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """Pairs with synapse_count, 0 where there are none, and connected."""
     per = counts.select(F.col("pre").alias("source"), F.col("post").alias("target"), "synapse_count")
     n = F.coalesce("synapse_count", F.lit(0).cast("bigint"))
-    return pairs.join(per, ["source", "target"], "left").withColumn("synapse_count", n).withColumn("connected", (n > 0).cast("int"))
+    return pairs.join(small(per, BROADCAST_COUNTS), ["source", "target"], "left").withColumn("synapse_count", n).withColumn("connected", (n > 0).cast("int"))
 
 
 def build_graph(nodes: DataFrame, events: DataFrame, *, max_nodes: int | None = None, max_pairs: int = MAX_PAIRS, only_with_events: bool = True) -> Graph:

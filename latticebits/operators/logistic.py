@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticebits.functions.columns import geometry_features, sigmoid
+from latticebits.functions.columns import CLIP, geometry_features, sigmoid
 
 SCALE_FLOOR, WEIGHT_FLOOR = 1e-12, 1e-8
 NEWTON_STEP, NEWTON_ROUNDS = 1e-8, 100
 DAMPED_GRADIENT, DAMPED_STEP, DAMPED_ROUNDS = 1e-10, 1e-8, 500
+BLOCK_ROWS = 50_000
 ARMIJO, SHRINK, BACKTRACKS, TRIALS_A_PASS = 1e-4, 0.5, 31, 8
 
 
@@ -80,13 +81,26 @@ def _design(pairs: DataFrame) -> DataFrame:
     return pairs.select(*[c.alias(n) for n, c in features.items()], F.col("connected").cast("double").alias("y"), slab[0].alias("s_slab"), slab[1].alias("t_slab"))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of BLOCK_ROWS or a little more: fewer, larger matrix products."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BLOCK_ROWS:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _pass(design: DataFrame, specs: dict[str, Spec], per_fit) -> dict[str, np.ndarray]:
     """Sum over rows of per_fit(name, X, y), a flat vector, for each spec."""
     widths, items = _widths(), list(specs.items())
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in _blocks(batches):
             columns = [np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in batch.columns]
             x, y, s, t = np.column_stack(columns[:16]) if batch.num_rows else np.zeros((0, 16)), columns[16], columns[17].astype(int), columns[18].astype(int)
             chosen: dict[frozenset | None, tuple[np.ndarray, np.ndarray]] = {None: (x, y)}
@@ -235,6 +249,28 @@ def _line_search(design, open_, todo, mean, scale, beta, direction, slope, base,
     raise FitError(f"line search failed after {BACKTRACKS} trials: {sorted(waiting)[0]}")
 
 
+def slab_bits(pairs: DataFrame, fitted: dict[str, GeometryModel], n_slabs: int) -> dict[tuple[int, str], float]:
+    """Code length inside each slab under each model, in one Arrow pass: the plan of dozens of literal models would be
+    too large for generated code."""
+    widths = _widths()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {name: np.zeros(n_slabs) for name in fitted}
+        for batch in _blocks(batches):
+            columns = [np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in batch.columns]
+            x, y, slab = np.column_stack(columns[:16]), columns[16], columns[17].astype(int)
+            for name, m in fitted.items():
+                z = (x[:, : widths[m.name]] - m.means) / m.scales @ m.coefficients[1:] + m.coefficients[0]
+                e = np.exp(-np.abs(z))
+                p = np.clip(np.where(z >= 0, 1 / (1 + e), e / (1 + e)), CLIP, 1 - CLIP)
+                totals[name] += np.bincount(slab, weights=-np.log2(np.where(y == 1, p, 1 - p)), minlength=n_slabs)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([v.tolist() for v in totals.values()], pa.list_(pa.float64()))], ["name", "v"])
+
+    inside = _design(pairs).where("s_slab = t_slab")
+    sums = inside.mapInArrow(partial, "name string, v array<double>").select("name", F.posexplode("v").alias("slab", "bits")).groupBy("name", "slab").agg(F.sum("bits").alias("bits"))
+    return {(r["slab"], r["name"]): r["bits"] for r in sums.collect()}  # slabs times models
+
+
 def fit(pairs: DataFrame, feature_set: str = "relative", l2: float = 1.0, solver: str = "newton") -> GeometryModel:
     return fit_many(pairs, [Spec("fit", feature_set, l2)], solver)["fit"]
 

@@ -37,9 +37,9 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 # ---- relations
 
 
-@query("SELECT source, target, round(distance, 6) AS distance FROM cand")
+@query("SELECT source, target, round(distance, 3) AS distance FROM cand")
 def candidate_pairs(spark, d):
-    return rounded(graph.candidate_pairs(b.nodes(spark, d)).select("source", "target", "distance"), "distance")
+    return rounded(graph.candidate_pairs(b.nodes(spark, d)).select("source", "target", "distance"), "distance", digits=3)
 
 
 @query("SELECT pre, post, synapse_count FROM cnt")
@@ -248,10 +248,10 @@ def entropy_bits(spark, d):
 _FEATURES_SQL = {"f_log_distance": "ln(1 + distance)"} | {f"f_abs_{a}": f"abs(t{a} - s{a})" for a in "xyz"} | {f"f_unit_{a}": f"(t{a} - s{a}) / greatest(distance, 1e-12)" for a in "xyz"} | {f"f_source_{a}": f"s{a}" for a in "xyz"} | {f"f_target_{a}": f"t{a}" for a in "xyz"} | {f"f_middle_{a}": f"(s{a} + t{a}) / 2" for a in "xyz"}
 
 
-@query(f"SELECT source, {', '.join(f'round(avg({v}), 4) AS {k}' for k, v in _FEATURES_SQL.items())} FROM pairs GROUP BY source")
+@query(f"SELECT source, {', '.join(f'round(avg({v}), 2) + 0.0 AS {k}' for k, v in _FEATURES_SQL.items())} FROM pairs GROUP BY source")
 def geometry_features(spark, d):
     pairs = graph.candidate_pairs(b.nodes(spark, d))
-    return pairs.groupBy("source").agg(*[F.round(F.avg(v), 4).alias(k) for k, v in c.geometry_features("spatial").items()])
+    return pairs.groupBy("source").agg(*[(F.round(F.avg(v), 2) + 0.0).alias(k) for k, v in c.geometry_features("spatial").items()])
 
 
 @query(f"SELECT {', '.join(f'round(avg({v}), 4) + 0.0 AS mean_{k}, round(stddev_pop({v}), 4) AS sd_{k}' for k, v in list(_FEATURES_SQL.items())[:7])} FROM pairs")
