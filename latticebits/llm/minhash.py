@@ -1,11 +1,11 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
 Shingles are five consecutive words (runs without white space, lower-cased; a text of one to four words is one
-shingle), weighted by how often the text has them. Every shingle sends a Poisson process of arrivals, of a rate equal
-to its weight and drawn from its hash, to REGISTERS registers; each register keeps the shingle that arrives first, and
-a shingle stops once its next arrival is later than the latest register. The share of equal registers estimates the
-probability Jaccard of two texts, which is their Jaccard similarity where shingles don't repeat. Registers are cut
-into BANDS bands; texts that share a band meet.
+shingle), each of weight 1 however often the text has it. Every shingle sends a Poisson process of arrivals, of a rate
+equal to its weight and drawn from its hash, to REGISTERS registers; each register keeps the shingle that arrives first,
+and a shingle stops once its next arrival is later than the latest register. With equal weights the share of equal
+registers estimates the Jaccard similarity of the shingle sets, the measure that links are verified by. Registers are
+cut into BANDS bands; texts that share a band meet.
 
 Texts of one shingle set are one node. In each bucket every node is paired with the least node; pairs are verified by
 the exact Jaccard similarity of their shingle sets, after their registers say that it may reach the threshold. Where
@@ -148,8 +148,8 @@ def sign(docs: DataFrame, *keep: str) -> DataFrame:
         for batch in batches:
             for lo, texts in _batches(batch.column(batch.num_columns - 1)):
                 n = len(texts)
-                doc, value, weight = shingler(texts)
-                won = registers(doc, value, weight.astype(np.float64), n)
+                doc, value, _ = shingler(texts)
+                won = registers(doc, value, np.ones(len(doc)), n)
                 key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], n, axis=0)
                 for j in range(ROWS):
                     key = _mix(key * _GOLDEN + won.reshape(n, BANDS, ROWS)[:, :, j])

@@ -235,6 +235,18 @@ def test_near_duplicates(docs, rows):
     assert {r.doc_id for r in kept.collect()} >= {i for i in least.values() if i is not None}
 
 
+@pytest.mark.parametrize("times", [5, 10, 50])
+def test_repeated_lines_do_not_hide_near_duplicates(spark, times):
+    said = [f"w{i}" for i in range(200)]
+    line = " ".join(f"line{i}" for i in range(20))
+    edited = said[:100] + ["edited"] + said[101:]
+    rows = [(1, " ".join([*said, line])), (2, " ".join([*edited, *[line] * times]))]
+    a, b = (shingle_set(t) for _, t in rows)
+    assert len(a & b) >= 0.8 * len(a | b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(minhash.near_duplicates(docs)) == Counter([(1, 1), (2, 1)])
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.deduplicated(empty).count() == 0
 
