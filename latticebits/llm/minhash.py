@@ -7,7 +7,7 @@ and a shingle stops once its next arrival is later than the latest register. Wit
 registers estimates the Jaccard similarity of the shingle sets, the measure that links are verified by. Registers are
 cut into BANDS bands; texts that share a band meet.
 
-Texts of one shingle set are one node. In each bucket every node is paired with the least node; pairs are verified by
+Texts of one shingle set have one signature, whatever stands beside them in a batch, and are one node. In each bucket every node is paired with the least node; pairs are verified by
 the exact Jaccard similarity of their shingle sets, after their registers say that it may reach the threshold. Where
 that leaves a bucket with several classes, its node of most links so far meets the nodes of the others, a few times
 over; what is then still apart is compared in all pairs across classes: no pair of a bucket that could join two classes
@@ -105,8 +105,9 @@ def registers(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: in
         block = max(1, min(128, 200_000 // len(active)))
         draw = np.arange(step + 1, step + block + 1, dtype=np.uint64) * _GOLDEN
         z = _mix(shingle[active][:, None] + draw[None, :])
-        gap = -np.log(((z >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53))
-        when = time[active][:, None] + np.cumsum(gap, axis=1) / weight[active][:, None]
+        gap = -np.log(((z >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / weight[active][:, None]
+        gap[:, 0] += time[active]
+        when = np.cumsum(gap, axis=1)  # one sum from the first arrival on: blocks, and so other texts, don't change it
         to = doc[active][:, None] * m + (_mix(z + _GOLDEN) % np.uint64(m)).astype(np.int64)
         time[active] = when[:, -1]
         when, to, who = when.ravel(), to.ravel(), np.repeat(active, block)
@@ -191,7 +192,8 @@ _NO_ID = -(2**63)  # stands for a null doc_id
 
 def classes(docs: DataFrame, signatures: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(h1, h2, comp, class_id) of every shingle set in signatures, a written table of sign(docs, "doc_id", ...)."""
-    grouped = signatures.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_doc"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("registers").alias("registers"))
+    grouped = signatures.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_doc"), F.any_value("n_shingles").alias("n"), F.min(F.struct("registers", "bands")).alias("signature"))
+    grouped = grouped.select("h1", "h2", "min_doc", "n", "signature.bands", "signature.registers")
     nodes = shared.written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     buckets = nodes.select(F.explode("bands").alias("key"), "node")
     heads = buckets.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("key", "u")

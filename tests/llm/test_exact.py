@@ -247,6 +247,16 @@ def test_repeated_lines_do_not_hide_near_duplicates(spark, times):
     assert bag(minhash.near_duplicates(docs)) == Counter([(1, 1), (2, 1)])
 
 
+def test_one_shingle_set_has_one_signature(spark):
+    line = " ".join(f"w{i}" for i in range(90))
+    variants = [" ".join([line] * n) for n in (2, 3, 30)]
+    crowd = [f"other{i} " * 3 + line for i in range(300)]
+    alone = [minhash.sign(spark.createDataFrame([(1, t)], "doc_id long, text string"), "doc_id").drop("doc_id").first() for t in variants]
+    among = spark.createDataFrame([(i, t) for i, t in enumerate(variants + crowd)], "doc_id long, text string").coalesce(1)
+    assert len({tuple(map(str, r)) for r in alone}) == 1
+    assert {tuple(map(str, r)) for r in minhash.sign(among, "doc_id").where("doc_id < 3").drop("doc_id").collect()} == {tuple(map(str, alone[0]))}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.deduplicated(empty).count() == 0
 
