@@ -5,8 +5,10 @@ that hold a digit or an @; other tokens are O by definition. A node has a label
 learned weight for each feature of its shape; neighbours share a learned transition weight; skip edges join a token
 to the nearest earlier one of the same letters and digits, and one whose digits end like it, with a learned weight
 for agreement, so evidence at one place reaches the others. Nodes under base spans are observed. Loopy message
-passing gives each other node its marginals; it becomes a span of a kind if that kind has at least ADD of the
-probability and skip edges lead from the node to a base span of the kind.
+passing gives each other node its marginals, in every text. Neighbours of which one kind has at least ADD of the
+probability become one span if what they hold is a span of that kind by its pattern when read alone (the greedy patterns
+lose numbers that stand beside others); any other such node becomes a span if skip edges lead from it to a base span of
+the kind. Skip edges also join base cards and phones to runs of neighbouring tokens that repeat their digits.
 
 Weights are trained piecewise (features, transitions and agreement each by their own likelihood) on the base labels
 of a bounded sample of documents, chosen by a hash of doc_id: TRAIN_DOCS are expected.
@@ -32,6 +34,8 @@ from latticebits.llm import shared
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, TRAIN_MAX_CHARS = 3000, 1 << 16
 ADD = 0.5
+#: Digits at the end of a number that tell it again.
+REPEAT = 7
 ROUNDS = 25
 #: Skip edges counted before any is seen: (ends of different labels, ends of one label).
 AGREE_PRIOR = (1.0, 20.0)
@@ -161,6 +165,46 @@ def nodes_of(text: str, base: list[Span]) -> Nodes:
     return Nodes(begin, end, np.array(x).reshape(-1, _FEATURES), observed, shape(chain), shape(skip))
 
 
+def repeats(text: str, nodes: Nodes, base: list[Span]) -> np.ndarray:
+    """Skip edges from the nodes of base cards and phones to neighbouring nodes that together repeat their digits, or at
+    least their last REPEAT ones: a number may be cut into other tokens each time. Such nodes take the shape of their run."""
+    digits = [_only_digits(text[a:b]) for a, b in zip(nodes.begin, nodes.end)]
+    plain = [bool(d) and not any(c.isalpha() or c == "@" for c in text[a:b]) for d, a, b in zip(digits, nodes.begin, nodes.end)]
+    near = {int(b) for _, b in nodes.chain}
+    whole: dict[str, dict[tuple[int, str], list[int]]] = {}  # by the last digits: the owner of each digit, once a number
+    for kind, a, b in base:
+        if kind >= 2:
+            own = [i for i in range(max(0, int(np.searchsorted(nodes.begin, a)) - 1), int(np.searchsorted(nodes.begin, b))) if nodes.end[i] > a]
+            owner = [i for i in own for c in text[max(a, nodes.begin[i]) : min(b, nodes.end[i])] if "0" <= c <= "9"]
+            number = _only_digits(text[a:b])
+            if len(owner) == len(number):
+                whole.setdefault(number[-REPEAT:], {}).setdefault((kind, number), owner)
+    edges = {(int(a), int(b)) for a, b in nodes.skip}
+    new = []
+    for end in range(len(digits) if whole else 0):
+        tail, i = "", end + 1
+        while len(tail) < REPEAT and i > 0 and plain[i - 1] and (i > end or i in near):
+            i -= 1
+            tail = digits[i] + tail
+        for (_, number), owner in whole.get(tail[-REPEAT:], {}).items():
+            left, i = len(number), end
+            if len(digits[end]) >= REPEAT and not number.endswith(digits[end]):
+                pairs = {(owner[-k], end) for k in range(1, REPEAT + 1)}
+                left -= REPEAT
+            else:
+                pairs = set()
+                while i >= 0 and plain[i] and (i == end or i + 1 in near) and left and number[:left].endswith(digits[i]):
+                    pairs |= {(owner[left - k], i) for k in range(1, len(digits[i]) + 1)}
+                    left -= len(digits[i])
+                    i -= 1
+            if len(number) - left >= REPEAT:
+                new += [e for e in sorted(pairs) if e[0] != e[1] and e not in edges and e[::-1] not in edges]
+                edges |= pairs
+                for k in {k for _, k in pairs if nodes.observed[k] < 0 and len(pairs) and i + 1 < end}:
+                    nodes.x[k] = _features(text[nodes.begin[i + 1] : nodes.end[end]])
+    return np.array(new, dtype=np.int64).reshape(-1, 2)
+
+
 @dataclass
 class Field:
     weights: np.ndarray  # features x labels
@@ -230,11 +274,10 @@ class Field:
         return belief / belief.sum(axis=1, keepdims=True)
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        if not base:
-            return []
         nodes = nodes_of(text, base)
-        if not len(nodes.skip) or (nodes.observed[nodes.skip] >= 0).all() or not (nodes.observed[nodes.skip] > 0).any():
+        if not (nodes.observed < 0).any():
             return []
+        nodes.skip = np.concatenate([nodes.skip, repeats(text, nodes, base)])
         # which kinds reach a node by skip edges
         reach = np.zeros((len(nodes.begin), len(KINDS) + 1), dtype=bool)
         own = nodes.observed > 0
@@ -245,15 +288,26 @@ class Field:
             np.logical_or.at(reach, nodes.skip[:, 0], reach[nodes.skip[:, 1]])
             if reach.sum() == before:
                 break
-        open_ = (nodes.observed < 0) & reach[:, 1:].any(axis=1)
-        if not open_.any():
-            return []
         p = self.marginals(nodes)
-        out = []
-        for i in np.flatnonzero(open_):
-            kind = int(p[i, 1:].argmax()) + 1
-            if p[i, kind] >= ADD and reach[i, kind]:
-                out.append((kind - 1, nodes.begin[i], nodes.end[i]))
+        kinds = p[:, 1:].argmax(axis=1) + 1
+        kinds[(nodes.observed >= 0) | (p[np.arange(len(p)), kinds] < ADD)] = 0
+        out, i = [], 0
+        near = {int(b) for _, b in nodes.chain}  # nodes that have a neighbour before them
+        while i < len(kinds):
+            kind, j = int(kinds[i]), i + 1
+            if kind:
+                # the longest run of neighbours of this kind that is a span of it when read alone
+                digits = [len(_only_digits(text[nodes.begin[i] : nodes.end[i]]))]
+                while j < len(kinds) and j in near and kinds[j] == kind and sum(digits) <= 19:
+                    digits.append(len(_only_digits(text[nodes.begin[j] : nodes.end[j]])))
+                    j += 1
+                while j > i and (kind - 1, 0, nodes.end[j - 1] - nodes.begin[i]) not in base_spans(text[nodes.begin[i] : nodes.end[j - 1]]):
+                    j -= 1
+                if j > i:
+                    out.append((kind - 1, nodes.begin[i], nodes.end[j - 1]))
+                elif reach[i, kind]:
+                    out.append((kind - 1, nodes.begin[i], nodes.end[i]))
+            i = max(j, i + 1)
         return out
 
 

@@ -361,6 +361,20 @@ def test_skip_chain_carries_labels_only_where_they_lead():
     assert pii.find("Later: 555-2485 and 4111111111111112", field) == ([], [])
 
 
+def test_numbers_cut_into_other_tokens_and_numbers_beside_others():
+    sample = [f"call +1 (55{i % 10}) 555-{1000 + i} or write user{i}@mail.example.com, in {1900 + i} with {i} of {i * 7} 10.0.0.{i}" for i in range(200)]
+    field = pii.Field.fit(sample)
+    text = "Call +1 555 123 4567 now. Later 555 123 4567 or 5551234567, in 1999 with 555 or 123 of them."
+    base, added = pii.find(text, field)
+    assert [text[a:b] for _, a, b in base] == ["+1 555 123 4567"]
+    assert pii.redact_text(text, base + added).replace("[PHONE] [PHONE] [PHONE]", "[PHONE]") == "Call [PHONE] now. Later [PHONE] or [PHONE], in 1999 with 555 or 123 of them."
+    text = "Des +1 (826) 555-4081 190.137.223.204 du"
+    base, added = pii.find(text, field)
+    assert pii.redact_text(text, base + added) == "Des [PHONE] [IP] du"
+    text = "Des +1 (826) 555-4081 1234567891 du"
+    assert pii.find(text, field)[0] == [] and pii.redact_text(text, pii.find(text, field)[1]) == "Des [PHONE] 1234567891 du"
+
+
 def test_messages_are_exact_on_a_chain():
     field = pii.Field(np.random.default_rng(0).normal(size=(pii._FEATURES, 5)), np.random.default_rng(1).normal(size=(5, 5)), 1.0)
     x = np.random.default_rng(2).normal(size=(3, pii._FEATURES))
