@@ -8,7 +8,8 @@ language with the least one is predicted. The cost of a word depends on nothing
 bounded table and looks only at words new to it.
 
 Training: labelled texts of at most MAX_DOC_BYTES, chosen by a hash of doc_id with a rate that lets TRAIN_BYTES be
-expected for each label (TOTAL_BYTES for all of them): a bounded sample. Prediction reads whole texts and only them.
+expected for each label (TOTAL_BYTES for all of them): a bounded sample. A label of which nothing is drawn gives a
+piece of one text, of a longer one where it has no other. Prediction reads whole texts and only them.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is every text where nothing could
 be learned; equal code lengths go to the label that sorts first; null labels and null doc_ids are not learned from;
@@ -193,19 +194,27 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, learn_from: Column | None = None, *, train_bytes: int = TRAIN_BYTES, total_bytes: int = TOTAL_BYTES) -> Model | None:
     """A model of docs (doc_id, text, lang); None where no labelled text can be learned from."""
-    usable = shared.columns(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= MAX_DOC_BYTES) & (~held_out() if learn_from is None else learn_from))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    usable = shared.columns(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & (~held_out() if learn_from is None else learn_from))
+    short, order = F.octet_length("text") <= MAX_DOC_BYTES, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.sum(F.when(short, F.octet_length("text")).otherwise(0)).alias("n")).collect()}
     if not sizes:
         return None
     share = min(train_bytes, total_bytes // len(sizes))
     rate = F.lit(0.0)
     for language, n in sizes.items():
-        rate = F.when(F.col("lang") == language, F.lit(min(1.0, share / n))).otherwise(rate)
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * float(1 << 30)).select("lang", "text")
+        rate = F.when(F.col("lang") == language, F.lit(min(1.0, share / max(n, 1)))).otherwise(rate)
+    drawn = usable.where(short & (order < rate * float(1 << 30))).select("lang", "text")
     texts: dict[str, list[str]] = {}
     for row in drawn.collect():  # about total_bytes
         texts.setdefault(row["lang"], []).append(row["text"])
-    return Model.fit({k: sorted(v) for k, v in texts.items()}) if texts else None
+    missing = [language for language in sizes if language not in texts]
+    if missing:
+        # four bytes a character at most
+        piece = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max(min(share, MAX_DOC_BYTES) // 4, 64) - 1}}}", 0)
+        first = usable.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.struct((~short).alias("long"), order.alias("order"), piece.alias("piece"))).alias("first"))
+        for row in first.collect():
+            texts[row["lang"]] = [row["first"]["piece"]]
+    return Model.fit({k: sorted(v) for k, v in texts.items()})
 
 
 def predicted(spark: SparkSession, model: Model | None):

@@ -81,6 +81,15 @@ def test_training_on_nothing(spark, empty, docs):
     assert {r[0] for r in docs.select(language.predicted(spark, None)("text")["lang_pred"]).collect()} == {"und"}
 
 
+def test_no_label_is_lost_in_training(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "12 " + " ".join(DE * 100), "de")] + [(10 + i, f"{EN[i % 3]} {i}", f"l{i:02}") for i in range(40)]
+    assert len(rows[0][1]) > language.MAX_DOC_BYTES
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), total_bytes=41 * 8)
+    assert model.languages == sorted(r[2] for r in rows)
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     import corpus_pipeline as c
 
