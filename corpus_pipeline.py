@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. run() writes each stage's rows as a table in the shared folder and hands the next one that table.
 
-- language: documents in which no language is found (null, or without a letter) go.
+- language: documents in which no language is found (null, or without a letter) go, also where no label can be learned.
 - near duplicates: of each class at a Jaccard similarity of 0.8 over five words the document of the least doc_id stays.
 - decontamination: documents that hold ten words in a row of a benchmark item go.
 - personal data: spans are replaced by their kind; n_chars is counted anew.
@@ -19,7 +19,10 @@ from latticebits.llm import decontaminate, language, minhash, packing, pii, shar
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    predict = language.predicted(spark, language.train(docs))
+    model = language.train(docs)
+    if model is None:  # no labelled text to tell languages by: none is turned away for that
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    predict = language.predicted(spark, model)
     return docs.where(predict(F.col("text"))["lang_pred"] != language.UND)
 
 

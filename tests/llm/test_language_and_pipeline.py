@@ -90,6 +90,13 @@ def test_no_label_is_lost_in_training(spark):
     assert model.languages == sorted(r[2] for r in rows)
 
 
+def test_documents_without_labels_stay(spark, tmp_path):
+    import corpus_pipeline as c
+
+    docs = spark.createDataFrame([(1, EN[0], None), (2, "12 --", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in c.keep_known_language(spark, docs, str(tmp_path)).collect()] == [1]
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     import corpus_pipeline as c
 
