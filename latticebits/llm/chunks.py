@@ -6,15 +6,23 @@ may send, for each bucket of keys, one packed binary of what it asks; a bucket a
 binary; answers are written by chunk part to the shared folder, where the next pass over the chunks reads its own.
 So neither texts nor keys travel as rows of their own, and texts are not shuffled.
 
-Answers are read with pyarrow's file systems from the shared folder's URI (file, hdfs, s3, gs, abfs).
+Chunks and buckets grow with the square root of the corpus once it is large, so the number of messages, chunks times
+buckets, grows in proportion to the corpus and each keeps some hundreds of bytes: 8 MB buckets and 2 MB chunks up to
+about 80 GB of text, 28 and 7 MB at 1 TB, 283 and 71 MB at 100 TB.
+
+Answers are read with pyarrow's file systems from the shared folder's URI (file, hdfs, s3, gs, abfs), those of SLICE
+chunks at a time.
+
+Defined results: null texts are empty texts, null doc_ids stay null (and compare as LAST); repeated rows are texts of
+their own; an empty table has no chunks; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +35,15 @@ from latticebits.llm import memory, shared
 
 CHUNK_BYTES, CHUNK_DOCS = 2 << 20, 16384
 BUCKET_BYTES, MIN_BUCKETS = 8 << 20, 64
+#: A bucket has at least the square root of so many times the corpus, in bytes; a chunk a quarter of that.
+GROWTH = 800
+#: Chunks whose answers share a folder: 2**SLICE.
+SLICE = 3
 #: Stands for a null doc_id in comparisons: later than every other.
 LAST = 2**63 - 1
 SCHEMA = "chunk long, n_bytes long, ids array<long>, ends array<long>, data binary"
 ASK = "bucket int, chunk long, packed binary"
-ANSWER = "part int, chunk long, bucket int, packed binary"
+ANSWER = "slice long, chunk long, bucket int, packed binary"
 
 
 @contextmanager
@@ -86,41 +98,40 @@ class Corpus:
 
         return self.spark.read.schema(SCHEMA).parquet(self.path).mapInArrow(run, schema)
 
-    def ask(self, ask: Callable[[Chunk], Iterator[tuple[int, bytes]]], answer: Callable[[list[bytes]], list[bytes]], name: str) -> str:
-        """Where the answers are. ask gives (bucket, what it asks) for a chunk; answer gets a bucket's questions, one
-        or more of each chunk that has any, and gives as many answers."""
+    def ask(self, ask: Callable[[Chunk], Iterator[tuple[int, bytes]]], answer: Callable[[int, list[bytes]], list[bytes]], name: str) -> str:
+        """Where the answers are. ask gives (bucket, what it asks) for a chunk; answer gets a bucket and its questions,
+        one of each chunk that has any, and gives as many answers."""
 
         def asked(chunk: Chunk) -> Iterator[pa.RecordBatch]:
             for bucket, packed in ask(chunk):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk.id], pa.int64()), pa.array([packed], pa.binary())], ["bucket", "chunk", "packed"])
 
         def answered(group: pa.Table) -> pa.Table:
-            replies = answer(group.column("packed").to_pylist())
+            replies = answer(group.column("bucket")[0].as_py(), group.column("packed").to_pylist())
             memory.after(group.nbytes)
             chunk = group.column("chunk")
-            part = pa.array((chunk.to_numpy() >> 32).astype(np.int32))
-            return pa.table({"part": part, "chunk": chunk, "bucket": group.column("bucket"), "packed": pa.array(replies, pa.binary())})
+            return pa.table({"slice": pa.array(chunk.to_numpy() >> SLICE, pa.int64()), "chunk": chunk, "bucket": group.column("bucket"), "packed": pa.array(replies, pa.binary())})
 
         path = shared.new_path(self.spark, name)
         with small_batches(self.spark):
-            self.scan(asked, ASK).groupBy("bucket").applyInArrow(answered, ANSWER).repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(path)
+            self.scan(asked, ASK).groupBy("bucket").applyInArrow(answered, ANSWER).repartition("slice").write.partitionBy("slice").option("compression", "zstd").parquet(path)
         return path
 
 
 class Answers:
-    """Answers to chunks, the parts read last kept."""
+    """Answers to chunks, those of the slice read last kept."""
 
     def __init__(self, path: str):
-        self.path, self.part, self.found = path, -1, {}
+        self.path, self.slice, self.found = path, -1, {}
 
     def of(self, chunk: int) -> dict[int, bytes]:
         """By bucket."""
-        if chunk >> 32 != self.part:
+        if chunk >> SLICE != self.slice:
             import pyarrow.dataset as ds
             from pyarrow import fs
 
-            self.part, self.found = chunk >> 32, {}
-            system, at = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", f"{self.path}/part={self.part}"))
+            self.slice, self.found = chunk >> SLICE, {}
+            system, at = fs.FileSystem.from_uri(shared.arrow_uri(f"{self.path}/slice={self.slice}"))
             if system.get_file_info(at).type == fs.FileType.Directory:
                 for row in ds.dataset(at, filesystem=system, format="parquet").to_table(columns=["chunk", "bucket", "packed"]).to_pylist():
                     self.found.setdefault(row["chunk"], {})[row["bucket"]] = row["packed"]
@@ -129,27 +140,45 @@ class Answers:
 
 def stage(docs: DataFrame) -> Corpus:
     """docs (doc_id, text) as chunks; null text counts as empty."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n_bytes = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1), F.lit(0))).first()[0]
+    bucket_bytes = max(BUCKET_BYTES, isqrt(GROWTH * n_bytes))
+    chunk_bytes = max(CHUNK_BYTES, bucket_bytes // 4)
+    chunk_docs = CHUNK_DOCS * max(1, chunk_bytes // CHUNK_BYTES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        high, seq = TaskContext.get().partitionId() << 32, 0
+        chunk = TaskContext.get().partitionId() << 32
+        held: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+        size = count = 0
+
+        def made() -> pa.RecordBatch:
+            nonlocal chunk, size, count
+            texts = pa.concat_arrays([h[1] for h in held])
+            ends = np.cumsum(np.concatenate([h[2] for h in held])) - 1
+            data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), b"\n")[0].as_buffer().to_pybytes() + b"\n"
+            ids = pa.concat_arrays([h[0] for h in held])
+            row = pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends.astype(np.int64)], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["chunk", "n_bytes", "ids", "ends", "data"])
+            chunk, size, count = chunk + 1, 0, 0
+            held.clear()
+            return row
+
         for batch in batches:
-            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-            upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False) + 1)
+            texts = pc.fill_null(batch.column(1).cast(pa.binary()), b"")
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
             lo = 0
             while lo < len(texts):
-                hi = max(lo + 1, min(lo + CHUNK_DOCS, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CHUNK_BYTES))))
-                part = texts.slice(lo, hi - lo)
-                ends = upto[lo:hi] - 1 - (upto[lo - 1] if lo else 0)
-                data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.concat_arrays([part.cast(pa.string())])), "\n")[0].as_py().encode() + b"\n"
-                yield pa.RecordBatch.from_arrays([pa.array([high | seq], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([batch.column(0).slice(lo, hi - lo)], pa.list_(pa.int64())), pa.array([ends.astype(np.int64)], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["chunk", "n_bytes", "ids", "ends", "data"])
-                seq, lo = seq + 1, hi
+                hi = min(len(texts), lo + 1 + int(np.searchsorted(np.cumsum(sizes[lo:]), chunk_bytes - size)), lo + chunk_docs - count)
+                held.append((batch.column(0).slice(lo, hi - lo), texts.slice(lo, hi - lo), sizes[lo:hi]))
+                size, count, lo = size + int(sizes[lo:hi].sum()), count + hi - lo, hi
+                if size >= chunk_bytes or count >= chunk_docs:
+                    yield made()
+        if held:
+            yield made()
 
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     staged = shared.new_path(spark, "chunks")
     rows.mapInArrow(cut, SCHEMA).write.option("compression", "zstd").parquet(staged)
-    n_bytes = spark.read.schema(SCHEMA).parquet(staged).agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    return Corpus(spark, staged, n_bytes, max(MIN_BUCKETS, -(-n_bytes // BUCKET_BYTES)))
+    return Corpus(spark, staged, n_bytes, max(MIN_BUCKETS, -(-n_bytes // bucket_bytes)))
 
 
 def planes(values: np.ndarray) -> bytes:

@@ -134,29 +134,27 @@ class Scorer:
     """A model with the costs of the words seen last."""
 
     def __init__(self, model: Model):
-        self.model, self.fingerprints = model, tokens.Fingerprints()
+        self.model = model
         self._clear()
 
     def _clear(self) -> None:
-        self.table = tokens._Table(tokens.SLOTS // 2)
-        self.bits = np.zeros((0, len(self.model.languages)), np.float32)
+        self.table, self.bits = tokens.WordTable(max(1, len(self.model.languages) // 8)), np.zeros((0, len(self.model.languages)))
 
     def costs(self, words: pa.StringArray) -> np.ndarray:
-        ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
-        h1, h2 = self.fingerprints(np.frombuffer(words.buffers()[2] or b"", np.uint8)[: ends[-1]], ends[:-1], ends[1:])
-        slot = self.table.find(h1, h2)
-        new = np.flatnonzero(slot < 0)
+        """Bits of each of these different words under each language."""
+        texts = words.to_numpy(zero_copy_only=False)
+        number = self.table.find(texts)
+        new = np.flatnonzero(number < 0)
         if len(new):
-            if self.table.words + len(new) > tokens.WORDS // 2:
+            sizes = pc.binary_length(words).to_numpy(zero_copy_only=False)
+            if self.table.full(len(new), int(sizes[new].sum())):
                 self._clear()
-                new = np.arange(len(words))
-            at = self.table.words
-            if at + len(new) > len(self.bits):
-                self.bits = np.concatenate([self.bits[:at], np.zeros((at + len(new) + 50_000, len(self.model.languages)), np.float32)])
-            self.bits[at : at + len(new)] = self.model.word_costs(words.take(pa.array(new)))
-            self.table.add(h1[new], h2[new], np.arange(at, at + len(new), dtype="<u4"), np.ones(len(new), np.int32))
-            slot = self.table.find(h1, h2)
-        return self.bits[self.table.pool[self.table.start[slot]]]
+                new = np.arange(len(texts))
+            at = number[new] = self.table.add(texts[new], int(sizes[new].sum()))
+            if at[-1] >= len(self.bits):
+                self.bits = np.concatenate([self.bits, np.zeros((at[-1] + len(at) + 1 - len(self.bits), len(self.model.languages)))])
+            self.bits[at] = self.model.word_costs(words.take(pa.array(new)))
+        return self.bits[number]
 
     def predict(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The label and its probability, all labels alike beforehand, of each text."""
@@ -169,7 +167,7 @@ class Scorer:
             split = split_words(texts.slice(lo, hi - lo))
             coded = split.flatten().dictionary_encode()
             each = self.costs(coded.dictionary)[coded.indices.to_numpy()]
-            total = np.add.reduceat(each.astype(np.float64), split.offsets.to_numpy()[:-1] - split.offsets[0].as_py(), axis=0)
+            total = np.add.reduceat(each, split.offsets.to_numpy()[:-1] - split.offsets[0].as_py(), axis=0)
             best = total.argmin(axis=1)
             odds = np.exp2(np.maximum(total[np.arange(len(best)), best][:, None] - total, -1000.0)).sum(axis=1)
             labels.append(best)

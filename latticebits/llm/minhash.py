@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticebits.llm import memory, shared, tokens
+from latticebits.llm import hashing, memory, shared
 from latticebits.llm.components import components
+from latticebits.llm.hashing import GOLDEN, mix
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -44,20 +45,12 @@ HUB_ROUNDS = 2
 #: Nodes of a block of a family, on average.
 BLOCK = 256
 _BATCH_BYTES = 1 << 20
-_MIX1, _MIX2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
 SIGNATURE = "h1 long, h2 long, n_shingles int, bands array<long>, registers binary"
 
 
-def _mix(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(30))) * _MIX1
-    z = (z ^ (z >> np.uint64(27))) * _MIX2
-    return z ^ (z >> np.uint64(31))
-
-
 class Shingler:
     def __init__(self, words: int = WORDS):
-        self.fingerprints, self.words = tokens.Fingerprints(), words
+        self.words = words
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """doc, shingle hash and count of every different shingle, sorted by doc and hash."""
@@ -65,11 +58,8 @@ class Shingler:
         flat = split.flatten()
         doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
         coded = flat.dictionary_encode()
-        d = coded.dictionary
-        ends = np.frombuffer(d.buffers()[1], np.int32)[: len(d) + 1].astype(np.int64) if len(d) else np.zeros(1, np.int64)
-        h = self.fingerprints(np.frombuffer((d.buffers()[2] if len(d) else None) or b"", np.uint8)[: ends[-1]], ends[:-1], ends[1:])[0]
         index = coded.indices.to_numpy()
-        word, real = h[index], np.diff(ends)[index] > 0
+        word, real = hashing.of_words(coded.dictionary)[index], pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False)[index] > 0
         word, doc = word[real], doc[real]
         n = np.bincount(doc, minlength=len(texts))
         first = np.cumsum(n) - n
@@ -78,15 +68,15 @@ class Shingler:
         at = np.flatnonzero(np.arange(len(word)) + self.words <= last[doc])
         value = np.zeros(len(at), np.uint64)
         for j in range(self.words):
-            value = value * _GOLDEN + word[at + j]
-        value, owner = _mix(value), doc[at]
+            value = value * GOLDEN + word[at + j]
+        value, owner = mix(value), doc[at]
         short = np.flatnonzero((n > 0) & (n < self.words))
         if len(short):
             v = np.zeros(len(short), np.uint64)
             for j in range(self.words - 1):
                 has = j < n[short]
-                v[has] = v[has] * _GOLDEN + word[first[short][has] + j]
-            value, owner = np.concatenate([value, _mix(v + np.uint64(1))]), np.concatenate([owner, short])
+                v[has] = v[has] * GOLDEN + word[first[short][has] + j]
+            value, owner = np.concatenate([value, mix(v + np.uint64(1))]), np.concatenate([owner, short])
         order = np.lexsort((value, owner))
         value, owner = value[order], owner[order]
         new = np.ones(len(value), bool)
@@ -103,12 +93,12 @@ def registers(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: in
     time, active, step = np.zeros(len(doc)), np.arange(len(doc)), 0
     while len(active):
         block = max(1, min(128, 200_000 // len(active)))
-        draw = np.arange(step + 1, step + block + 1, dtype=np.uint64) * _GOLDEN
-        z = _mix(shingle[active][:, None] + draw[None, :])
+        draw = np.arange(step + 1, step + block + 1, dtype=np.uint64) * GOLDEN
+        z = mix(shingle[active][:, None] + draw[None, :])
         gap = -np.log(((z >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / weight[active][:, None]
         gap[:, 0] += time[active]
         when = np.cumsum(gap, axis=1)  # one sum from the first arrival on: blocks, and so other texts, don't change it
-        to = doc[active][:, None] * m + (_mix(z + _GOLDEN) % np.uint64(m)).astype(np.int64)
+        to = doc[active][:, None] * m + (mix(z + GOLDEN) % np.uint64(m)).astype(np.int64)
         time[active] = when[:, -1]
         when, to, who = when.ravel(), to.ravel(), np.repeat(active, block)
         useful = when < least[to]
@@ -153,12 +143,12 @@ def sign(docs: DataFrame, *keep: str) -> DataFrame:
                 won = registers(doc, value, np.ones(len(doc)), n)
                 key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], n, axis=0)
                 for j in range(ROWS):
-                    key = _mix(key * _GOLDEN + won.reshape(n, BANDS, ROWS)[:, :, j])
+                    key = mix(key * GOLDEN + won.reshape(n, BANDS, ROWS)[:, :, j])
                 size = np.bincount(doc, minlength=n)
-                small = _mix(won).astype(np.uint8)
+                small = mix(won).astype(np.uint8)
                 has = size > 0
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]), pa.int32()), pa.array(key[has].ravel().view(np.int64)))
-                columns = [pa.array(_sums(doc, value, n)), pa.array(_sums(doc, _mix(value + _GOLDEN), n)), pa.array(size, pa.int32()), bands, pa.array([r.tobytes() for r in small], pa.binary())]
+                columns = [pa.array(_sums(doc, value, n)), pa.array(_sums(doc, mix(value + GOLDEN), n)), pa.array(size, pa.int32()), bands, pa.array([r.tobytes() for r in small], pa.binary())]
                 yield pa.RecordBatch.from_arrays([c.slice(lo, n) for c in batch.columns[:-1]] + columns, [*keep, "h1", "h2", "n_shingles", "bands", "registers"])
 
     return rows.mapInArrow(signed, f"{schema}, {SIGNATURE}")
@@ -174,7 +164,7 @@ def shingles(docs: DataFrame) -> DataFrame:
                 doc, value, _ = shingler(texts)
                 n = len(texts)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
-                yield pa.RecordBatch.from_arrays([pa.array(_sums(doc, value, n)), pa.array(_sums(doc, _mix(value + _GOLDEN), n)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))], ["h1", "h2", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(_sums(doc, value, n)), pa.array(_sums(doc, mix(value + GOLDEN), n)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))], ["h1", "h2", "shingles"])
 
     return shared.columns(docs, "text").mapInArrow(made, "h1 long, h2 long, shingles array<long>")
 

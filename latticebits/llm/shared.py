@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,28 +17,68 @@ from pyspark.sql import functions as F
 
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
-    """For sessions that name no folder (tests, one machine): removed when the process ends."""
+    """For sessions on one machine that name no folder (tests): removed when the process ends."""
     folder = tempfile.mkdtemp(prefix="latticebits-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on a local master may it be unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else f"file://{_own_folder()}"
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{_own_folder()}"
+
+
+def arrow_uri(path: str) -> str:
+    """A Spark path as a URI that pyarrow's file systems know."""
+    return re.sub("^s3[an]:", "s3:", path)
+
+
+_open = threading.local()  # .paths: a list for each scratch that is open in this thread
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Paths handed out inside are removed at the end, whatever happens, but for those that were told to stay."""
+    _open.paths = [*getattr(_open, "paths", []), []]
+    try:
+        yield
+    finally:
+        for path in _open.paths.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stay(path: str) -> str:
+    """Keep a path beyond the scratch it was made in; an outer scratch still removes it."""
+    opened = getattr(_open, "paths", [])
+    for n, paths in enumerate(opened):
+        if path in paths:
+            paths.remove(path)
+            if n:
+                opened[n - 1].append(path)
+            break
+    return path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_open, "paths", []):
+        _open.paths[-1].append(path)
+    return path
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends there and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, path: str | None = None, *, result: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: lineage ends there and a lost executor loses nothing.
+    A result outlives the scratch it is made in."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(stay(path) if result else path)
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:

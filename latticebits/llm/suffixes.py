@@ -28,9 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from latticebits.llm import chunks, shared
-from latticebits.llm.tokens import Fingerprints
-from latticebits.llm.windows import _counts, _runs
+from latticebits.llm import chunks, hashing, shared
+from latticebits.llm.hashing import runs
+from latticebits.llm.windows import counts_of, gather
 
 SIZE, K = 50, 16
 HOT = 2048
@@ -40,7 +40,6 @@ BLOCKS = 4
 _BLOCK_BYTES = 1 << 20
 _SLICE = 1 << 18
 _LOW = np.uint64(0xFFFFFFFF)
-_AT = np.uint64(0xFFFFFF)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -60,7 +59,7 @@ def _refined(rank: np.ndarray, key: np.ndarray, tied: np.ndarray) -> None:
     """Split the groups of rank (each the place of its first member) by key, in place, for its members `tied`."""
     order = np.lexsort((key, rank[tied]))
     r, k = rank[tied][order], key[order]
-    group = _runs(r)
+    group = runs(r)
     fresh = group.copy()
     fresh[1:] |= k[1:] != k[:-1]
     place = np.arange(len(order))
@@ -103,7 +102,7 @@ def equal_starts(text: np.ndarray, starts: np.ndarray, size: int = SIZE) -> np.n
     while len(todo):
         # each tied group in three by its first member: the difference cover decides without reading on
         todo = todo[np.argsort(rank[todo], kind="stable")]
-        group = _runs(rank[todo])
+        group = runs(rank[todo])
         lead = starts[todo[np.flatnonzero(group)]][np.cumsum(group) - 1]
         own = starts[todo]
         shift = _SHIFT[own % PERIOD, lead % PERIOD]
@@ -128,22 +127,13 @@ def equal_starts(text: np.ndarray, starts: np.ndarray, size: int = SIZE) -> np.n
 class _Spans:
     """Spans of a chunk: first start, number of starts, key (the anchor's hash), document."""
 
-    def __init__(self, chunk: chunks.Chunk, prints: Fingerprints):
+    def __init__(self, chunk: chunks.Chunk):
         data, n = chunk.data, len(chunk.data)
         stop = np.repeat(chunk.ends.astype(np.int32), chunk.ends + 1 - chunk.begins)
         first, count, key = [], [], []
         for lo in range(0, max(0, n - SIZE + 1), _SLICE):
-            part = data[lo : lo + _SLICE + SIZE - 1]
-            grams = prints_of(prints, part, K)
-            least = (grams & ~_AT) | np.arange(len(grams), dtype=np.uint64)
-            reach = SIZE - K + 1
-            width = 1
-            while 2 * width <= reach:
-                least = np.minimum(least[:-width], least[width:])
-                width *= 2
-            if reach > width:
-                least = np.minimum(least[: width - reach], least[reach - width :])
-            anchor = (least & _AT).astype(np.int64)
+            grams = gram_hashes(data[lo : lo + _SLICE + SIZE - 1])
+            anchor = hashing.least_of(grams, SIZE - K + 1)
             at = np.arange(lo, lo + len(anchor))
             good = at + SIZE <= stop[lo : lo + len(anchor)]
             new = good.copy()
@@ -157,9 +147,7 @@ class _Spans:
             key.append(grams[anchor[begin]])  # a minimum: small, so mixed anew below
         empty = np.zeros(0, np.int64)
         self.first, self.count = np.concatenate([empty, *first]), np.concatenate([empty, *count])
-        self.key = np.concatenate([empty.astype(np.uint64), *key]) * np.uint64(0xBF58476D1CE4E5B9)
-        self.key ^= self.key >> np.uint64(31)
-        self.key *= np.uint64(0x94D049BB133111EB)
+        self.key = hashing.mix(np.concatenate([empty.astype(np.uint64), *key]) + hashing.GOLDEN)
         self.order = chunk.order[np.searchsorted(chunk.ends, self.first, side="right")] if len(self.first) else empty
 
     def take(self, i: np.ndarray) -> _Spans:
@@ -168,19 +156,25 @@ class _Spans:
         return out
 
 
-def prints_of(prints: Fingerprints, data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the `size` bytes from each position on that has as many."""
-    n = len(data)
-    if n < size:
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the K = 16 bytes from each position on that has as many: two words of 8 bytes, mixed."""
+    if len(data) < K:
         return np.zeros(0, np.uint64)
-    up, down = prints.powers(0, n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(prints.values[0][data] * up[:n], out=sums[1:])
-    h = (sums[size:] - sums[:-size]) * down[: n - size + 1]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    return h
+    two = data[:-1].astype(np.uint16) | data[1:].astype(np.uint16) << np.uint16(8)
+    four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << np.uint32(16)
+    eight = four[:-4].astype(np.uint64) | four[4:].astype(np.uint64) << np.uint64(32)
+    return hashing.mix(hashing.mix(eight[:-8]) * hashing.GOLDEN + eight[8:])
+
+
+def start_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the SIZE bytes at each of these places."""
+    out = np.zeros(len(at), np.uint64)
+    for k in [*range(0, SIZE - 7, 8), SIZE - 8]:
+        word = np.zeros(len(at), np.uint64)
+        for j in range(8):
+            word |= data[at + k + j].astype(np.uint64) << np.uint64(8 * j)
+        out = hashing.mix(out * hashing.GOLDEN + word)
+    return out
 
 
 def _bucket(key: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -192,7 +186,7 @@ def _anchor_cells(s: _Spans, n_buckets: int) -> tuple[np.ndarray, ...]:
     cell = (_bucket(s.key, n_buckets) << np.uint64(32)) | (s.key & _LOW)
     by = np.argsort(cell)
     sorted_cells, order = cell[by], s.order[by]
-    first = np.flatnonzero(_runs(sorted_cells))
+    first = np.flatnonzero(runs(sorted_cells))
     if not len(first):
         return by, first, sorted_cells, np.zeros(0, np.uint8), np.zeros(0, bool)
     several = np.minimum.reduceat(order, first) != np.maximum.reduceat(order, first)
@@ -210,7 +204,7 @@ def _marked(packed: list[bytes], hot_spans: int = HOT) -> list[bytes]:
         sizes.append(n)
     cell = np.concatenate(cells)
     by = np.argsort(cell)
-    new = _runs(cell[by])
+    new = runs(cell[by])
     begin = np.flatnonzero(new)
     shared_by = (np.diff(begin, append=len(by)) > 1) | (np.maximum.reduceat(np.concatenate(several)[by], begin) > 0)
     hot = np.add.reduceat(np.concatenate(counts)[by].astype(np.int64), begin) > hot_spans
@@ -220,11 +214,11 @@ def _marked(packed: list[bytes], hot_spans: int = HOT) -> list[bytes]:
     return [mark[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
 
 
-def _candidates(chunk: chunks.Chunk, marks: chunks.Answers, n_buckets: int, prints: Fingerprints) -> tuple[_Spans, np.ndarray, np.ndarray]:
+def _candidates(chunk: chunks.Chunk, marks: chunks.Answers, n_buckets: int) -> tuple[_Spans, np.ndarray, np.ndarray]:
     """Spans whose anchors are marked, sorted by key and bytes; where different ones begin; of each the least doc_id."""
-    s = _Spans(chunk, prints)
+    s = _Spans(chunk)
     by, first, cells, _, _ = _anchor_cells(s, n_buckets)
-    expected, got = _counts(cells >> np.uint64(32)), marks.of(chunk.id)
+    expected, got = counts_of(cells >> np.uint64(32)), marks.of(chunk.id)
     if expected.keys() != got.keys():
         raise RuntimeError("a chunk misses answers")
     mark = np.frombuffer(b"".join(got[b] for b in sorted(got)), np.uint8)
@@ -234,19 +228,17 @@ def _candidates(chunk: chunks.Chunk, marks: chunks.Answers, n_buckets: int, prin
     # starts of hot anchors one by one, under the hash of their own bytes
     first_of = np.repeat(hot.first, hot.count) + (np.arange(hot.count.sum()) - np.repeat(np.cumsum(hot.count) - hot.count, hot.count))
     own.first, own.count, own.order = np.concatenate([own.first, first_of]), np.concatenate([own.count, np.ones(len(first_of), np.int64)]), np.concatenate([own.order, np.repeat(hot.order, hot.count)])
-    f1, f2 = prints(chunk.data, own.first, own.first + own.count + SIZE - 1)
-    own.key = np.concatenate([own.key, f1[len(own.key) :] * np.uint64(0x9E3779B97F4A7C15)])
-    sort = np.lexsort((f2, f1, own.key))
-    own, f1, f2 = own.take(sort), f1[sort], f2[sort]
-    new = _runs(own.key) | _runs(f1) | _runs(f2)
+    # spans of the same bytes, and so of one key, are one group; bytes are compared, not hashes
+    length = own.count + SIZE - 1
+    group = hashing.numbered(gather(chunk.data, own.first, length), np.cumsum(length))
+    own.key = np.concatenate([own.key, start_hashes(chunk.data, own.first[len(own.key) :])])
+    sort = np.lexsort((group, own.key))
+    own, group = own.take(sort), group[sort]
+    new = runs(group)
     least = np.minimum.reduceat(own.order, np.flatnonzero(new)) if len(sort) else own.order
     return own, new, least
 
 
-def _gather(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    return data[np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
-
-
 def _earlier(packed: list[bytes]) -> list[bytes]:
     """For each span of each chunk 64 bits: which of its starts an earlier document than the span's has."""
     keys, orders, counts, texts, sizes = [], [], [], [], []
@@ -261,29 +253,29 @@ def _earlier(packed: list[bytes]) -> list[bytes]:
     text = np.concatenate(texts)
     length = count + SIZE - 1
     begin = np.cumsum(length) - length
-    f1, f2 = Fingerprints(11)(text, begin, begin + length)
-    by = np.lexsort((order, f2, f1, key))
-    new = _runs(key[by]) | _runs(f1[by]) | _runs(f2[by])
+    group = hashing.numbered(text, np.cumsum(length))
+    by = np.lexsort((order, group, key))
+    new = runs(group[by])
     lead = by[new]  # of each different span the one of the least document
     of = np.empty(len(by), np.int64)
     of[by] = np.cumsum(new) - 1
     # the least document of each start of each different span, at first its own
     n_starts, least = count[lead], np.repeat(order[lead], count[lead])
     start_at = np.cumsum(n_starts) - n_starts
-    anchor = _runs(key[lead])
+    anchor = runs(key[lead])
     crowd = np.diff(np.flatnonzero(anchor), append=len(lead))
     alone = np.repeat(crowd == 1, crowd)
     todo = np.flatnonzero(~alone)  # spans that share their anchor with others
     if len(todo):
         size = np.cumsum(length[lead[todo]])
         # blocks of whole anchors of about _BLOCK_BYTES
-        edges = np.flatnonzero(_runs(key[lead[todo]]))
+        edges = np.flatnonzero(runs(key[lead[todo]]))
         block = np.searchsorted(edges, np.arange(len(todo)), side="right") - 1
         block = (size[edges] // _BLOCK_BYTES)[block]
-        for lo, hi in zip(np.flatnonzero(_runs(block)), [*np.flatnonzero(_runs(block))[1:], len(todo)]):
+        for lo, hi in zip(np.flatnonzero(runs(block)), [*np.flatnonzero(runs(block))[1:], len(todo)]):
             part = todo[lo:hi]
             spans = lead[part]
-            own = _gather(text, begin[spans], length[spans])
+            own = gather(text, begin[spans], length[spans])
             starts_in = np.cumsum(length[spans]) - length[spans]
             within = np.arange(n_starts[part].sum()) - np.repeat(np.cumsum(n_starts[part]) - n_starts[part], n_starts[part])
             starts = np.repeat(starts_in, n_starts[part]) + within
@@ -303,54 +295,55 @@ def _earlier(packed: list[bytes]) -> list[bytes]:
 
 def remove_repeated(docs: DataFrame, *, with_text: bool = False, hot_spans: int = HOT) -> DataFrame:
     """RESULT for each row of docs (doc_id, text); with_text adds `kept`, the bytes left."""
-    corpus = chunks.stage(docs)
-    n_buckets, prints = corpus.n_buckets, Fingerprints()
-
-    def ask_marks(chunk: chunks.Chunk) -> Iterator[tuple[int, bytes]]:
-        _, _, cells, counts, several = _anchor_cells(_Spans(chunk, prints), n_buckets)
-        for b, run in chunks.by_bucket(cells >> np.uint64(32), n_buckets):
-            own = (cells[run] & _LOW).astype(np.uint32)
-            yield b, np.uint32(len(own)).tobytes() + chunks.planes(np.diff(own, prepend=np.uint32(0)).astype(np.uint32)) + counts[run].tobytes() + np.packbits(several[run]).tobytes()
-
-    marks = chunks.Answers(corpus.ask(ask_marks, lambda packed: _marked(packed, hot_spans), "suffix-anchors"))
-
-    def ask_spans(chunk: chunks.Chunk) -> Iterator[tuple[int, bytes]]:
-        own, new, least = _candidates(chunk, marks, n_buckets, prints)
-        lead = own.take(np.flatnonzero(new))
-        for b, run in chunks.by_bucket(_bucket(lead.key, n_buckets), n_buckets):
-            count = lead.count[run]
-            yield b, np.uint32(len(count)).tobytes() + chunks.planes(lead.key[run]) + chunks.planes(least[run]) + count.astype(np.uint8).tobytes() + _gather(chunk.data, lead.first[run], count + SIZE - 1).tobytes()
-
-    earlier = chunks.Answers(corpus.ask(ask_spans, _earlier, "suffix-starts"))
-
-    def apply(chunk: chunks.Chunk) -> Iterator[pa.RecordBatch]:
-        own, new, least = _candidates(chunk, marks, n_buckets, prints)
-        got = earlier.of(chunk.id)
-        if _counts(_bucket(own.key[new], n_buckets)).keys() != got.keys():
-            raise RuntimeError("a chunk misses answers")
-        bits = np.concatenate([np.zeros(0, np.uint64), *(chunks.from_planes(got[b], np.uint64) for b in sorted(got))])
-        group = np.cumsum(new) - 1
-        later = own.order > least[group]
-        within = np.arange(own.count.sum()) - np.repeat(np.cumsum(own.count) - own.count, own.count)
-        gone = np.repeat(later, own.count) | ((np.repeat(bits[group], own.count) >> within.astype(np.uint64)) & np.uint64(1)).astype(bool)
-        at = (np.repeat(own.first, own.count) + within)[gone]
-        n = len(chunk.data)
-        cover = np.cumsum(np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(at + SIZE, minlength=n + 1)[: n + 1])[:n] > 0
-        upto = np.concatenate([[0], np.cumsum(cover)])
-        opened = np.concatenate([[0], np.cumsum(cover & ~np.concatenate([[False], cover[:-1]]))])
-        removed, spans = upto[chunk.ends] - upto[chunk.begins], opened[chunk.ends] - opened[chunk.begins]
-        shas, texts = [], []
-        for d, (a, b) in enumerate(zip(chunk.begins.tolist(), chunk.ends.tolist())):
-            kept = (chunk.data[a:b][~cover[a:b]] if removed[d] else chunk.data[a:b]).tobytes()
-            shas.append(hashlib.sha256(kept).hexdigest())
-            if with_text:
-                texts.append(kept)
-        columns = [chunk.ids, pa.array(chunk.ends - chunk.begins), pa.array(removed), pa.array(spans), pa.array(shas, pa.string())]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        yield pa.RecordBatch.from_arrays(columns + ([pa.array(texts, pa.binary())] if with_text else []), names + ["kept"] * with_text)
-
-    with chunks.small_batches(corpus.spark):
-        return shared.written(corpus.scan(apply, RESULT + (", kept binary" if with_text else "")), "suffix-result")
+    with shared.scratch(docs.sparkSession):
+        corpus = chunks.stage(docs)
+        n_buckets = corpus.n_buckets
+
+        def ask_marks(chunk: chunks.Chunk) -> Iterator[tuple[int, bytes]]:
+            _, _, cells, counts, several = _anchor_cells(_Spans(chunk), n_buckets)
+            for b, run in chunks.by_bucket(cells >> np.uint64(32), n_buckets):
+                own = (cells[run] & _LOW).astype(np.uint32)
+                yield b, np.uint32(len(own)).tobytes() + chunks.planes(np.diff(own, prepend=np.uint32(0)).astype(np.uint32)) + counts[run].tobytes() + np.packbits(several[run]).tobytes()
+
+        marks = chunks.Answers(corpus.ask(ask_marks, lambda _, packed: _marked(packed, hot_spans), "suffix-anchors"))
+
+        def ask_spans(chunk: chunks.Chunk) -> Iterator[tuple[int, bytes]]:
+            own, new, least = _candidates(chunk, marks, n_buckets)
+            lead = own.take(np.flatnonzero(new))
+            for b, run in chunks.by_bucket(_bucket(lead.key, n_buckets), n_buckets):
+                count = lead.count[run]
+                yield b, np.uint32(len(count)).tobytes() + chunks.planes(lead.key[run]) + chunks.planes(least[run]) + count.astype(np.uint8).tobytes() + gather(chunk.data, lead.first[run], count + SIZE - 1).tobytes()
+
+        earlier = chunks.Answers(corpus.ask(ask_spans, lambda _, packed: _earlier(packed), "suffix-starts"))
+
+        def apply(chunk: chunks.Chunk) -> Iterator[pa.RecordBatch]:
+            own, new, least = _candidates(chunk, marks, n_buckets)
+            got = earlier.of(chunk.id)
+            if counts_of(_bucket(own.key[new], n_buckets)).keys() != got.keys():
+                raise RuntimeError("a chunk misses answers")
+            bits = np.concatenate([np.zeros(0, np.uint64), *(chunks.from_planes(got[b], np.uint64) for b in sorted(got))])
+            group = np.cumsum(new) - 1
+            later = own.order > least[group]
+            within = np.arange(own.count.sum()) - np.repeat(np.cumsum(own.count) - own.count, own.count)
+            gone = np.repeat(later, own.count) | ((np.repeat(bits[group], own.count) >> within.astype(np.uint64)) & np.uint64(1)).astype(bool)
+            at = (np.repeat(own.first, own.count) + within)[gone]
+            n = len(chunk.data)
+            cover = np.cumsum(np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(at + SIZE, minlength=n + 1)[: n + 1])[:n] > 0
+            upto = np.concatenate([[0], np.cumsum(cover)])
+            opened = np.concatenate([[0], np.cumsum(cover & ~np.concatenate([[False], cover[:-1]]))])
+            removed, spans = upto[chunk.ends] - upto[chunk.begins], opened[chunk.ends] - opened[chunk.begins]
+            shas, texts = [], []
+            for d, (a, b) in enumerate(zip(chunk.begins.tolist(), chunk.ends.tolist())):
+                kept = (chunk.data[a:b][~cover[a:b]] if removed[d] else chunk.data[a:b]).tobytes()
+                shas.append(hashlib.sha256(kept).hexdigest())
+                if with_text:
+                    texts.append(kept)
+            columns = [chunk.ids, pa.array(chunk.ends - chunk.begins), pa.array(removed), pa.array(spans), pa.array(shas, pa.string())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(texts, pa.binary())] if with_text else []), names + ["kept"] * with_text)
+
+        with chunks.small_batches(corpus.spark):
+            return shared.written(corpus.scan(apply, RESULT + (", kept binary" if with_text else "")), "suffix-result", result=True)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

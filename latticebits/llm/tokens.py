@@ -5,13 +5,14 @@ across a blank, so the ids of a text are the ids of its blank-separated words on
 and the punctuation behind it are two pre-tokens, so a word new to the table is encoded in these two parts, ASCII
 letters in lower case (letters whose normal or lower-case form may hold a mark are left to the library as they
 stand), many in one call with a divider between them. Arrow splits texts and finds a batch's different words; the
-table tells them apart by 128-bit fingerprints. Tests hold the ids against whole-text encoding.
+table is keyed by the words themselves. Tests hold the ids against whole-text encoding.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from itertools import repeat
 from unicodedata import is_normalized
 
 import numpy as np
@@ -21,8 +22,8 @@ import pyarrow.compute as pc
 from latticebits.llm import memory
 
 END_ID = 2
-#: Slots and words of a worker's table, about 60 MB; a full table starts anew, of no influence on any result.
-SLOTS, WORDS = 1 << 21, 1_200_000
+#: Bounds of a worker's table of words, together about 80 MB.
+WORDS, WORD_BYTES = 400_000, 16 << 20
 _BATCH_BYTES = 2 << 20
 _CALL = 2000
 _DIVIDER = "|"
@@ -38,87 +39,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Fingerprints:
-    """Two 64-bit polynomial hashes of byte strings, all strings of a buffer at once."""
-
-    #: Strings are hashed by groups that begin within so many bytes, so powers are kept for little more than that.
-    GROUP = 1 << 18
-
-    def __init__(self, seed: int = 7):
-        draw = np.random.default_rng(seed)
-        self.values = [draw.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
-        self.bases = [(int(x) * 8 + 5) & (2**64 - 1) for x in draw.integers(1 << 40, 1 << 60, 2)]
-        self._powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in range(2)]
-
-    def powers(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Powers 0 to n at least of base k and of its inverse modulo 2**64."""
-        if len(self._powers[k][0]) <= n:
-            self._powers[k] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + n // 4 + 1, x, dtype=np.uint64))]) for x in (self.bases[k], pow(self.bases[k], -1, 1 << 64)))
-        return self._powers[k]
-
-    def __call__(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        if len(begins) and (np.diff(begins) < 0).any():
-            by = np.argsort(begins, kind="stable")
-            out = [np.empty(len(begins), np.uint64) for _ in range(2)]
-            for h, sorted_h in zip(out, self(data, begins[by], ends[by])):
-                h[by] = sorted_h
-            return out
-        out = [np.empty(len(begins), np.uint64) for _ in range(2)]
-        cut = np.searchsorted(begins, np.arange(0, len(data) + self.GROUP, self.GROUP))
-        cut[-1] = len(begins)
-        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if i == j:
-                continue
-            low = int(begins[i])
-            part = data[low : int(ends[i:j].max())]
-            for k in range(2):
-                up, down = self.powers(k, len(part) + 1)
-                sums = np.zeros(len(part) + 1, np.uint64)
-                np.cumsum(self.values[k][part] * up[: len(part)], out=sums[1:])
-                h = (sums[ends[i:j] - low] - sums[begins[i:j] - low]) * down[begins[i:j] - low]
-                h ^= h >> np.uint64(32)
-                h *= np.uint64(0xD6E8FEB86659FD93)
-                h ^= h >> np.uint64(32)
-                out[k][i:j] = np.maximum(h, np.uint64(1))
-        return out
+class WordTable:
+    """Different words to runs of a pool of values: a dict of the words themselves, so no two words are ever mixed up.
 
+    One table a worker, of about WORDS words (over `share`, where a word's value is large) and WORD_BYTES of text at
+    most: a full one starts anew before it takes more words, of no influence on any result."""
 
-class _Table:
-    """Fingerprint to a run of ids, open addressing."""
+    def __init__(self, share: int = 1):
+        self.share = share
+        self.at: dict[str, int] = {}
+        self.text_bytes = 0
 
-    def __init__(self, slots: int = SLOTS):
-        self.slots = slots
-        self.first, self.second = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
-        self.start, self.length = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
-        self.pool, self.used, self.words = np.zeros(1 << 16, "<u4"), 0, 0
+    def full(self, n_words: int, n_bytes: int) -> bool:
+        return len(self.at) > 0 and (len(self.at) + n_words > WORDS // self.share or self.text_bytes + n_bytes > WORD_BYTES)
 
-    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 where absent."""
-        slot, at, todo = np.full(len(h1), -1), (h1 & np.uint64(self.slots - 1)).astype(np.int64), np.arange(len(h1))
-        while len(todo):
-            key = self.first[at]
-            hit = (key == h1[todo]) & (self.second[at] == h2[todo])
-            slot[todo[hit]] = at[hit]
-            go = ~hit & (key != 0)
-            todo, at = todo[go], (at[go] + 1) & (self.slots - 1)
-        return slot
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 where it is new."""
+        return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
 
-    def add(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(ids), "<u4")])
-        self.pool[self.used : self.used + len(ids)] = ids
-        starts = self.used + np.cumsum(lengths) - lengths
-        self.used += len(ids)
-        self.words += len(h1)
-        at, todo = (h1 & np.uint64(self.slots - 1)).astype(np.int64), np.arange(len(h1))
-        while len(todo):
-            free = self.first[at] == 0
-            self.second[at[free]] = todo[free]  # the last to write a slot has it
-            won = np.zeros(len(todo), bool)
-            won[free] = self.second[at[free]] == todo[free].astype(np.uint64)
-            self.first[at[won]], self.second[at[won]] = h1[todo[won]], h2[todo[won]]
-            self.start[at[won]], self.length[at[won]] = starts[todo[won]], lengths[todo[won]]
-            todo, at = todo[~won], (at[~won] + 1) & (self.slots - 1)
+    def add(self, words: np.ndarray, n_bytes: int) -> np.ndarray:
+        """Numbers for these different new words, rising from the table's size."""
+        first = len(self.at)
+        number = np.arange(first, first + len(words))
+        self.at.update(zip(words, number.tolist()))
+        self.text_bytes += n_bytes
+        return number
 
 
 class Encoder:
@@ -129,9 +74,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.fingerprints, self.table = Fingerprints(), _Table()
+        self._clear()
         (self.divider,) = self.tokenizer.encode(_DIVIDER, add_special_tokens=False).ids
 
+    def _clear(self) -> None:
+        self.table, self.pool, self.used = WordTable(), np.zeros(1 << 16, "<u4"), 0
+        self.start, self.length = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -164,19 +113,29 @@ class Encoder:
 
     def _runs(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Where in the pool the ids of each of these different words are."""
-        ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
-        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: ends[-1]]
-        h1, h2 = self.fingerprints(data, ends[:-1], ends[1:])
-        slot = self.table.find(h1, h2)
-        new = np.flatnonzero(slot < 0)
+        texts, n_bytes = words.to_numpy(zero_copy_only=False), pc.binary_length(words)
+        number = self.table.find(texts)
+        new = np.flatnonzero(number < 0)
         if len(new):
-            if self.table.words + len(new) > WORDS:
-                self.table = _Table()
-                new = np.arange(len(words))
-            coded = self._encode_words(words.take(pa.array(new)).to_pylist())
-            self.table.add(h1[new], h2[new], np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded], dtype=np.int32))
-            slot = self.table.find(h1, h2)
-        return self.table.start[slot].astype(np.int64), self.table.length[slot].astype(np.int64)
+            sizes = n_bytes.to_numpy(zero_copy_only=False)
+            if self.table.full(len(new), int(sizes[new].sum())):
+                self._clear()
+                new = np.arange(len(texts))
+            coded = self._encode_words(texts[new].tolist())
+            number[new] = self.table.add(texts[new], int(sizes[new].sum()))
+            self._keep(number[new], coded)
+        return self.start[number].astype(np.int64), self.length[number].astype(np.int64)
+
+    def _keep(self, number: np.ndarray, coded: list[bytes]) -> None:
+        ids, lengths = np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded], dtype=np.int32)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(ids), "<u4")])
+        if number[-1] >= len(self.start):
+            more = np.zeros(number[-1] + len(number) + 1, np.int32)
+            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[number], self.length[number] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used += len(ids)
 
     def _flat(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
@@ -186,7 +145,7 @@ class Encoder:
         lengths = length[index]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat(start[index] - ends[:-1], lengths) + np.arange(ends[-1])
-        return self.table.pool[at].tobytes(), 4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return self.pool[at].tobytes(), 4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """One byte string per text; null counts as empty."""

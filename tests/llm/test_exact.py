@@ -19,7 +19,9 @@ def small_chunks(monkeypatch):
 def ids_of(text):
     from tokenizers import Tokenizer
 
-    tokenizer = ids_of.__dict__.setdefault("t", Tokenizer.from_file(tokens.default_tokenizer()))
+    if not hasattr(ids_of, "t"):
+        ids_of.t = Tokenizer.from_file(tokens.default_tokenizer())
+    tokenizer = ids_of.t
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
