@@ -5,11 +5,14 @@ bit per entry that tells whether the id goes on, and a directory with the number
 Token i is found by reading level 0 at i and, while the bit there is set, level k+1 at the rank of that bit: no
 block is decoded. Layout, little-endian: b"DAC1", uint32 levels, uint64 n; then for each level uint64 entries,
 the chunk bytes, the bitmap (bit 0 first), the directory as uint32.
+
+Defined results: no ids give a header without levels; any 32-bit ids, repeated ones too, come back as they were.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -33,45 +36,51 @@ def encode(ids: np.ndarray) -> bytes:
 
 
 class Reader:
-    def __init__(self, code: bytes):
-        if code[:4] != MAGIC:
+    """A code in memory, or anywhere: `code` may be a function that gives n bytes from an offset on, such as a read at a
+    place of a file, and then no access takes more bytes than it needs."""
+
+    def __init__(self, code: bytes | Callable[[int, int], bytes]):
+        self.read = code if callable(code) else lambda at, n: code[at : at + n]
+        head = self.read(0, 16)
+        if head[:4] != MAGIC:
             raise ValueError("not a directly addressable code")
-        n_levels, self.n = struct.unpack_from("<IQ", code, 4)
-        at, self.levels = 16, []
+        n_levels, self.n = struct.unpack_from("<IQ", head, 4)
+        at, self.levels = 16, []  # entries, where chunks, bitmap and directory begin
         for _ in range(n_levels):
-            (n,) = struct.unpack_from("<Q", code, at)
-            chunks = np.frombuffer(code, np.uint8, n, at + 8)
-            bits = np.frombuffer(code, np.uint8, -(-n // 8), at + 8 + n)
-            directory = np.frombuffer(code, "<u4", -(-n // STEP), at + 8 + n + len(bits))
-            self.levels.append((chunks, bits, directory))
-            at += 8 + n + len(bits) + 4 * len(directory)
+            (n,) = struct.unpack("<Q", self.read(at, 8))
+            bits = at + 8 + n
+            directory = bits + -(-n // 8)
+            self.levels.append((n, at + 8, bits, directory))
+            at = directory + 4 * -(-n // STEP)
 
     def __len__(self) -> int:
         return self.n
 
     def __getitem__(self, i: int) -> int:
-        """Token i, reading one byte, one bit and one directory entry a level."""
+        """Token i, from one byte, one directory entry and at most STEP bits a level."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for k, (chunks, bits, directory) in enumerate(self.levels):
-            value |= int(chunks[i]) << (8 * k)
-            if not bits[i >> 3] >> (i & 7) & 1:
-                return value
+        for k, (_, chunks, bits, directory) in enumerate(self.levels):
+            value |= self.read(chunks + i, 1)[0] << (8 * k)
             start = i // STEP
-            i = int(directory[start]) + int(_ONES[bits[start * STEP // 8 : i >> 3]].sum()) + int(_ONES[bits[i >> 3] & ((1 << (i & 7)) - 1)])
+            seen = np.frombuffer(self.read(bits + start * STEP // 8, (i >> 3) - start * STEP // 8 + 1), np.uint8)
+            if not seen[-1] >> (i & 7) & 1:
+                return value
+            (before,) = struct.unpack("<I", self.read(directory + 4 * start, 4))
+            i = before + int(_ONES[seen[:-1]].sum()) + int(_ONES[seen[-1] & ((1 << (i & 7)) - 1)])
         return value
 
     def decode(self) -> np.ndarray:
         """All tokens, as uint32."""
         out = np.zeros(self.n, dtype="<u4")
         at: np.ndarray | None = None
-        for k, (chunks, bits, _) in enumerate(self.levels):
-            part = chunks.astype(np.uint32) << (8 * k)
+        for k, (n, chunks, bits, directory) in enumerate(self.levels):
+            part = np.frombuffer(self.read(chunks, n), np.uint8).astype(np.uint32) << (8 * k)
             if at is None:
                 out |= part
             else:
                 out[at] |= part
-            more = np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)
+            more = np.unpackbits(np.frombuffer(self.read(bits, directory - bits), np.uint8), count=n, bitorder="little").astype(bool)
             at = np.flatnonzero(more) if at is None else at[more]
         return out

@@ -1,17 +1,22 @@
 """Token-ID output: documents to directly addressable files in ascending doc_id order, and back.
 
-Files: Parquet rows of (part, seg, part_start, n_tokens, doc_ids, doc_lengths, code), one row per segment of whole
-documents; `code` is the binary of dac.py. Parts follow each other in doc_id order (a range partitioning), segments
-within a part likewise. Where a part begins in the corpus is the sum of the tokens of the parts before it, so no
-task needs to know another's counts while it writes.
+Layout of a folder: `data` holds plain binary files, one a writing task, of segments end to end; a segment of whole
+documents is a code of dac.py, stored as it is. `index` is a Parquet table (part, seg, part_start, n_tokens, file,
+offset, size, doc_ids, doc_lengths) with a row a segment, `parts` one of (part, base, n_tokens) with a row a task. Parts
+follow each other in doc_id order (a range partitioning), segments within a part likewise. Where a part begins in the
+corpus is the sum of the tokens of the parts before it, so no task needs to know another's counts while it writes.
+A task that is run again writes a file of another name, and only what it commits to the index is ever read.
+
+token_at() finds its segment in the two tables and then reads a few bytes of one file: no block is decoded.
 
 Defined results: null text counts as empty (only the end id); null doc_id comes first; rows with one doc_id are
-documents of their own, in the order of their texts; an empty table gives empty files and no rows; extra columns
+documents of their own, in the order of their texts; an empty table gives empty tables and no rows; extra columns
 are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,30 +29,45 @@ from pyspark.sql import functions as F
 from latticebits.llm import dac, shared, tokens
 
 SEGMENT_TOKENS = 1 << 18
+#: Characters of a text that, behind doc_id, deal rows to parts: rows of one (or no) doc_id are many tasks' work.
+HEAD = 64
 
-FILE_SCHEMA = "part int, seg int, part_start long, n_tokens long, doc_ids array<long>, doc_lengths array<long>, code binary"
+INDEX = "part int, seg int, part_start long, n_tokens long, file string, offset long, size long, doc_ids array<long>, doc_lengths array<long>"
+PARTS = "part int, base long, n_tokens long"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def _opened(path: str, name: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(shared.arrow_uri(f"{path}/data/{name}"))
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, *, segment_tokens: int = SEGMENT_TOKENS, end_id: int = tokens.END_ID) -> None:
     """Encode every whole text of docs (doc_id, text) and write the files at path."""
     tokenizer_path = tokenizer_path or tokens.default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer_path, end_id)
-        part, seg, begun = TaskContext.get().partitionId(), 0, 0
+        part, seg, begun, offset = TaskContext.get().partitionId(), 0, 0, 0
+        name, out = f"{part:06d}-{uuid.uuid4().hex}.dac", None
         ids: list[int | None] = []
         coded: list[bytes] = []
         size = 0
 
         def segment() -> pa.RecordBatch:
-            nonlocal seg, begun, size
+            nonlocal seg, begun, size, offset, out
+            if out is None:
+                system, at = _opened(path, name)
+                system.create_dir(at.rsplit("/", 1)[0])
+                out = system.open_output_stream(at)
+            code = dac.encode(np.frombuffer(b"".join(coded), "<u4"))
+            out.write(code)
             lengths = [len(c) // 4 for c in coded]
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([begun], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([dac.encode(np.frombuffer(b"".join(coded), "<u4"))], pa.binary())],
-                ["part", "seg", "part_start", "n_tokens", "doc_ids", "doc_lengths", "code"],
-            )
-            seg, begun, size = seg + 1, begun + size, 0
+            values = (part, seg, begun, size, name, offset, len(code), ids, lengths)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            row = pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [f.split()[0] for f in INDEX.split(", ")])
+            seg, begun, size, offset = seg + 1, begun + size, 0, offset + len(code)
             ids.clear()
             coded.clear()
             return row
@@ -63,44 +83,56 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, *,
                         yield segment()
         if coded:
             yield segment()
+        if out is not None:
+            out.close()
 
     rows = shared.columns(docs, "doc_id", "text")
-    ordered = rows.repartitionByRange(shared.null_first("doc_id")).sortWithinPartitions(shared.null_first("doc_id"), shared.null_first("text"))
-    ordered.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered = rows.repartitionByRange(shared.null_first("doc_id"), F.substring("text", 1, HEAD).asc_nulls_first()).sortWithinPartitions(shared.null_first("doc_id"), shared.null_first("text"))
+    ordered.mapInArrow(encode, INDEX).write.option("compression", "zstd").parquet(f"{path}/index")
+    totals = _index(docs.sparkSession, path).groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))  # one row a part
+    totals.select("part", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("base"), "n_tokens").coalesce(1).write.parquet(f"{path}/parts")
+
+
+def _index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone.
 
     Broadcast: one row per written part, so at most the number of shuffle partitions of the writing job."""
-    files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
+    base = spark.read.schema(PARTS).parquet(f"{path}/parts").select("part", "base")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, source = None, None
         for batch in batches:
-            for start, doc_ids, lengths, code in zip(*(batch.column(i) for i in range(4))):
+            for start, file, offset, size, doc_ids, lengths in zip(*(batch.column(i) for i in range(6))):
+                if file.as_py() != name:
+                    name = file.as_py()
+                    system, at = _opened(path, name)
+                    source = system.open_input_file(at)
+                code = source.read_at(size.as_py(), offset.as_py())
                 doc_ids, lengths = doc_ids.values, np.asarray(lengths.values.to_numpy(zero_copy_only=False), dtype=np.int64)
-                raw = memoryview(dac.Reader(code.as_py()).decode().tobytes())
+                raw = memoryview(dac.Reader(code).decode().tobytes())
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), pa.array(begins + start.as_py(), pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = files.join(F.broadcast(base), "part").select((F.col("base") + F.col("part_start")).alias("start"), "doc_ids", "doc_lengths", "code")
+    placed = _index(spark, path).join(F.broadcast(base), "part").select((F.col("base") + F.col("part_start")).alias("start"), "file", "offset", "size", "doc_ids", "doc_lengths")
     return placed.mapInArrow(decode, READ_SCHEMA)
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int:
-    """The id at one position of the corpus, from one segment, without decoding it."""
-    files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    left = position
-    for part, total in files.groupBy("part").agg(F.sum("n_tokens")).orderBy("part").toLocalIterator():
-        if left < total:
-            row = files.where((F.col("part") == part) & (F.col("part_start") <= left) & (F.col("part_start") + F.col("n_tokens") > left)).select("part_start", "code").first()
-            return dac.Reader(bytes(row["code"]))[left - row["part_start"]]
-        left -= total
-    raise IndexError(position)
+    """The id at one position of the corpus: a row of each table, then a few bytes of one file."""
+    part = spark.read.schema(PARTS).parquet(f"{path}/parts").where((F.col("base") <= position) & (F.col("base") + F.col("n_tokens") > position)).first()
+    if part is None:
+        raise IndexError(position)
+    left = position - part["base"]
+    row = _index(spark, path).where((F.col("part") == part["part"]) & (F.col("part_start") <= left) & (F.col("part_start") + F.col("n_tokens") > left)).select("part_start", "file", "offset").first()
+    system, at = _opened(path, row["file"])
+    with system.open_input_file(at) as source:
+        return dac.Reader(lambda i, n: source.read_at(n, row["offset"] + i))[left - row["part_start"]]
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
