@@ -4,8 +4,9 @@ Documents of more than the longest window give full windows first; what is left
 holds it. Tiers are packed from the longest down: a piece opens a window of its tier, the gap is filled with whole
 pieces of shorter tiers, the longest that fits first, and what no whole piece fills is filled by cutting the next
 longer piece. Tiers are powers of two, so full windows of every tier need no padding. What stays at the end of a
-task is cut into full windows of falling powers of two. Windows of a pool go longest first into step groups of equal
-token counts. Each task packs what it reads, in pools of a bounded number of tokens: nothing is shuffled.
+task is cut into full windows of falling powers of two. Windows go longest first into step groups of equal token counts:
+each into the open group whose room fits it best, pool after pool, so that only the last groups of a task can be short.
+Each task packs what it reads, in pools of a bounded number of tokens: nothing is shuffled.
 
 Defined results: null text counts as empty (one end id); null doc_id is kept; rows with one doc_id are documents of
 their own; an empty table gives no rows; extra columns are not read.
@@ -97,6 +98,26 @@ def _powers(pieces: list[Piece]) -> list[list[Piece]]:
     return out
 
 
+class StepGroups:
+    """Windows dealt to groups of exactly `tokens` each, but for those still open at the end."""
+
+    def __init__(self, first: int, tokens: int):
+        self.next, self.tokens = first, tokens
+        self.room: dict[int, int] = {}  # of open groups: a few, as whatever fits one fills it
+
+    def place(self, n: int) -> int:
+        fits = [(room, group) for group, room in self.room.items() if room >= n]
+        if fits:
+            _, group = min(fits)
+        else:
+            group, self.next = self.next, self.next + 1
+            self.room[group] = self.tokens
+        self.room[group] -= n
+        if not self.room[group]:
+            del self.room[group]
+        return group
+
+
 def pack(docs: DataFrame, tokenizer_path: str | None = None, *, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row per piece of each document of docs (doc_id, text)."""
     tokenizer_path = tokenizer_path or tokens.default_tokenizer()
@@ -106,23 +127,21 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, tiers: tuple[int
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer_path)
         high = TaskContext.get().partitionId() << 33
-        sequence, group = high, high
+        sequence, groups = high, StepGroups(high, step_tokens)
         doc_ids: list[int | None] = []
         coded: list[bytes] = []
 
         def pool() -> pa.RecordBatch:
-            nonlocal sequence, group
+            nonlocal sequence
             out: list[list] = [[] for _ in range(9)]
-            used = 0
             for window in sorted(pack_pool([len(c) // 4 for c in coded], tiers), key=lambda w: -sum(p[2] for p in w)):
                 at, total = 0, sum(p[2] for p in window)
+                group = groups.place(total)
                 for d, s, n in window:
-                    for column, value in zip(out, (doc_ids[d], s, n, zlib.crc32(memoryview(coded[d])[4 * s : 4 * (s + n)]), len(coded[d]) // 4, sequence, at, total, group + used // step_tokens)):
+                    for column, value in zip(out, (doc_ids[d], s, n, zlib.crc32(memoryview(coded[d])[4 * s : 4 * (s + n)]), len(coded[d]) // 4, sequence, at, total, group)):
                         column.append(value)
                     at += n
                 sequence += 1
-                used += total
-            group += -(-used // step_tokens)
             doc_ids.clear()
             coded.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [f.split()[0] for f in SCHEMA.split(", ")])
