@@ -4,8 +4,8 @@ Words: A-Z are lower-cased, then the runs `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+
 windows of `size` words, or itself as one window if it is shorter. Every window of a document is hashed in its row;
 the hashes meet the broadcast set in a hash join, and what matches is verified word by word before it counts.
 
-The set is broadcast while it has at most MAX_BROADCAST windows (about 200 bytes each); beyond, the same join is
-left to Spark, which then shuffles by hash.
+The set is broadcast while it has at most MAX_BROADCAST windows and MAX_BROADCAST_BYTES of them and their item lists.
+Beyond, hashes alone are shuffled (row, place and hash of each window), and the words are fetched for rows that met one.
 
 Defined results: null or wordless texts have no words and no hits; an item of no words gives no window; items of
 null item_id mark hits but are neither counted nor listed; repeated items count once; rows with one doc_id are
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from latticebits.llm import shared
 
 SIZE = 10
-MAX_BROADCAST = 500_000
+MAX_BROADCAST, MAX_BROADCAST_BYTES = 500_000, 128 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -62,10 +62,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     every = F.transform(F.array(word_hashes(F.col("ws"))), lambda hs: F.concat(*[window_hashes(hs, n, k) for k in lengths], F.array(F.lit(None).cast("long"))))[0]
     counts = {k: F.greatest(n - (k - 1), F.lit(0)) for k in lengths}
     total = sum(counts.values(), F.lit(0))
-    entries = base.select("row_id", "doc_id", "ws", "n_words", every.alias("every")).select("row_id", "doc_id", "ws", "n_words", F.posexplode_outer("every").alias("pos", "h"))
-    small = windows.count() <= MAX_BROADCAST
-    met = entries.join(F.broadcast(windows) if small else windows, F.col("h") == F.col("hash"), "left")
-    met = met.where(F.col("hash").isNotNull() | (F.col("pos") == total))
+    size_of = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("gram") + F.octet_length(F.array_join("items", ",")) + 64), F.lit(0)).alias("bytes")).first()
+    if size_of["n"] <= MAX_BROADCAST and size_of["bytes"] <= MAX_BROADCAST_BYTES:
+        entries = base.select("row_id", "doc_id", "ws", "n_words", every.alias("every")).select("row_id", "doc_id", "ws", "n_words", F.posexplode_outer("every").alias("pos", "h"))
+        met = entries.join(F.broadcast(windows), F.col("h") == F.col("hash"), "left")
+        met = met.where(F.col("hash").isNotNull() | (F.col("pos") == total))
+    else:
+        base = shared.written(base, "decontamination-words")
+        entries = base.select("row_id", every.alias("every")).select("row_id", F.posexplode("every").alias("pos", "h"))
+        found = entries.where("h IS NOT NULL").join(windows, F.col("h") == F.col("hash")).select("row_id", "pos", "len", "gram", "items")
+        met = base.join(found, "row_id", "left")
     start, before = F.lit(None).cast("int"), F.lit(0)
     for k in lengths:
         start = F.when(F.col("len") == k, F.col("pos") - before + 1).otherwise(start)
