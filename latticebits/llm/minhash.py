@@ -7,8 +7,11 @@ and a shingle stops once its next arrival is later than the latest register. Wit
 registers estimates the Jaccard similarity of the shingle sets, the measure that links are verified by. Registers are
 cut into BANDS bands; texts that share a band meet.
 
-Texts of one shingle set have one signature, whatever stands beside them in a batch, and are one node. In each bucket every node is paired with the least node; pairs are verified by
-the exact Jaccard similarity of their shingle sets, after their registers say that it may reach the threshold. Where
+Texts of one shingle set have one signature, whatever stands beside them in a batch, and are one node. In each bucket
+every node is paired with the least node; a bucket is met in SALTS parts, so a crowded one is several tasks' work. Pairs
+are verified by the exact Jaccard similarity of their shingle sets, after their registers say that it may reach the
+threshold. Shingles are told apart by 64-bit keyed hashes of their words: that two different ones of a pair of texts are
+taken for one has a chance of about their number squared over 2**64. Where
 that leaves a bucket with several classes, its node of most links so far meets the nodes of the others, a few times
 over; what is then still apart is compared in all pairs across classes: no pair of a bucket that could join two classes
 goes unseen, and pairs inside a class are never made. Classes are the connected components.
@@ -42,6 +45,8 @@ REGISTERS = BANDS * ROWS
 SLACK = 0.16
 #: Rounds in which the text of most links of a bucket meets those of other classes, before all pairs across classes do.
 HUB_ROUNDS = 2
+#: Parts of a bucket.
+SALTS = 16
 #: Nodes of a block of a family, on average.
 BLOCK = 256
 _BATCH_BYTES = 1 << 20
@@ -186,8 +191,7 @@ def classes(docs: DataFrame, signatures: DataFrame, similarity: float = SIMILARI
     grouped = grouped.select("h1", "h2", "min_doc", "n", "signature.bands", "signature.registers")
     nodes = shared.written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     buckets = nodes.select(F.explode("bands").alias("key"), "node")
-    heads = buckets.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("key", "u")
-    shared_buckets = shared.written(buckets.join(heads, "key").select("key", "u", "node"), "near-buckets")
+    shared_buckets = shared.written(_met(buckets, u=(F.min, "node"), last=(F.max, "node")).where("u <> last").select("key", "u", "node"), "near-buckets")
     pairs = shared_buckets.where("u <> node").select("u", F.col("node").alias("v")).distinct()
     wanted = shared.written(shared_buckets.select("node").distinct().join(nodes.select("node", "h1", "h2", F.coalesce("min_doc", F.lit(_NO_ID)).alias("min_doc")), "node"), "near-wanted")
     sets = shared.written(_sets(docs, wanted), "near-sets")
@@ -195,8 +199,7 @@ def classes(docs: DataFrame, signatures: DataFrame, similarity: float = SIMILARI
     comps = components(tested.where("same"))
     for turn in range(HUB_ROUNDS + 1):
         placed = shared_buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        placed = shared.written(placed.join(mixed, "key", "left_semi"), "near-mixed")
+        placed = shared.written(_met(placed, low=(F.min, "comp"), high=(F.max, "comp")).where("low <> high").select("key", "node", "comp"), "near-mixed")
         if placed.isEmpty():
             break
         if turn == HUB_ROUNDS:
@@ -207,9 +210,8 @@ def classes(docs: DataFrame, signatures: DataFrame, similarity: float = SIMILARI
         # the text of most links so far, an original among its copies, meets the rest of its bucket
         ends = tested.where("same").select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
         ranked = placed.join(ends, "node", "left").select("key", F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "comp").alias("hub"))
-        hubs = ranked.groupBy("key").agg(F.max("hub").alias("hub")).select("key", F.col("hub.node").alias("u"), F.col("hub.comp").alias("cu"))
-        others = placed.select("key", F.col("node").alias("v"), F.col("comp").alias("cv"))
-        across = hubs.join(others, "key").where("cu <> cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        met = _met(ranked.select("*", F.col("hub.node").alias("node")), best=(F.max, "hub"))
+        across = met.select(F.col("best.node").alias("u"), F.col("node").alias("v"), F.col("best.comp").alias("cu"), F.col("hub.comp").alias("cv")).where("cu <> cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         across = shared.written(across.join(tested.select("u", "v"), ["u", "v"], "left_anti"), "near-across")
         if across.isEmpty():
             continue
@@ -222,6 +224,17 @@ def classes(docs: DataFrame, signatures: DataFrame, similarity: float = SIMILARI
     return whole.join(ids, "comp").select("h1", "h2", "comp", "class_id")
 
 
+def _met(buckets: DataFrame, **of_all: tuple) -> DataFrame:
+    """buckets (key, node, ...) with name=(F.min or F.max, column) over all nodes of a key, for keys of several nodes.
+
+    These are taken over parts of a key, put together, and handed back to the parts: the nodes of a crowded key are
+    never in one task."""
+    parts = buckets.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    each = parts.groupBy("key", "salt").agg(*[f(c).alias(n) for n, (f, c) in of_all.items()], F.count("*").alias("n"))
+    whole = each.groupBy("key").agg(*[f(n).alias(n) for n, (f, _) in of_all.items()], F.collect_list("salt").alias("salts"), F.sum("n").alias("n")).where("n > 1")
+    return parts.join(whole.select("key", *of_all, F.explode("salts").alias("salt")), ["key", "salt"])
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, s) for the nodes of wanted (node, h1, h2, min_doc): their shingle sets, made anew from their texts."""
     texts = docs.select("doc_id", "text").join(wanted.select("min_doc").distinct(), F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("min_doc"), "left_semi")
@@ -279,9 +292,11 @@ def _across(nodes: DataFrame, sets: DataFrame, placed: DataFrame, similarity: fl
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every row of docs (doc_id, text)."""
-    signatures = shared.written(sign(docs, "doc_id"), "near-signatures")
-    found = classes(docs, signatures, similarity)
-    return signatures.select("doc_id", "h1", "h2").join(found, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    with shared.scratch(docs.sparkSession):
+        signatures = shared.written(sign(docs, "doc_id"), "near-signatures")
+        found = classes(docs, signatures, similarity)
+        placed = signatures.select("doc_id", "h1", "h2").join(found, ["h1", "h2"], "left")
+        return shared.written(placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "near-classes", result=True)
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -289,14 +304,15 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     row = "_row"
     while row in docs.columns:
         row += "_"
-    numbered = shared.written(docs.withColumn(row, F.monotonically_increasing_id()), "near-documents")
-    signatures = shared.written(sign(numbered, "doc_id", row).withColumnRenamed(row, "row"), "near-signatures")
-    found = classes(numbered, signatures, similarity)
-    placed = signatures.select("doc_id", "row", "h1", "h2").join(found, ["h1", "h2"], "left")
-    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row")
-    best = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(order).alias("best")).select(F.col("best.row").alias(row))
-    keep = best.union(placed.where(F.col("comp").isNull()).select("row"))
-    return numbered.join(keep, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    with shared.scratch(docs.sparkSession):
+        numbered = shared.written(docs.withColumn(row, F.monotonically_increasing_id()), "near-documents")
+        signatures = shared.written(sign(numbered, "doc_id", row).withColumnRenamed(row, "row"), "near-signatures")
+        found = classes(numbered, signatures, similarity)
+        placed = signatures.select("doc_id", "row", "h1", "h2").join(found, ["h1", "h2"], "left")
+        order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row")
+        best = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(order).alias("best")).select(F.col("best.row").alias(row))
+        keep = best.union(placed.where(F.col("comp").isNull()).select("row"))
+        return shared.written(numbered.join(keep, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]), "near-kept", result=True)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
