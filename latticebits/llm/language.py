@@ -7,9 +7,10 @@ frozen after training; the code length of a text is the exact sum of these costs
 language with the least one is predicted. The cost of a word depends on nothing else, so a worker keeps it in a
 bounded table and looks only at words new to it.
 
-Training: labelled texts of at most MAX_DOC_BYTES, chosen by a hash of doc_id with a rate that lets TRAIN_BYTES be
-expected for each label (TOTAL_BYTES for all of them): a bounded sample. A label of which nothing is drawn gives a
-piece of one text, of a longer one where it has no other. Prediction reads whole texts and only them.
+Training: different labelled texts of at most MAX_DOC_BYTES, chosen by a hash of the text with a rate that lets
+TRAIN_BYTES be expected for each label (TOTAL_BYTES for all of them): a bounded sample, whatever repeats. A label of
+which nothing is drawn gives a piece of one text, of a longer one where it has no other. Prediction reads whole texts
+and only them.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is every text where nothing could
 be learned; equal code lengths go to the label that sorts first; null labels and null doc_ids are not learned from;
@@ -193,7 +194,7 @@ def held_out() -> Column:
 def train(docs: DataFrame, learn_from: Column | None = None, *, train_bytes: int = TRAIN_BYTES, total_bytes: int = TOTAL_BYTES) -> Model | None:
     """A model of docs (doc_id, text, lang); None where no labelled text can be learned from."""
     usable = shared.columns(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & (~held_out() if learn_from is None else learn_from))
-    short, order = F.octet_length("text") <= MAX_DOC_BYTES, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    short, order = F.octet_length("text") <= MAX_DOC_BYTES, F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.sum(F.when(short, F.octet_length("text")).otherwise(0)).alias("n")).collect()}
     if not sizes:
         return None
@@ -201,7 +202,7 @@ def train(docs: DataFrame, learn_from: Column | None = None, *, train_bytes: int
     rate = F.lit(0.0)
     for language, n in sizes.items():
         rate = F.when(F.col("lang") == language, F.lit(min(1.0, share / max(n, 1)))).otherwise(rate)
-    drawn = usable.where(short & (order < rate * float(1 << 30))).select("lang", "text")
+    drawn = usable.where(short & (order < rate * float(1 << 30))).select("lang", "text").distinct()
     texts: dict[str, list[str]] = {}
     for row in drawn.collect():  # about total_bytes
         texts.setdefault(row["lang"], []).append(row["text"])
@@ -229,11 +230,6 @@ def predicted(spark: SparkSession, model: Model | None):
     return predict
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score in a struct column `_language`."""
-    return docs.withColumn("_language", predicted(docs.sparkSession, model)(F.col("text")))
-
-
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
     model = train(docs)

@@ -120,7 +120,7 @@ class _Row:
 def _rows(w: _Windows, n_buckets: int, depth: int, width: int) -> list[_Row]:
     """The rows of windows, then the row of anchors, counted once for every run of windows that shares one."""
     lead = np.flatnonzero(runs(w.anchor))
-    hashes = [hashing.mix(w.hash + hashing.GOLDEN * np.uint64(k + 1)) for k in range(depth)] + [w.key[lead]]
+    hashes = [hashing.mix(w.hash ^ hashing.mix(np.full(1, k + 1, np.uint64))) for k in range(depth)] + [w.key[lead]]
     return [_Row(h, k, n_buckets, width) for k, h in enumerate(hashes)]
 
 
