@@ -28,24 +28,30 @@ def evaluate_fitted(model, test: DataFrame) -> dict:
 def model_comparison(pairs: DataFrame, train: Column, test: Column, bins: int = 12) -> DataFrame:
     """One row per transparent model: fitted where `train` holds, scored where `test` holds.
 
-    One plan without driver steps: the edges and the global rate are a one-row table, rates are small aggregates
-    that Spark broadcasts once it has seen their size, and the test pairs are read once for all models."""
-    known = pairs.where(train)
-    levels = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    fit = known.agg(smoothed_rate(F.sum("connected"), F.count("*")).alias("p_global"), F.slice(F.percentile("distance", levels), 2, bins - 1).alias("interior"))
-    spread = lambda rows: rows.crossJoin(F.broadcast(fit)).withColumn("bin", bin_of(F.col("distance"), F.col("interior")))  # noqa: E731  fit is one row
-    binned = spread(known)
-    rate = models.rate()
-    by_bin = binned.groupBy("bin").agg(rate.alias("p_distance"))
-    by_type = known.groupBy("source_type", "target_type").agg(rate.alias("p_type_pair"))
-    by_both = binned.groupBy("source_type", "target_type", "bin").agg(rate.alias("p_type_distance"))
-    scored = spread(pairs.where(test)).join(by_bin, "bin", "left").join(by_type, ["source_type", "target_type"], "left").join(by_both, ["source_type", "target_type", "bin"], "left")
-    bits = [F.sum(code_length(F.col("connected"), F.coalesce(f"p_{m}", "p_global"))).alias(m) for m in MODELS]
-    totals = scored.agg(F.count("*").alias("test_pairs"), F.sum(F.col("connected").cast("bigint")).alias("positives"), *bits)
-    sizes = by_type.agg(F.count("*").alias("k_pair")).crossJoin(by_both.agg(F.count("*").alias("k_both")))
+    A pair's code length depends on its types, its distance bin and its label alone. So one grouped pass over the pairs
+    counts rows and edges of every (types, bin) on both sides; rates, roll-ups and bits come from these counts. Before it
+    stand the passes for the exact edges of the bins, over the distances of the training pairs."""
+    rows = pairs.select(train.alias("is_train"), test.alias("is_test"), "source_type", "target_type", "distance", F.col("connected").cast("bigint").alias("y")).where("is_train OR is_test").persist()
+    try:
+        edges = models.exact_quantiles(rows.where("is_train"), "distance", [i / bins for i in range(bins + 1)])
+        interior = F.array(*[F.lit(e) for e in edges[1:-1]]) if edges else F.array().cast("array<double>")
+        sums = [F.coalesce(F.sum(F.when(side, v)), F.lit(0)).alias(n) for n, side, v in (("n", F.col("is_train"), F.lit(1)), ("k", F.col("is_train"), F.col("y")), ("test_n", F.col("is_test"), F.lit(1)), ("test_k", F.col("is_test"), F.col("y")))]
+        keys = ["source_type", "target_type", "bin"]
+        counts = rows.withColumn("bin", bin_of(F.col("distance"), interior)).groupBy(*keys).agg(*sums).persist()  # as many rows as types squared times bins
+        counts.count()
+    finally:
+        rows.unpersist()
+    roll = lambda *by: counts.where("n > 0").groupBy(*by).agg(smoothed_rate(F.sum("k"), F.sum("n")).alias("p"))
+    both, pair, binned, whole = (roll(*by).withColumnRenamed("p", f"p_{m}") for m, by in (("type_distance", keys), ("type_pair", keys[:2]), ("distance", keys[2:]), ("global", [])))
+    scored = counts.where("test_n > 0").join(both, keys, "left").join(pair, keys[:2], "left").join(binned, keys[2:], "left").crossJoin(F.broadcast(whole))  # whole is one row
+    p = {m: F.coalesce(f"p_{m}", "p_global") for m in MODELS}
+    one, zero = F.lit(1), F.lit(0)
+    bits = [F.sum(F.when(F.col("test_k") > 0, F.col("test_k") * code_length(one, p[m])).otherwise(0.0) + F.when(F.col("test_n") > F.col("test_k"), (F.col("test_n") - F.col("test_k")) * code_length(zero, p[m])).otherwise(0.0)).alias(m) for m in MODELS]
+    totals = scored.agg(F.coalesce(F.sum("test_n"), F.lit(0)).alias("test_pairs"), F.sum("test_k").alias("positives"), *bits)
+    sizes = pair.agg(F.count("*").alias("k_pair")).crossJoin(both.agg(F.count("*").alias("k_both")))
     bits_of = {"global": F.lit(64), "distance": F.lit(64 * (2 * bins + 1)), "type_pair": 64 * (F.col("k_pair") + 1), "type_distance": 64 * (F.col("k_both") + bins + 2)}
-    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("residual_bits"), bits_of[m].cast("bigint").alias("model_bits")) for m in MODELS])).alias("r")
-    out = totals.crossJoin(sizes).select("test_pairs", "positives", rows).select("r.model", "test_pairs", "positives", "r.residual_bits", "r.model_bits")
+    rows_of = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("residual_bits"), bits_of[m].cast("bigint").alias("model_bits")) for m in MODELS])).alias("r")
+    out = totals.crossJoin(sizes).select("test_pairs", "positives", rows_of).select("r.model", "test_pairs", "positives", "r.residual_bits", "r.model_bits")
     return out.select("*", (F.col("residual_bits") + F.col("model_bits")).alias("two_part_bits"), per_sample(F.col("residual_bits"), F.col("test_pairs")).alias("bits_per_pair"), per_positive(F.col("residual_bits"), F.col("positives")).alias("bits_per_positive"))
 
 

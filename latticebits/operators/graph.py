@@ -27,7 +27,11 @@ class Graph:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint, given only after the size is checked (the count stops at the bound)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
 
 
 def unique_rows(df: DataFrame, *keys: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Ridge-logistic geometry models by Newton's method over Arrow passes, many fits to a pass.
 
-A pass reads the pair table once. Each task adds up, for every fit that is still open, the moments, or gradient,
-Hessian and objective of the rows that belong to it; partial sums are added by a group-by, and the driver solves
-systems of at most 17 unknowns. So a nested cross-validation of a hundred fits takes as many scans as its slowest fit
-takes iterations, not a hundred times that.
+The pair table is read once and kept as packed blocks (features, label, slabs as binary), so a pass sends a few large
+values to Python and builds nothing anew. Each task adds up, for every fit that is still open, the moments, or gradient,
+Hessian and objective of the rows that belong to it; partial sums are added up, and the driver solves systems of at most
+17 unknowns. So a nested cross-validation of a hundred fits takes as many passes as its slowest fit takes iterations,
+not a hundred times that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +23,9 @@ from latticebits.functions.columns import CLIP, geometry_features, sigmoid
 SCALE_FLOOR, WEIGHT_FLOOR = 1e-12, 1e-8
 NEWTON_STEP, NEWTON_ROUNDS = 1e-8, 100
 DAMPED_GRADIENT, DAMPED_STEP, DAMPED_ROUNDS = 1e-10, 1e-8, 500
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 16_384
+#: Partial sums of at most so many tasks go to the driver; of more, they are added by a group-by first.
+DRIVER_PARTS = 64
 ARMIJO, SHRINK, BACKTRACKS, TRIALS_A_PASS = 1e-4, 0.5, 31, 8
 
 
@@ -74,35 +78,78 @@ def _widths() -> dict[str, int]:
     return {"distance": 1, "relative": 7, "spatial": 16}
 
 
-def _design(pairs: DataFrame) -> DataFrame:
-    """All 16 features (smaller sets are their first columns), label and slabs as plain columns."""
-    features = geometry_features("spatial")
+def _design(pairs: DataFrame, feature_set: str = "spatial") -> DataFrame:
+    """The features of a set (smaller sets are the first columns of larger ones), label and slabs as plain columns."""
+    features = geometry_features(feature_set)
     slab = [F.col(c).cast("int") if c in pairs.columns else F.lit(0) for c in ("s_slab", "t_slab")]
     return pairs.select(*[c.alias(n) for n, c in features.items()], F.col("connected").cast("double").alias("y"), slab[0].alias("s_slab"), slab[1].alias("t_slab"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of BLOCK_ROWS or a little more: fewer, larger matrix products."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= BLOCK_ROWS:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, rows = [], 0
-    if rows:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _pass(design: DataFrame, specs: dict[str, Spec], per_fit) -> dict[str, np.ndarray]:
+@dataclass(frozen=True)
+class Rows:
+    """Pairs as persisted blocks of at most BLOCK_ROWS rows: x (`width` doubles a row), y, s and t (slabs) as binary."""
+
+    blocks: DataFrame
+    parts: int
+    width: int
+
+    def batches(self, f, schema: str) -> DataFrame:
+        """f over an iterator of (x, y, s, t) of each task's blocks."""
+        width = self.width
+
+        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in batches:
+                for x, y, s, t in zip(*batch.columns):
+                    yield (
+                        np.frombuffer(x.as_buffer()).reshape(-1, width),
+                        np.frombuffer(y.as_buffer(), np.int8).astype(float),
+                        np.frombuffer(s.as_buffer(), np.int32),
+                        np.frombuffer(t.as_buffer(), np.int32),
+                    )
+
+        return self.blocks.mapInArrow(lambda batches: f(unpacked(batches)), schema)
+
+
+@contextmanager
+def packed(pairs: DataFrame, feature_set: str = "spatial"):
+    """Rows of pairs with the features that a set and smaller ones need, kept while the context is open."""
+    columns, width = ["x", "y", "s", "t"], _widths()[feature_set]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                part = [np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.slice(lo, BLOCK_ROWS).columns]
+                y = np.asarray(part[width], dtype=float)
+                label = np.where((y == 0) | (y == 1), y, -1).astype(np.int8)  # anything else is told by the moments
+                packed_ = (np.column_stack(part[:width]).astype(float).tobytes(), label.tobytes(), *(np.asarray(p, dtype=np.int32).tobytes() for p in part[width + 1 :]))
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in packed_], columns)
+
+    with _rows_to_a_batch(pairs, BLOCK_ROWS):
+        blocks = _design(pairs, feature_set).mapInArrow(pack, ", ".join(f"{c} binary" for c in columns)).persist()
+        try:
+            yield Rows(blocks, blocks.rdd.getNumPartitions(), width)
+        finally:
+            blocks.unpersist()
+
+
+@contextmanager
+def _rows_to_a_batch(df: DataFrame, n: int):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = df.sparkSession.conf.get(key)
+    df.sparkSession.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        df.sparkSession.conf.set(key, before)
+
+
+def _pass(rows: Rows, specs: dict[str, Spec], per_fit) -> dict[str, np.ndarray]:
     """Sum over rows of per_fit(name, X, y), a flat vector, for each spec."""
     widths, items = _widths(), list(specs.items())
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(blocks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in _blocks(batches):
-            columns = [np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in batch.columns]
-            x, y, s, t = np.column_stack(columns[:16]) if batch.num_rows else np.zeros((0, 16)), columns[16], columns[17].astype(int), columns[18].astype(int)
+        for x, y, s, t in blocks:
             chosen: dict[frozenset | None, tuple[np.ndarray, np.ndarray]] = {None: (x, y)}
             for name, spec in items:
                 if spec.slabs not in chosen:
@@ -114,14 +161,12 @@ def _pass(design: DataFrame, specs: dict[str, Spec], per_fit) -> dict[str, np.nd
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([v.tolist() for v in totals.values()], pa.list_(pa.float64()))], ["name", "v"])
 
-    def added(group: pa.Table) -> pa.Table:
-        return pa.table({"name": group.column("name").slice(0, 1), "v": pa.array([np.sum(group.column("v").to_pylist(), axis=0).tolist()], pa.list_(pa.float64()))})
-
-    partials = design.mapInArrow(partial, "name string, v array<double>")
-    if design.rdd.getNumPartitions() > 64:
-        partials = partials.groupBy("name").applyInArrow(added, "name string, v array<double>")
+    partials = rows.batches(partial, "name string, v array<double>")
+    if rows.parts > DRIVER_PARTS:
+        sums = partials.select("name", F.posexplode("v").alias("i", "v")).groupBy("name", "i").agg(F.sum("v").alias("v"))
+        partials = sums.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("v"))  # 290 values a fit
     out: dict[str, np.ndarray] = {}
-    for row in partials.toLocalIterator():  # at most 64 rows a fit, or one
+    for row in partials.collect():
         out[row["name"]] = out.get(row["name"], 0) + np.array(row["v"])
     return out
 
@@ -131,8 +176,8 @@ def _objective(x: np.ndarray, y: np.ndarray, beta: np.ndarray) -> float:
     return float((np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) - y * z).sum())
 
 
-def fit_many(pairs: DataFrame, specs: list[Spec], solver: str = "newton") -> dict[str, GeometryModel]:
-    """Every spec fitted to pairs (s_slab and t_slab where specs name slabs). pairs is read once a pass: persist it.
+def fit_many(pairs: DataFrame | Rows, specs: list[Spec], solver: str = "newton") -> dict[str, GeometryModel]:
+    """Every spec fitted to pairs (s_slab and t_slab where specs name slabs), read once; Rows of several fits are shared.
 
     `newton` takes full steps; `damped` takes Armijo steps and stops on the scaled gradient too. A fit that doesn't
     converge, or meets a value that isn't finite, is an error."""
@@ -143,7 +188,10 @@ def fit_many(pairs: DataFrame, specs: list[Spec], solver: str = "newton") -> dic
     todo = {s.name: s for s in specs}
     if len(todo) != len(specs):
         raise ValueError("fits must have different names")
-    design = _design(pairs)
+    if not isinstance(pairs, Rows):
+        with packed(pairs, max((s.feature_set for s in specs), key=_widths().get)) as rows:
+            return fit_many(rows, specs, solver)
+    design = pairs
 
     def moments(_: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         bad = float((~np.isfinite(x)).sum()), float(((y != 0) & (y != 1)).sum())
@@ -249,16 +297,16 @@ def _line_search(design, open_, todo, mean, scale, beta, direction, slope, base,
     raise FitError(f"line search failed after {BACKTRACKS} trials: {sorted(waiting)[0]}")
 
 
-def slab_bits(pairs: DataFrame, fitted: dict[str, GeometryModel], n_slabs: int) -> dict[tuple[int, str], float]:
+def slab_bits(rows: Rows, fitted: dict[str, GeometryModel], n_slabs: int) -> dict[tuple[int, str], float]:
     """Code length inside each slab under each model, in one Arrow pass: the plan of dozens of literal models would be
     too large for generated code."""
     widths = _widths()
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(blocks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         totals = {name: np.zeros(n_slabs) for name in fitted}
-        for batch in _blocks(batches):
-            columns = [np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in batch.columns]
-            x, y, slab = np.column_stack(columns[:16]), columns[16], columns[17].astype(int)
+        for x, y, s, t in blocks:
+            inside = s == t
+            x, y, slab = x[inside], y[inside], s[inside]
             for name, m in fitted.items():
                 z = (x[:, : widths[m.name]] - m.means) / m.scales @ m.coefficients[1:] + m.coefficients[0]
                 e = np.exp(-np.abs(z))
@@ -266,8 +314,7 @@ def slab_bits(pairs: DataFrame, fitted: dict[str, GeometryModel], n_slabs: int)
                 totals[name] += np.bincount(slab, weights=-np.log2(np.where(y == 1, p, 1 - p)), minlength=n_slabs)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([v.tolist() for v in totals.values()], pa.list_(pa.float64()))], ["name", "v"])
 
-    inside = _design(pairs).where("s_slab = t_slab")
-    sums = inside.mapInArrow(partial, "name string, v array<double>").select("name", F.posexplode("v").alias("slab", "bits")).groupBy("name", "slab").agg(F.sum("bits").alias("bits"))
+    sums = rows.batches(partial, "name string, v array<double>").select("name", F.posexplode("v").alias("slab", "bits")).groupBy("name", "slab").agg(F.sum("bits").alias("bits"))
     return {(r["slab"], r["name"]): r["bits"] for r in sums.collect()}  # slabs times models
 
 
@@ -284,5 +331,6 @@ def gram(pairs: DataFrame, feature_set: str, beta: list[float]) -> dict[str, np.
         p = 1 / (1 + np.exp(-np.clip(a @ b, -700, 700)))
         return np.concatenate([a.T @ (p - y), (a.T @ ((p * (1 - p))[:, None] * a)).ravel()])
 
-    v = _pass(_design(pairs), {"gram": Spec("gram", feature_set, 1.0)}, terms)["gram"]
+    with packed(pairs, feature_set) as rows:
+        v = _pass(rows, {"gram": Spec("gram", feature_set, 1.0)}, terms)["gram"]
     return {"gradient": v[: len(b)], "hessian": v[len(b) :].reshape(len(b), len(b))}

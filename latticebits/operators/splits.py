@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticebits.operators import graph
+
 
 def slabs(nodes: DataFrame, n_splits: int = 5, axis: str = "x") -> DataFrame:
     """nodes with `slab` 0..n-1: contiguous along the axis, the first ones a node larger where sizes don't divide; ties by id."""
@@ -44,8 +46,9 @@ def central_window(nodes: DataFrame, count: int, axis: str = "x") -> DataFrame:
 def with_parts(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     """pairs with the node column of both ends, as s_<column> and t_<column>."""
     of = nodes.select("id", column)
-    s = F.broadcast(of.select(F.col("id").alias("source"), F.col(column).alias(f"s_{column}")))
-    t = F.broadcast(of.select(F.col("id").alias("target"), F.col(column).alias(f"t_{column}")))
+    hint = F.broadcast if graph.is_small(of) else lambda df: df
+    s = hint(of.select(F.col("id").alias("source"), F.col(column).alias(f"s_{column}")))
+    t = hint(of.select(F.col("id").alias("target"), F.col(column).alias(f"t_{column}")))
     return pairs.join(s, "source").join(t, "target")
 
 

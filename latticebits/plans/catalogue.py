@@ -273,17 +273,16 @@ def gram_pass(spark, d):
 def near_pairs(spark, d):
     """Pairs whose edges are kept only where the ends are near, so that geometry tells something."""
     pairs = b.slabbed(spark, d)
-    cut = pairs.agg(F.percentile("distance", F.lit(0.25))).first()[0]
+    (cut,) = models.exact_quantiles(pairs, "distance", [0.25])
     return pairs.withColumn("connected", F.when(F.col("distance") <= cut, F.col("connected")).otherwise(0))
 
 
 def _fits(solver):
     def run(spark, d):
-        pairs = near_pairs(spark, d).persist()
-        fits = logistic.fit_many(pairs, [logistic.Spec(f, f, 1.0, frozenset(range(4))) for f in c.FEATURE_SETS], solver)
-        test = pairs.where(splits.among("slab", [4])).agg(*[F.sum(c.code_length(F.col("connected"), m.probability())).alias(n) for n, m in fits.items()]).first()
-        pairs.unpersist()
-        rows = [(n, round(test[n], 3), m.model_bits, [round(float(x), 6) for x in m.coefficients]) for n, m in fits.items()]
+        with logistic.packed(near_pairs(spark, d)) as pairs:
+            fits = logistic.fit_many(pairs, [logistic.Spec(f, f, 1.0, frozenset(range(4))) for f in c.FEATURE_SETS], solver)
+            bits = logistic.slab_bits(pairs, fits, 5)
+        rows = [(n, round(bits[(4, n)], 3), m.model_bits, [round(float(x), 6) for x in m.coefficients]) for n, m in fits.items()]
         return spark.createDataFrame(rows, "model string, residual_bits double, model_bits bigint, coefficients array<double>")
 
     return run
