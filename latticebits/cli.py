@@ -18,7 +18,7 @@ def _session():
 def _client(args):
     from latticebits.sources.services import ExportConfig, ParquetClient
 
-    config = ExportConfig(args.version, max_nodes=args.max_nodes)
+    config = ExportConfig(args.version, max_nodes=args.max_nodes, max_pairs=args.max_candidate_pairs, strategies=tuple(args.strategy) if args.strategy else None)
     return ParquetClient(_session(), args.root, (args.version,), (config.node_table, config.type_table, config.event_table)), config
 
 
@@ -29,8 +29,7 @@ def baselines(args) -> dict | list:
 
     rows = splits.permutation_split(synthetic.pairs(_session(), n_nodes=args.nodes, n_pairs=args.pairs, seed=args.seed), ["pair_id"], 0.3, args.seed + 1)
     results = evaluate.model_comparison(rows, F.col("part") == "train", F.col("part") == "test").cache()
-    if args.output:
-        evaluate.save_results(results, args.output)
+    evaluate.save_results(results, args.output)
     return [r.asDict() for r in results.orderBy("model").collect()]
 
 
@@ -60,15 +59,17 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--nodes", type=int, default=500)
     s.add_argument("--pairs", type=int, default=40_000)
     s.add_argument("--seed", type=int, default=7)
-    s.add_argument("--output")
+    s.add_argument("--output", default="results/synthetic_baselines.json")
     s.set_defaults(run=baselines)
     for name, run in (("doctor", doctor), ("export", export)):
         s = sub.add_parser(name)
         s.add_argument("root")
         s.add_argument("--version", type=int, required=True)
         s.add_argument("--max-nodes", type=int, default=500)
+        s.add_argument("--max-candidate-pairs", type=int, default=5_000_000)
+        s.add_argument("--strategy", action="append", help="axon proofreading strategy of nodes; repeat for several (default: all)")
         if name == "export":
-            s.add_argument("--output", required=True)
+            s.add_argument("--output", default="data/cache/pilot")
         s.set_defaults(run=run)
     s = sub.add_parser("validate")
     s.add_argument("path")

@@ -58,6 +58,10 @@ class ExportConfig:
     def __post_init__(self):
         if self.version <= 0:
             raise ValueError("a positive version must be pinned")
+        if self.strategies is not None and not self.strategies:
+            raise ValueError("strategies must name one at least, or be None for all")
+        if not all((self.node_table, self.type_table, self.event_table)):
+            raise ValueError("tables must be named")
         if not 2 <= self.max_nodes <= graph.MAX_NODES:
             raise ValueError(f"max_nodes must be 2 to {graph.MAX_NODES}")
         if self.max_pairs < 2:
@@ -66,6 +70,37 @@ class ExportConfig:
             raise ValueError("lookup_batch must be 1 to 5000")
 
 
+def connect(make: Callable[[], TableClient], version: int) -> TableClient:
+    """A client from a caller's factory, which alone handles credentials, with the pinned version there.
+
+    Whatever goes wrong inside is reported without its text, which could hold a token."""
+    try:
+        client = make()
+        known = version in client.versions()
+    except ImportError:
+        raise RuntimeError("the table client's package is not installed") from None
+    except Exception as e:
+        raise RuntimeError(f"the table client could not be set up ({type(e).__name__}); check its credentials where it keeps them") from None
+    if not known:
+        raise ValueError(f"version {version} isn't there")
+    return client
+
+
+def in_nanometres(df: DataFrame, columns: tuple[str, ...], resolution: tuple[float, float, float]) -> DataFrame:
+    """Places in voxels of a stated resolution as nanometres: x, y and z columns in this order."""
+    if len(columns) != 3 or any(r <= 0 for r in resolution):
+        raise ValueError("three columns and a positive resolution are needed")
+    return df.withColumns({c: F.col(c).cast("double") * F.lit(float(r)) for c, r in zip(columns, resolution)})
+
+
+def restricted(df: DataFrame, column: str | None = None, values: list | None = None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """A bounded read of a table: rows of listed values, some columns, at most so many rows; all of it pushed down."""
+    if column is not None:
+        df = df.where(F.col(column).isin(list(values or [])))
+    df = df.select(*columns) if columns else df
+    return df.limit(limit) if limit is not None else df
+
+
 def export_graph(client: TableClient, config: ExportConfig) -> graph.Graph:
     """Proofread nodes with one type each, the first max_nodes by id; events among them; all candidate pairs."""
     nodes = graph.current_nodes(client.table(config.node_table, config.version), strategies=list(config.strategies) if config.strategies else None)
@@ -111,6 +146,15 @@ NEEDED = {
 }
 
 
+def installed_version(package: str) -> str | None:
+    from importlib.metadata import PackageNotFoundError, version
+
+    try:
+        return version(package)
+    except PackageNotFoundError:
+        return None
+
+
 def doctor(client: TableClient, config: ExportConfig) -> dict:
     """A bounded look before an export: version, tables, columns, and whether a few rows come back. Names no credential."""
     versions = client.versions()
@@ -121,7 +165,7 @@ def doctor(client: TableClient, config: ExportConfig) -> dict:
     missing = sorted(set(wanted.values()) - names)
     if missing:
         raise ValueError(f"tables are missing: {', '.join(missing)}")
-    report: dict = {"version": config.version, "tables": {}}
+    report: dict = {"version": config.version, "packages": {n: installed_version(n) for n in ("pyspark", "numpy")}, "tables": {}}
     for role, limit in (("node", 5), ("type", 1), ("event", 1)):
         df = checks.require_columns(client.table(wanted[role], config.version), NEEDED[role], wanted[role])
         n = df.limit(limit).count()
@@ -147,6 +191,23 @@ def assigned_shards(part: int, parts: int, count: int = 166) -> list[int]:
     return list(range(part, count, parts))
 
 
+def shard_manifest(sizes: list[int]) -> list[dict]:
+    """(name, bytes) of the shards of a release whose sizes are known; sizes are the caller's to pin."""
+    if any(n <= 0 for n in sizes):
+        raise ValueError("shard sizes must be positive")
+    return [{"shard": i, "name": shard_name(i, len(sizes)), "bytes": n} for i, n in enumerate(sizes)]
+
+
+def head(ask: Callable[[], dict]) -> dict:
+    """What a HEAD request tells of an object, through ask(), which gives its headers; a failure is reported, not raised."""
+    try:
+        headers = {k.lower(): v for k, v in ask().items()}
+    except Exception as e:  # a report of what is there
+        return {"available": False, "error_type": type(e).__name__, "content_length": None}
+    length = headers.get("content-length")
+    return {"available": True, "content_length": int(length) if length is not None else None} | {n.replace("-", "_"): headers.get(n) for n in ("content-type", "etag", "last-modified", "accept-ranges")}
+
+
 def download(fetch: Callable[[], bytes], path: str, size: int, *, retries: int = 5, sleep: Callable[[float], None] = time.sleep) -> None:
     """A file of a known size through fetch(), kept if it is there already; a failed or short try waits twice as long, 16 s
     at most; the name appears only when all is written."""
