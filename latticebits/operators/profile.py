@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticebits.functions.columns import is_finite
+from latticebits.operators import graph
 
 MAX_LABELS = 50
 
@@ -27,6 +28,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("<NA>")).alias("value")).agg(F.count("*").alias("rows"))
 
 
+def with_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
+    """df with numbers from 0 for the values of a column of labels, in their order; null has none."""
+    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(code, F.row_number().over(Window.orderBy(column)) - 1)
+    return df.join(graph.small(codes), column, "left")
+
+
 def label_counts(df: DataFrame, column: str, limit: int = MAX_LABELS) -> DataFrame | None:
     """value_counts of a column with at most `limit` different values, else None: too many to be labels."""
     return value_counts(df, column) if df.select(column).distinct().limit(limit + 1).count() <= limit else None

@@ -79,14 +79,15 @@ def require_slab_positives(pairs: DataFrame, n_splits: int = 5) -> list[dict]:
 
 
 def permutation_split(df: DataFrame, keys: list[str], fraction: float = 0.3, seed: int = 0) -> DataFrame:
-    """df with `part` train or test: exactly round(n*(1-fraction)) rows are train, by a seeded hash of the keys.
+    """df with `part` train or test: exactly round(n*(1-fraction)) rows are train, by a seeded hash of the keys (the MD5
+    of the seed and the keys as text, which any engine gives alike).
 
     The cut is a value of the hash found by a distributed sort, so no task ranks all rows."""
     if not 0 < fraction < 1:
         raise ValueError("fraction must be between 0 and 1")
     n = df.count()
     cut = round(n * (1 - fraction))
-    order = [F.xxhash64(F.lit(seed), *keys).alias("__h"), *keys]
+    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])).alias("__h"), *keys]
     ranked = df.select("*", order[0])
     if cut <= 0 or cut >= n:
         return df.withColumn("part", F.lit("train" if cut >= n else "test"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder for what a query writes and reads back: below spark.checkpoint.dir, which only a local master may lack."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/files-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = tempfile.mkdtemp(prefix="latticebits-files-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"{own}/files"
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nodes(id, type, x, y, z) from embeddings."""
     e = table(spark, sf_dir, "embeddings")

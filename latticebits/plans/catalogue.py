@@ -11,7 +11,7 @@ from latticebits.functions import columns as c
 from latticebits.operators import bridge, degree, digest, distortion, evaluate, graph, logistic, models, nested_cv, profile, splits, synthetic, validate
 from latticebits.plans import binding as b
 from latticebits.plans.binding import table
-from latticebits.sources import records
+from latticebits.sources import records, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -117,9 +117,7 @@ def type_normalise(spark, d):
 
 @query("SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS code FROM part", bound=False)
 def category_codes(spark, d):
-    p = table(spark, d, "part")
-    codes = p.select("p_brand").distinct().withColumn("code", F.row_number().over(graph.Window.orderBy("p_brand")) - 1)
-    return p.join(F.broadcast(codes), "p_brand").select("p_partkey", "code")  # brands are few
+    return profile.with_codes(table(spark, d, "part"), "p_brand").select("p_partkey", "code")
 
 
 @query("SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS id FROM events", bound=False)
@@ -169,9 +167,9 @@ def slab_precheck(spark, d):
     return splits.slab_positives(b.slabbed(spark, d))
 
 
-@query("SELECT CASE WHEN r <= k THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY pre, post) AS r, round_even(0.7 * count(*) OVER (), 0) AS k FROM cnt) GROUP BY 1")
+@query("SELECT pre, post, CASE WHEN r <= k THEN 'train' ELSE 'test' END AS part FROM (SELECT *, row_number() OVER (ORDER BY md5('8|' || pre || '|' || post), pre, post) AS r, round_even(0.7 * count(*) OVER (), 0) AS k FROM cnt)")
 def permutation_split(spark, d):
-    return splits.permutation_split(b.counts(spark, d), ["pre", "post"], 0.3, 8).groupBy("part").agg(F.count("*").alias("n"))
+    return splits.permutation_split(b.counts(spark, d), ["pre", "post"], 0.3, 8).select("pre", "post", "part")
 
 
 # ---- rates and bits
@@ -288,6 +286,34 @@ def _fits(solver):
     return run
 
 
+_DISTANCE_FIT = """
+, nr AS (SELECT *, CASE WHEN distance <= (SELECT quantile_cont(distance, 0.25) FROM sp) THEN CAST(connected AS DOUBLE) ELSE 0.0 END AS y FROM sp),
+m AS MATERIALIZED (SELECT avg(ln(1 + distance)) AS mu, stddev_pop(ln(1 + distance)) AS sd, (sum(y) + 0.5) / (count(*) + 1.0) AS p FROM nr WHERE s_slab < 4 AND t_slab < 4),
+z AS MATERIALIZED (SELECT (ln(1 + distance) - mu) / sd AS x, y FROM nr, m WHERE s_slab < 4 AND t_slab < 4),
+it AS (SELECT 0 AS i, ln(p / (1 - p)) AS b0, CAST(0 AS DOUBLE) AS b1 FROM m
+       UNION ALL SELECT i + 1, b0 - ((t.h11 + 1) * t.g0 - t.h01 * (t.g1 + b1)) / ((t.h11 + 1) * t.h00 - t.h01 * t.h01), b1 - (t.h00 * (t.g1 + b1) - t.h01 * t.g0) / ((t.h11 + 1) * t.h00 - t.h01 * t.h01)
+       FROM (SELECT it.*, (SELECT struct_pack(g0 := sum(p - y), g1 := sum((p - y) * x), h00 := sum(greatest(p * (1 - p), 1e-8)), h01 := sum(greatest(p * (1 - p), 1e-8) * x), h11 := sum(greatest(p * (1 - p), 1e-8) * x * x))
+                           FROM (SELECT x, y, 1 / (1 + exp(-(it.b0 + it.b1 * x))) AS p FROM z)) AS t FROM it WHERE i < 12)),
+q AS (SELECT y, greatest(least(1 / (1 + exp(-(b0 + b1 * (ln(1 + distance) - mu) / sd))), 1 - 1e-12), 1e-12) AS p FROM nr, m, (SELECT b0, b1 FROM it WHERE i = 12) WHERE s_slab = 4 AND t_slab = 4)
+SELECT round(b0, 5) AS b0, round(b1, 5) AS b1, (SELECT round(sum(CASE WHEN y = 1 THEN -log2(p) ELSE -log2(1 - p) END), 3) FROM q) AS residual_bits FROM it WHERE i = 12"""
+
+
+def _distance_fit(solver):
+    """The fit of one feature, which SQL can follow step by step."""
+
+    def run(spark, d):
+        with logistic.packed(near_pairs(spark, d), "distance") as pairs:
+            fits = logistic.fit_many(pairs, [logistic.Spec("fit", "distance", 1.0, frozenset(range(4)))], solver)
+            bits = logistic.slab_bits(pairs, fits, 5)[(4, "fit")]
+        b0, b1 = fits["fit"].coefficients
+        return spark.createDataFrame([(round(float(b0), 5), round(float(b1), 5), round(float(bits), 3))], "b0 double, b1 double, residual_bits double")
+
+    return run
+
+
+for _solver in ("newton", "damped"):
+    QUERIES[f"{_solver}_distance"] = _distance_fit(_solver)
+    ORACLE[f"{_solver}_distance"] = f"WITH RECURSIVE {b.SQL} {_DISTANCE_FIT}"
 QUERIES["newton_fit"] = _fits("newton")
 QUERIES["damped_fit"] = _fits("damped")
 
@@ -314,7 +340,7 @@ ORACLE["degree_diagnostic"] = ORACLE["degree_diagnostic"].replace("WITH ", "WITH
 @query("SELECT family, CAST(arg_min(l2, (bits, -l2)) AS INTEGER) AS l2 FROM (SELECT l_returnflag AS family, l_linenumber AS l2, round(avg(l_tax), 2) AS bits FROM lineitem GROUP BY ALL) GROUP BY family", bound=False)
 def select_lambda(spark, d):
     scores = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("family"), F.col("l_linenumber").alias("l2")).agg(F.round(F.avg("l_tax"), 2).alias("bits"))
-    return scores.groupBy("family").agg(F.min_by("l2", F.struct("bits", -F.col("l2"))).cast("int").alias("l2"))
+    return nested_cv.chosen_penalties(scores).select("family", F.col("l2").cast("int").alias("l2"))
 
 
 _SCORES = "(SELECT l_returnflag AS family, l_linenumber AS fold, sum(l_quantity) AS bits FROM lineitem GROUP BY ALL)"
@@ -327,9 +353,7 @@ _SCORES = "(SELECT l_returnflag AS family, l_linenumber AS fold, sum(l_quantity)
 )
 def wins_and_reduction(spark, d):
     r = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("family"), F.col("l_linenumber").alias("fold")).agg(F.sum("l_quantity").alias("bits"))
-    base = r.where("family = 'A'").select("fold", F.col("bits").alias("base"))
-    both = r.join(base, "fold")
-    return both.groupBy("family").agg(F.count_if(F.col("bits") < F.col("base")).alias("wins"), F.round((F.sum("base") - F.sum("bits")) / F.sum("base"), 9).alias("reduction"))
+    return rounded(nested_cv.wins_and_reduction(r, "A"), "reduction", digits=9)
 
 
 def nested_cv_folds(spark, d):
@@ -436,6 +460,12 @@ def retention_topk(spark, d):
     return distortion.retained(p, "residual-first", 0.1).select("source", "target")
 
 
+@query("SELECT source, target FROM (SELECT source, target, row_number() OVER (ORDER BY synapse_count, source, target) AS r, count(*) OVER () AS n FROM pairs WHERE connected = 1) WHERE r <= round_even(0.1 * n, 0)")
+def retention_typical(spark, d):
+    p = b.pairs(spark, d).withColumn("p", 1.0 / (1.0 + F.col("synapse_count")))
+    return distortion.retained(p, "typical-first", 0.1).select("source", "target")
+
+
 def rate_distortion_curve(spark, d):
     p = b.pairs(spark, d).withColumn("p", 1.0 / (1.0 + F.col("synapse_count"))).withColumn("source", F.col("source") - 1).withColumn("target", F.col("target") - 1)
     return distortion.distortion_curve(p, b.nodes(spark, d).count())
@@ -448,3 +478,51 @@ def synthetic_baselines(spark, d):
 
 QUERIES["rate_distortion_curve"] = rate_distortion_curve
 QUERIES["synthetic_baselines"] = synthetic_baselines
+
+
+# ---- files: written, read back
+
+
+@query("SELECT id, type, round(x, 3) AS x FROM nodes")
+def csv_node_scan(spark, d):
+    path = b.folder(spark)
+    b.nodes(spark, d).write.csv(path, header=True)
+    return rounded(graph.clean_nodes(tables.text_csv(spark, path, ["id", "type", "x", "y", "z"]), id="id", type="type", x="x", y="y", z="z").select("id", "type", "x"), "x", digits=3)
+
+
+@query("SELECT pre, post, synapse_count FROM cnt")
+def pair_counts_files(spark, d):
+    """Partial counts of two parts, each a sorted CSV, added up from the files."""
+    path, ev = b.folder(spark), b.events(spark, d).where("pre <> post").withColumn("part", F.pmod(F.xxhash64("pre"), F.lit(2)))
+    for part in range(2):
+        tables.write_pair_counts(graph.pair_counts(ev.where(F.col("part") == part)), f"{path}/{part}")
+    return tables.read_pair_counts(spark, [f"{path}/{part}" for part in range(2)])
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer", bound=False)
+def headerless_scan(spark, d):
+    """A gzip CSV without a header, its columns named by a sidecar in another order than the table's."""
+    path, fields = b.folder(spark), ["c_name", "c_acctbal", "c_custkey"]
+    table(spark, d, "customer").select(*fields).write.option("compression", "gzip").csv(path)
+    names = tables.sidecar_columns("column,type\nc_name,text\nc_acctbal,double\nc_custkey,bigint\n".encode(), set(fields))
+    rows = tables.headerless_csv(spark, path, names)
+    return rows.select(c.coerced_id(F.col("c_custkey")).alias("c_custkey"), "c_name", c.coerced_double(F.col("c_acctbal")).alias("c_acctbal"))
+
+
+@query("SELECT pre, post, count(*) AS n FROM (SELECT user_id AS pre, CAST(json_extract_string(props, '$.k') AS BIGINT) AS post FROM events WHERE event_id % 10 > 0) GROUP BY ALL", bound=False)
+def json_lines_scan(spark, d):
+    path, e = b.folder(spark), table(spark, d, "events")
+    site = F.when(F.col("event_id") % 10 > 0, F.col("user_id").cast("string"))
+    line = F.to_json(F.struct(F.struct(site.alias("neuron_id")).alias("pre_synaptic_site"), F.struct(c.json_identity(F.try_parse_json("props"), "$.k").cast("bigint").alias("neuron_id")).alias("post_synaptic_partner")))
+    e.select(line).write.text(path)
+    ends = records.endpoints_of(records.json_lines(spark, path)).dropna()
+    return ends.groupBy(F.col("pre").cast("bigint").alias("pre"), F.col("post").cast("bigint").alias("post")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT (SELECT count(*) FROM nodes) AS nodes, count(*) AS pairs, CAST(sum(connected) AS BIGINT) AS connected, CAST(sum(synapse_count) AS BIGINT) AS synapses FROM pairs")
+def export_round_trip(spark, d):
+    """An export and its manifest, validated from what was written."""
+    path = b.folder(spark)
+    tables.save_export(graph.Graph(b.nodes(spark, d), b.pairs(spark, d)), path, {})
+    manifest = tables.validate_export(spark, path)
+    return spark.createDataFrame([tuple(manifest[k] for k in ("nodes", "pairs", "connected", "synapses"))], "nodes bigint, pairs bigint, connected bigint, synapses bigint")
