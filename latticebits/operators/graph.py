@@ -110,19 +110,21 @@ def merged_counts(*parts: DataFrame) -> DataFrame:
     return union.groupBy("pre", "post").agg(F.sum("synapse_count").alias("synapse_count"))
 
 
-def candidate_pairs(nodes: DataFrame, *, max_pairs: int = MAX_PAIRS, max_nodes: int = MAX_NODES) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, *, max_pairs: int | None = MAX_PAIRS, max_nodes: int | None = MAX_NODES) -> DataFrame:
     """All ordered pairs of different nodes with types, places and distance.
 
-    Quadratic by definition, so bounded beforehand; the broadcast side has at most max_nodes rows. The streamed side is
-    dealt out first: a pair table takes its partitions."""
+    Quadratic by definition, so bounded beforehand, by the limits of an export unless others (or None) are given. One side
+    is broadcast where it is small, and the streamed side is dealt out first: a pair table takes its partitions."""
     n = nodes.count()
-    if n > max_nodes:
+    if max_nodes is not None and n > max_nodes:
         raise ValueError(f"{n} nodes, more than {max_nodes}")
-    checks.require_pairs_within(n, max_pairs)
+    if max_pairs is not None:
+        checks.require_pairs_within(n, max_pairs)
     side = lambda end, axis: nodes.select(F.col("id").alias(end), F.col("type").alias(f"{end}_type"), *[F.col(c).alias(f"{axis}{c}") for c in "xyz"])
     spread = max(1, nodes.sparkSession.sparkContext.defaultParallelism)
     left = side("source", "s").repartition(spread, "source")
-    pairs = left.crossJoin(F.broadcast(side("target", "t"))).where("source <> target")
+    right = side("target", "t")
+    pairs = left.crossJoin(F.broadcast(right) if n <= BROADCAST_ROWS else right).where("source <> target")
     d = length3(*[F.col(f"t{c}") - F.col(f"s{c}") for c in "xyz"])
     return pairs.select("source", "target", "source_type", "target_type", d.alias("distance"), "sx", "sy", "sz", "tx", "ty", "tz")
 

@@ -47,8 +47,13 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pair_counts(events(spark, sf_dir).where("pre <> post"))
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without an export's limits: however large the table, all its pairs."""
+    return graph.candidate_pairs(nodes(spark, sf_dir), max_pairs=None, max_nodes=None)
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.labelled_pairs(graph.candidate_pairs(nodes(spark, sf_dir)), counts(spark, sf_dir))
+    return graph.labelled_pairs(candidates(spark, sf_dir), counts(spark, sf_dir))
 
 
 def slabbed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 @query("SELECT source, target, round(distance, 3) AS distance FROM cand")
 def candidate_pairs(spark, d):
-    return rounded(graph.candidate_pairs(b.nodes(spark, d)).select("source", "target", "distance"), "distance", digits=3)
+    return rounded(b.candidates(spark, d).select("source", "target", "distance"), "distance", digits=3)
 
 
 @query("SELECT pre, post, synapse_count FROM cnt")
@@ -248,13 +248,13 @@ _FEATURES_SQL = {"f_log_distance": "ln(1 + distance)"} | {f"f_abs_{a}": f"abs(t{
 
 @query(f"SELECT source, {', '.join(f'round(avg({v}), 2) + 0.0 AS {k}' for k, v in _FEATURES_SQL.items())} FROM pairs GROUP BY source")
 def geometry_features(spark, d):
-    pairs = graph.candidate_pairs(b.nodes(spark, d))
+    pairs = b.candidates(spark, d)
     return pairs.groupBy("source").agg(*[(F.round(F.avg(v), 2) + 0.0).alias(k) for k, v in c.geometry_features("spatial").items()])
 
 
 @query(f"SELECT {', '.join(f'round(avg({v}), 4) + 0.0 AS mean_{k}, round(stddev_pop({v}), 4) AS sd_{k}' for k, v in list(_FEATURES_SQL.items())[:7])} FROM pairs")
 def feature_moments(spark, d):
-    pairs, features = graph.candidate_pairs(b.nodes(spark, d)), c.geometry_features("relative")
+    pairs, features = b.candidates(spark, d), c.geometry_features("relative")
     return pairs.agg(*[x for k, v in features.items() for x in ((F.round(F.avg(v), 4) + 0.0).alias(f"mean_{k}"), F.round(F.stddev_pop(v), 4).alias(f"sd_{k}"))])
 
 
