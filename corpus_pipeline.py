@@ -1,13 +1,19 @@
 """A training corpus from documents: language, near duplicates, benchmark passages, personal data, sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
-of documents. run() writes each stage's rows as a table in the shared folder and hands the next one that table.
-
-- language: documents in which no language is found (null, or without a letter) go, also where no label can be learned.
-- near duplicates: of each class at a Jaccard similarity of 0.8 over five words the document of the least doc_id stays.
-- decontamination: documents that hold ten words in a row of a benchmark item go.
-- personal data: spans are replaced by their kind; n_chars is counted anew.
-- packing: pieces of token sequences of at most 4096.
+of documents, also extra ones, whatever their names. run() writes each stage's rows as a table in the shared folder,
+hands the next one that table, and removes it once the next is written.
+
+- language: documents in which no language is found (null, or without a letter) go, also where no label can be learned;
+  repeated rows stay or go alike.
+- near duplicates: of each class at a Jaccard similarity of 0.8 over five words the document of the least doc_id stays
+  (null last; of equal ids, repeated rows too, one row); documents without words stay.
+- decontamination: documents that hold ten words in a row of a benchmark item (or a whole shorter item) go, all rows of
+  that doc_id and text; null texts stay.
+- personal data: spans are replaced by their kind; n_chars, where there is such a column, is counted anew; null stays null.
+- packing: pieces of token sequences of at most 4096; null counts as empty; rows of one doc_id are packed each for itself.
+
+An empty table gives an empty table at each stage.
 """
 
 from __future__ import annotations
@@ -57,6 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = shared.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with shared.scratch(spark):
+        for name, stage in STAGES:
+            docs = shared.written(stage(spark, docs, sf_dir), f"pipeline-{name}", result=name == STAGES[-1][0])
     return docs
