@@ -266,14 +266,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, *, block: int = BLOCK, p
         drawn = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, probe / max(1, n)) * (1 << 20)))).limit(4 * probe)
         with chunks.small_batches(spark, shard_rows):
             trees = shared.written(_trees(vectors, shard_rows).withColumn("turn", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(FIRST)) == 0), "trees")
-        first, second = shared.new_path(spark, "query-blocks"), shared.new_path(spark, "query-blocks")
-        _blocks(queries.withColumn("reached", F.lit(float("-inf"))), drawn, k, n_blocks, first)
+        blocks = shared.new_path(spark, "query-blocks")
+        _blocks(queries.withColumn("reached", F.lit(float("-inf"))), drawn, k, n_blocks, blocks)
+        found = None
+        if trees.select("size").count() >= 2 * FIRST:  # of fewer, all are searched at once
+            with chunks.small_batches(spark, 1):
+                found = shared.written(best(_searched(trees.where("turn"), blocks, k)).drop("rank"), "found")
+            merged = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("reached")).alias("least")).withColumnRenamed("query_id", "vec_id")
+            trees, blocks = trees.where("NOT turn"), shared.new_path(spark, "query-blocks")
+            _blocks(queries.join(merged, "vec_id", "left").withColumn("reached", F.coalesce("least", F.lit(float("-inf")))), drawn, k, n_blocks, blocks)
         with chunks.small_batches(spark, 1):
-            found = shared.written(best(_searched(trees.where("turn"), first, k)), "found")
-        merged = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("reached")).alias("least")).withColumnRenamed("query_id", "vec_id")
-        _blocks(queries.join(merged, "vec_id", "left").withColumn("reached", F.coalesce("least", F.lit(float("-inf")))), drawn, k, n_blocks, second)
-        with chunks.small_batches(spark, 1):
-            out = best(found.drop("rank").unionByName(_searched(trees.where("NOT turn"), second, k))).select("query_id", "rank", "vec_id", "score")
+            rest = _searched(trees, blocks, k)
+            out = best(rest if found is None else found.unionByName(rest)).select("query_id", "rank", "vec_id", "score")
             return shared.written(out, "top-k", result=True)
 
 
