@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents, also extra ones, whatever their names. run() writes each stage's rows as a table in the shared folder,
-hands the next one that table, and removes it once the next is written.
+hands the next one that table; all but the last are removed at the end.
 
 - language: documents in which no language is found (null, or without a letter) go, also where no label can be learned;
   repeated rows stay or go alike.
