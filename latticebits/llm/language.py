@@ -139,7 +139,7 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.table, self.bits = tokens.WordTable(max(1, len(self.model.languages) // 8)), np.zeros((0, len(self.model.languages)))
+        self.table, self.bits = tokens.WordTable(max(2, len(self.model.languages) // 4)), np.zeros((0, len(self.model.languages)))
 
     def costs(self, words: pa.StringArray) -> np.ndarray:
         """Bits of each of these different words under each language."""
