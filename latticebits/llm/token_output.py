@@ -30,7 +30,7 @@ from latticebits.llm import dac, shared, tokens
 
 SEGMENT_TOKENS = 1 << 18
 #: Characters of a text that, behind doc_id, deal rows to parts: rows of one (or no) doc_id are many tasks' work.
-HEAD = 64
+HEAD = 16
 
 INDEX = "part int, seg int, part_start long, n_tokens long, file string, offset long, size long, doc_ids array<long>, doc_lengths array<long>"
 PARTS = "part int, base long, n_tokens long"
