@@ -1,4 +1,7 @@
-"""Connected components of an edge table by minimum labels and pointer jumps, each round a written table."""
+"""Connected components of an edge table by minimum labels and pointer jumps, each round a written table.
+
+Defined results: loops, repeated edges and either direction are allowed; edges with a null end join nothing and go; a
+node of loops only is a component of its own; no edges give no rows; columns other than u and v are not read."""
 
 from __future__ import annotations
 
@@ -10,7 +13,8 @@ from latticebits.llm import shared
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (u, v), comp the least node that it reaches. Loops and repeats are allowed."""
-    both = shared.written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
+    edges = edges.select("u", "v").dropna()
+    both = shared.written(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
     labels = shared.written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("comp")), "cc-labels")
     while True:
         # a node takes the least label around it, then the label of that label's node
