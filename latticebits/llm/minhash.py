@@ -256,8 +256,7 @@ def _across(nodes: DataFrame, sets: DataFrame, placed: DataFrame, similarity: fl
 
     Nodes that buckets connect form a family; a family is cut into blocks, and every two blocks are compared inside one
     task of a bounded size, which gives only the links: pairs don't become rows, and a large family is many tasks."""
-    heads = placed.groupBy("key").agg(F.min("node").alias("u"))
-    families = components(placed.join(heads, "key").select("u", F.col("node").alias("v")).distinct())
+    families = components(_met(placed, u=(F.min, "node")).select("u", F.col("node").alias("v")).distinct())
     sized = families.join(families.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "comp").select("node", F.col("comp").alias("family"), "blocks")
     members = shared.written(sized.join(placed.select("node", "comp").distinct(), "node"), "near-members")
     rows = members.join(nodes.select("node", "bands", "registers"), "node").join(sets, "node")
