@@ -11,8 +11,8 @@ lose numbers that stand beside others); any other such node becomes a span if sk
 the kind. Skip edges also join base cards and phones to runs of neighbouring tokens that repeat their digits.
 
 All weights are trained together, by the gradient of the field's pseudo-likelihood (each label given its features and
-the labels around it), on the base labels of a bounded sample of documents: the TRAIN_DOCS least by a hash of doc_id and
-text. Agreement has a prior mean, as few documents repeat what they say.
+the labels around it), on the base labels of a bounded sample: different texts chosen by their hash, of which
+TRAIN_DOCS at most are expected, whatever repeats. Agreement has a prior mean, as few documents repeat what they say.
 
 Defined results: null text counts as empty, without spans; offsets count code points, ends exclusive; kinds may
 overlap each other, spans of one kind do not; repeated rows are treated alike; an empty table gives no rows; extra
@@ -321,8 +321,9 @@ class Field:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
     usable = shared.columns(docs, "doc_id", "text").where((F.length("text") <= TRAIN_MAX_CHARS) & F.col("text").rlike("[0-9@]"))
-    drawn = usable.orderBy(F.xxhash64("doc_id", "text"), "text").limit(train_docs).select("text").collect()  # a top-k of each task, then of these
-    return Field.fit(sorted(r[0] for r in drawn))
+    rate = min(1.0, train_docs / max(usable.count(), 1))
+    drawn = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).select("text").distinct()
+    return Field.fit(sorted(r[0] for r in drawn.collect()))  # about train_docs at most, as repeated texts count once
 
 
 def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
