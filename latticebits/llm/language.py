@@ -33,7 +33,7 @@ from latticebits.llm import memory, shared, tokens
 ORDER = 4
 TRAIN_BYTES, TOTAL_BYTES, MAX_DOC_BYTES = 1 << 20, 8 << 20, 1 << 16
 UND = "und"
-_BATCH_BYTES = 2 << 20
+_BATCH_BYTES = 1 << 20
 
 
 def _bytes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.table, self.bits = tokens.WordTable(max(2, len(self.model.languages) // 4)), np.zeros((0, len(self.model.languages)))
+        self.table, self.bits = tokens.WordTable(max(4, len(self.model.languages))), np.zeros((0, len(self.model.languages)))
 
     def costs(self, words: pa.StringArray) -> np.ndarray:
         """Bits of each of these different words under each language."""

@@ -140,7 +140,7 @@ def sign(docs: DataFrame, *keep: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = memory.kept("shingler", Shingler)  # what another operator kept goes
         for batch in batches:
             for lo, texts in _batches(batch.column(batch.num_columns - 1)):
                 n = len(texts)
@@ -163,7 +163,7 @@ def shingles(docs: DataFrame) -> DataFrame:
     """(h1, h2, shingles) of every text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = memory.kept("shingler", Shingler)  # what another operator kept goes
         for batch in batches:
             for _, texts in _batches(batch.column(0)):
                 doc, value, _ = shingler(texts)
