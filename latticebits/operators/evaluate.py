@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticebits.functions.columns import bin_of, code_length, per_positive, per_sample, smoothed_rate
-from latticebits.operators import models
+from latticebits.operators import models, ranking
+from latticebits.operators.tiles import Tiles
 
 MODELS = ("global", "distance", "type_pair", "type_distance")
 RESULT = "model string, test_pairs bigint, positives bigint, residual_bits double, model_bits bigint, two_part_bits double, bits_per_pair double, bits_per_positive double"
@@ -37,10 +38,27 @@ def model_comparison(pairs: DataFrame, train: Column, test: Column, bins: int =
         interior = F.array(*[F.lit(e) for e in edges[1:-1]]) if edges else F.array().cast("array<double>")
         sums = [F.coalesce(F.sum(F.when(side, v)), F.lit(0)).alias(n) for n, side, v in (("n", F.col("is_train"), F.lit(1)), ("k", F.col("is_train"), F.col("y")), ("test_n", F.col("is_test"), F.lit(1)), ("test_k", F.col("is_test"), F.col("y")))]
         keys = ["source_type", "target_type", "bin"]
-        counts = rows.withColumn("bin", bin_of(F.col("distance"), interior)).groupBy(*keys).agg(*sums).persist()  # as many rows as types squared times bins
-        counts.count()
+        counts = rows.withColumn("bin", bin_of(F.col("distance"), interior)).groupBy(*keys).agg(*sums)
+        counts = ranking.checkpointed(counts)  # as many rows as types squared times bins
     finally:
         rows.unpersist()
+    return of_counts(counts, bins)
+
+
+def node_comparison(tiles: Tiles, train: frozenset[int], test: frozenset[int], bins: int = 12) -> DataFrame:
+    """model_comparison over the pairs of tiled nodes, with both ends in slabs of train, and of test.
+
+    Tasks count their tiles' pairs by types and bin; only these counts, and the distances between two cuts of a sketch,
+    ever leave them."""
+    with tiles.kept() as kept:
+        edges = models.exact_quantiles(kept.distances(train), "distance", [i / bins for i in range(bins + 1)])
+        counts = ranking.checkpointed(kept.binned(edges[1:-1] if edges else [], train, test))
+    return of_counts(counts, bins)
+
+
+def of_counts(counts: DataFrame, bins: int) -> DataFrame:
+    """The rows of a comparison from (source_type, target_type, bin, n, k, test_n, test_k)."""
+    keys = ["source_type", "target_type", "bin"]
     roll = lambda *by: counts.where("n > 0").groupBy(*by).agg(smoothed_rate(F.sum("k"), F.sum("n")).alias("p"))
     both, pair, binned, whole = (roll(*by).withColumnRenamed("p", f"p_{m}") for m, by in (("type_distance", keys), ("type_pair", keys[:2]), ("distance", keys[2:]), ("global", [])))
     scored = counts.where("test_n > 0").join(both, keys, "left").join(pair, keys[:2], "left").join(binned, keys[2:], "left").crossJoin(F.broadcast(whole))  # whole is one row

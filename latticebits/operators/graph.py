@@ -136,6 +136,15 @@ def labelled_pairs(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     return pairs.join(small(per, BROADCAST_COUNTS), ["source", "target"], "left").withColumn("synapse_count", n).withColumn("connected", (n > 0).cast("int"))
 
 
+def connected_pairs(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows of labelled_pairs() that have an edge, by two joins from the counts."""
+    side = lambda end, axis: nodes.select(F.col("id").alias(end), F.col("type").alias(f"{end}_type"), *[F.col(c).alias(f"{axis}{c}") for c in "xyz"])
+    edges = counts.where("pre <> post AND synapse_count > 0").select(F.col("pre").alias("source"), F.col("post").alias("target"), "synapse_count")
+    d = length3(*[F.col(f"t{c}") - F.col(f"s{c}") for c in "xyz"])
+    both = edges.join(side("source", "s"), "source").join(side("target", "t"), "target")
+    return both.select("source", "target", "source_type", "target_type", d.alias("distance"), "sx", "sy", "sz", "tx", "ty", "tz", "synapse_count", F.lit(1).alias("connected"))
+
+
 def build_graph(nodes: DataFrame, events: DataFrame, *, max_nodes: int | None = None, max_pairs: int = MAX_PAIRS, only_with_events: bool = True) -> Graph:
     """nodes and events as in clean_nodes and clean_events, to the labelled pair relation."""
     kept = nodes_with_events(nodes, events, max_nodes) if only_with_events or max_nodes else nodes

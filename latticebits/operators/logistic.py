@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticebits.functions.columns import CLIP, geometry_features, sigmoid
+from latticebits.operators.tiles import Panel, Tile, Tiles
 
 SCALE_FLOOR, WEIGHT_FLOOR = 1e-12, 1e-8
 NEWTON_STEP, NEWTON_ROUNDS = 1e-8, 100
@@ -132,6 +133,45 @@ def packed(pairs: DataFrame, feature_set: str = "spatial"):
             blocks.unpersist()
 
 
+@dataclass(frozen=True)
+class TileRows(Rows):
+    """The pairs of tiled nodes: features are made anew in every pass from the places of two blocks of nodes, so what
+    is kept is the tile table, nodes and edges."""
+
+    tiles: Tiles | None = None
+
+    def batches(self, f, schema: str) -> DataFrame:
+        width = self.width
+
+        def made(each) -> Iterator[tuple[np.ndarray, ...]]:
+            for tile, p in each:
+                yield tile_features(tile, p, width), (p.count > 0).astype(float), tile.s["slab"][p.source], tile.t["slab"][p.target]
+
+        return self.tiles.scan(lambda each: f(made(each)), schema)
+
+
+def tile_features(tile: Tile, p: Panel, width: int) -> np.ndarray:
+    """The features of a panel's pairs, those of geometry_features(), as many as a set of this width has."""
+    out = np.empty((len(p.distance), width))
+    out[:, 0] = np.log1p(p.distance)
+    if width > 1:
+        length = np.maximum(p.distance, 1e-12)
+        for k, d in enumerate(p.delta):
+            out[:, 1 + k], out[:, 4 + k] = np.abs(d), d / length
+    if width > 7:
+        for k, a in enumerate("xyz"):
+            s, t = tile.s[a][p.source], tile.t[a][p.target]
+            out[:, 7 + k], out[:, 10 + k], out[:, 13 + k] = s, t, (s + t) / 2
+    return out
+
+
+@contextmanager
+def tile_rows(tiles: Tiles, feature_set: str = "spatial"):
+    """Rows of tiled nodes, the tile table kept while the context is open."""
+    with tiles.kept() as kept:
+        yield TileRows(kept.table, kept.parts, _widths()[feature_set], kept)
+
+
 @contextmanager
 def _rows_to_a_batch(df: DataFrame, n: int):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -322,7 +362,7 @@ def fit(pairs: DataFrame, feature_set: str = "relative", l2: float = 1.0, solver
     return fit_many(pairs, [Spec("fit", feature_set, l2)], solver)["fit"]
 
 
-def gram(pairs: DataFrame, feature_set: str, beta: list[float]) -> dict[str, np.ndarray]:
+def gram(pairs: DataFrame | Tiles, feature_set: str, beta: list[float]) -> dict[str, np.ndarray]:
     """Gradient and Hessian of the unpenalised objective at given coefficients of raw features: one pass."""
     b = np.array(beta)
 
@@ -331,6 +371,6 @@ def gram(pairs: DataFrame, feature_set: str, beta: list[float]) -> dict[str, np.
         p = 1 / (1 + np.exp(-np.clip(a @ b, -700, 700)))
         return np.concatenate([a.T @ (p - y), (a.T @ ((p * (1 - p))[:, None] * a)).ravel()])
 
-    with packed(pairs, feature_set) as rows:
+    with (tile_rows if isinstance(pairs, Tiles) else packed)(pairs, feature_set) as rows:
         v = _pass(rows, {"gram": Spec("gram", feature_set, 1.0)}, terms)["gram"]
     return {"gradient": v[: len(b)], "hessian": v[len(b) :].reshape(len(b), len(b))}

@@ -11,11 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticebits.functions.columns import bin_of, smoothed_rate
-from latticebits.operators import graph
+from latticebits.operators import graph, selection
 
 BITS_PER_NUMBER = 64
-#: Cells that a range of values is cut into, and rows of a cell that are few enough to be sorted at once.
-CELLS, CELL_ROWS = 2048, 20_000
 
 
 def rate():
@@ -30,42 +28,8 @@ def _global_rate(pairs: DataFrame) -> float:
 
 
 def exact_quantiles(df: DataFrame, column: str, levels: list[float]) -> list[float] | None:
-    """Exact linear quantiles of a column without nulls, None without rows: no task meets more than a cell of values.
-
-    The range is cut into CELLS cells and counted; cells that hold a wanted rank are cut again until they hold at most
-    CELL_ROWS different values or so, and only these are sorted on the driver."""
-    n, low, high = df.agg(F.count("*"), F.min(column), F.max(column)).first()
-    if not n:
-        return None
-    spots = [level * (n - 1) for level in levels]
-    ranks = sorted({r for x in spots for r in (int(x), min(int(x) + 1, n - 1))})
-    found: dict[int, float] = {}
-    ranges = [(float(low), float(high), 0, n)]  # closed ranges of values, the rows before and in each
-    value = F.col(column)
-    while ranges:
-        ready = [r for r in ranges if r[3] <= CELL_ROWS or r[0] == r[1]]
-        if ready:
-            inside = lambda r: value.between(F.lit(r[0]), F.lit(r[1]))
-            which = F.coalesce(*[F.when(inside(r), k) for k, r in enumerate(ready)])
-            kept = df.select(value.alias("v"), which.alias("k")).where("k IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("n"))
-            at = [r[2] for r in ready]
-            for row in kept.orderBy("k", "v").collect():  # CELL_ROWS rows a wanted rank, or one
-                for r in ranks:
-                    if at[row["k"]] <= r < at[row["k"]] + row["n"]:
-                        found[r] = float(row["v"])
-                at[row["k"]] += row["n"]
-        wide = [r for r in ranges if r not in ready]
-        ranges = []
-        if wide:
-            cell = F.coalesce(*[F.when(value.between(F.lit(a), F.lit(b)), F.least(F.floor((value - F.lit(a)) / F.lit(b - a) * CELLS), F.lit(CELLS - 1)) + k * CELLS) for k, (a, b, _, _) in enumerate(wide)])
-            cells = df.select(value.alias("v"), cell.cast("int").alias("c")).where("c IS NOT NULL").groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("c").collect()
-            before = [r[2] for r in wide]
-            for row in cells:
-                k = row["c"] // CELLS
-                if any(before[k] <= r < before[k] + row["n"] for r in ranks):
-                    ranges.append((float(row["a"]), float(row["b"]), before[k], row["n"]))
-                before[k] += row["n"]
-    return [found[int(x)] + (found[min(int(x) + 1, n - 1)] - found[int(x)]) * (x - int(x)) for x in spots]
+    """Exact linear quantiles of a column without nulls, None without rows: two passes for some ten million rows."""
+    return selection.quantiles(df, column, levels)
 
 
 def distance_edges(pairs: DataFrame, bins: int) -> list[float]:
@@ -115,12 +79,14 @@ class KeyedRate:
 
     @classmethod
     def fit(cls, pairs: DataFrame, name: str, *, types: bool, bins: int | None = None) -> KeyedRate:
-        fallback = _global_rate(pairs)
         edges = tuple(distance_edges(pairs, bins)) if bins else ()
         keys = ("source_type", "target_type") * types + ("distance_bin",) * bool(bins)
-        rates = cls._binned(pairs, edges).groupBy(*keys).agg(rate().alias("p"))
-        rows = rates.collect()  # one per key: types squared times bins
-        table = pairs.sparkSession.createDataFrame(rows, rates.schema)
+        counts = cls._binned(pairs, edges).groupBy(*keys).agg(F.sum("connected").alias("k"), F.count("*").alias("n"))
+        rows = counts.collect()  # one per key: types squared times bins
+        if not rows:
+            raise ValueError("a model can't be fitted to no pairs")
+        table = pairs.sparkSession.createDataFrame(rows, counts.schema).withColumn("p", smoothed_rate(F.col("k"), F.col("n"))).drop("k", "n")
+        fallback = (sum(r["k"] for r in rows) + 0.5) / (sum(r["n"] for r in rows) + 1.0)
         return cls(name, keys, table, len(rows), fallback, edges, not types)
 
     @staticmethod

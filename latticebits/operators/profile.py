@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticebits.functions.columns import is_finite
 from latticebits.operators import graph
+from latticebits.operators.ranking import ranked
 
 MAX_LABELS = 50
 
@@ -30,7 +31,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def with_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     """df with numbers from 0 for the values of a column of labels, in their order; null has none."""
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(code, F.row_number().over(Window.orderBy(column)) - 1)
+    labels, _ = ranked(df.select(column).where(F.col(column).isNotNull()).distinct(), column, name=code)
+    codes = labels.withColumn(code, (F.col(code) - 1).cast("int"))
     return df.join(graph.small(codes), column, "left")
 
 

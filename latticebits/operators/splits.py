@@ -1,21 +1,28 @@
 """Node-disjoint spatial splits, rank windows and exact hash permutations.
 
-Rank windows without a partition run in one task, so they are for node tables, whose size the graph operators bound;
-pairs get their nodes' parts by join."""
+Nodes are cut by their exact rank along an axis, which range partitions number together (see ranking.py); a permutation
+is cut at the value of a hash, which sketches bracket (see selection.py). No task meets more than its partition. Pairs
+get their nodes' parts by join."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticebits.operators import graph
+from latticebits.operators import graph, selection
+from latticebits.operators.ranking import ranked
 
 
 def slabs(nodes: DataFrame, n_splits: int = 5, axis: str = "x") -> DataFrame:
     """nodes with `slab` 0..n-1: contiguous along the axis, the first ones a node larger where sizes don't divide; ties by id."""
     if n_splits < 2:
         raise ValueError("n_splits must be at least 2")
-    return nodes.withColumn("slab", F.ntile(n_splits).over(Window.orderBy(axis, "id")) - 1)
+    rows, n = ranked(nodes, axis, "id", name="__rank")
+    size, more = divmod(n, n_splits)
+    at = F.col("__rank") - 1
+    div = lambda x, y: F.call_function("div", x, F.lit(max(1, y)))
+    slab = F.when(at < more * (size + 1), div(at, size + 1)).otherwise(more + div(at - more * (size + 1), size))
+    return rows.withColumn("slab", slab.cast("int")).drop("__rank")
 
 
 def rank_cuts(n: int, train: float = 0.7, validation: float = 0.85) -> tuple[int, int]:
@@ -28,19 +35,19 @@ def rank_cuts(n: int, train: float = 0.7, validation: float = 0.85) -> tuple[int
 
 def axis_split(nodes: DataFrame, axis: str = "x", train: float = 0.7, validation: float = 0.85) -> DataFrame:
     """nodes with `part` train, validation or test by rank along the axis."""
-    first, second = rank_cuts(nodes.count(), train, validation)
-    rank = F.row_number().over(Window.orderBy(axis, "id"))
-    return nodes.withColumn("part", F.when(rank <= first, "train").when(rank <= second, "validation").otherwise("test"))
+    rows, n = ranked(nodes, axis, "id", name="__rank")
+    first, second = rank_cuts(n, train, validation)
+    rank = F.col("__rank")
+    return rows.withColumn("part", F.when(rank <= first, "train").when(rank <= second, "validation").otherwise("test")).drop("__rank")
 
 
 def central_window(nodes: DataFrame, count: int, axis: str = "x") -> DataFrame:
     """The `count` middle nodes along the axis, in (axis, id) order."""
-    n = nodes.count()
+    rows, n = ranked(nodes, axis, "id", name="__rank")
     if not 0 < count <= n:
         raise ValueError(f"{count} of {n} nodes were asked for")
     start = (n - count) // 2
-    rank = F.row_number().over(Window.orderBy(axis, "id"))
-    return nodes.withColumn("__rank", rank).where(F.col("__rank").between(start + 1, start + count)).drop("__rank")
+    return rows.where(F.col("__rank").between(start + 1, start + count)).drop("__rank")
 
 
 def with_parts(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
@@ -82,15 +89,11 @@ def permutation_split(df: DataFrame, keys: list[str], fraction: float = 0.3, see
     """df with `part` train or test: exactly round(n*(1-fraction)) rows are train, by a seeded hash of the keys (the MD5
     of the seed and the keys as text, which any engine gives alike).
 
-    The cut is a value of the hash found by a distributed sort, so no task ranks all rows."""
+    The cut is a value of the hash's first 52 bits, found between sketched bounds; rows of that value are ranked by the
+    whole hash and the keys. Of rows with the same keys any may be on either side, as many as needed."""
     if not 0 < fraction < 1:
         raise ValueError("fraction must be between 0 and 1")
-    n = df.count()
-    cut = round(n * (1 - fraction))
-    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])).alias("__h"), *keys]
-    ranked = df.select("*", order[0])
-    if cut <= 0 or cut >= n:
-        return df.withColumn("part", F.lit("train" if cut >= n else "test"))
-    last = ranked.select("__h", *keys).orderBy("__h", *keys).offset(cut - 1).limit(1).first()
-    here, there = F.struct("__h", *keys), F.struct(*[F.lit(v).alias(k) for k, v in last.asDict().items()])
-    return ranked.withColumn("part", F.when(here <= there, "train").otherwise("test")).drop("__h")
+    code = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    value = F.conv(F.substring(code, 1, 13), 16, 10).cast("double")
+    split = selection.with_first(df, value, [code, *keys], lambda n: round(n * (1 - fraction)), "__train")
+    return split.withColumn("part", F.when(F.col("__train"), "train").otherwise("test")).drop("__train")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticebits.operators import graph, splits
+from latticebits.operators.tiles import Tiles, tiled
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -52,8 +53,18 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.candidate_pairs(nodes(spark, sf_dir), max_pairs=None, max_nodes=None)
 
 
+def tiles(spark: SparkSession, sf_dir: str, slabs: bool = False) -> Tiles:
+    own = nodes(spark, sf_dir)
+    return tiled(splits.slabs(own) if slabs else own, counts(spark, sf_dir))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.labelled_pairs(candidates(spark, sf_dir), counts(spark, sf_dir))
+    return tiles(spark, sf_dir).pairs()
+
+
+def positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that have an edge, from the edges: no pair of all is built for them."""
+    return graph.connected_pairs(nodes(spark, sf_dir), counts(spark, sf_dir))
 
 
 def slabbed(spark: SparkSession, sf_dir: str) -> DataFrame:

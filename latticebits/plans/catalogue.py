@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -216,8 +217,7 @@ rs AS (SELECT m AS model, count(*) AS test_pairs, CAST(sum(connected) AS BIGINT)
 
 @query(f"{_MODELS} SELECT model, test_pairs, positives, round(bits, 5) AS residual_bits, model_bits, round(bits + model_bits, 5) AS two_part_bits, round(bits / test_pairs, 8) AS bits_per_pair, round(bits / positives, 8) AS bits_per_positive FROM rs")
 def evaluate_models(spark, d):
-    pairs = b.slabbed(spark, d)
-    rows = evaluate.model_comparison(pairs, splits.among("slab", [0, 1, 2, 3]), splits.among("slab", [4]))
+    rows = evaluate.node_comparison(b.tiles(spark, d, slabs=True), frozenset(range(4)), frozenset([4]))
     return rounded(rounded(rows, "residual_bits", "two_part_bits", digits=5), "bits_per_pair", "bits_per_positive", digits=8)
 
 
@@ -263,7 +263,7 @@ def feature_moments(spark, d):
     SELECT round(sum(p - y), 3) AS g0, round(sum((p - y) * x), 3) AS g1, round(sum(p * (1 - p)), 3) AS h00, round(sum(p * (1 - p) * x), 3) AS h01, round(sum(p * (1 - p) * x * x), 3) AS h11 FROM z"""
 )
 def gram_pass(spark, d):
-    got = logistic.gram(b.pairs(spark, d), "distance", [-1.0, -0.05])
+    got = logistic.gram(b.tiles(spark, d), "distance", [-1.0, -0.05])
     g, h = got["gradient"], got["hessian"]
     return spark.createDataFrame([tuple(round(float(v), 3) for v in (g[0], g[1], h[0, 0], h[0, 1], h[1, 1]))], "g0 double, g1 double, h00 double, h01 double, h11 double")
 
@@ -275,9 +275,17 @@ def near_pairs(spark, d):
     return pairs.withColumn("connected", F.when(F.col("distance") <= cut, F.col("connected")).otherwise(0))
 
 
+def near_tiles(spark, d):
+    """The same as tiles: the cut is found on distances alone, and labels are cut where they are made."""
+    tiles = b.tiles(spark, d, slabs=True)
+    with tiles.kept() as kept:
+        (cut,) = models.exact_quantiles(kept.distances(), "distance", [0.25])
+    return replace(tiles, near=cut)
+
+
 def _fits(solver):
     def run(spark, d):
-        with logistic.packed(near_pairs(spark, d)) as pairs:
+        with logistic.tile_rows(near_tiles(spark, d)) as pairs:
             fits = logistic.fit_many(pairs, [logistic.Spec(f, f, 1.0, frozenset(range(4))) for f in c.FEATURE_SETS], solver)
             bits = logistic.slab_bits(pairs, fits, 5)
         rows = [(n, round(bits[(4, n)], 3), m.model_bits, [round(float(x), 6) for x in m.coefficients]) for n, m in fits.items()]
@@ -302,7 +310,7 @@ def _distance_fit(solver):
     """The fit of one feature, which SQL can follow step by step."""
 
     def run(spark, d):
-        with logistic.packed(near_pairs(spark, d), "distance") as pairs:
+        with logistic.tile_rows(near_tiles(spark, d), "distance") as pairs:
             fits = logistic.fit_many(pairs, [logistic.Spec("fit", "distance", 1.0, frozenset(range(4)))], solver)
             bits = logistic.slab_bits(pairs, fits, 5)[(4, "fit")]
         b0, b1 = fits["fit"].coefficients
@@ -331,7 +339,7 @@ QUERIES["damped_fit"] = _fits("damped")
     round(bits + 2 * (SELECT count(*) FROM o) * greatest(1, ceil(log2((SELECT count(*) FROM o)))), 4) AS total_bits FROM q"""
 )
 def degree_diagnostic(spark, d):
-    return rounded(degree.degree_diagnostic(b.slabbed(spark, d).where(splits.among("slab", [4]))), "residual_bits", "total_bits", digits=4)
+    return rounded(degree.node_diagnostic(splits.slabs(b.nodes(spark, d)).where("slab = 4"), b.counts(spark, d)), "residual_bits", "total_bits", digits=4)
 
 
 ORACLE["degree_diagnostic"] = ORACLE["degree_diagnostic"].replace("WITH ", "WITH RECURSIVE ", 1)
@@ -456,13 +464,13 @@ def part_audit(spark, d):
 
 @query("SELECT source, target FROM (SELECT source, target, row_number() OVER (ORDER BY synapse_count DESC, source, target) AS r, count(*) OVER () AS n FROM pairs WHERE connected = 1) WHERE r <= round_even(0.1 * n, 0)")
 def retention_topk(spark, d):
-    p = b.pairs(spark, d).withColumn("p", 1.0 / (1.0 + F.col("synapse_count")))
+    p = b.positives(spark, d).withColumn("p", 1.0 / (1.0 + F.col("synapse_count")))
     return distortion.retained(p, "residual-first", 0.1).select("source", "target")
 
 
 @query("SELECT source, target FROM (SELECT source, target, row_number() OVER (ORDER BY synapse_count, source, target) AS r, count(*) OVER () AS n FROM pairs WHERE connected = 1) WHERE r <= round_even(0.1 * n, 0)")
 def retention_typical(spark, d):
-    p = b.pairs(spark, d).withColumn("p", 1.0 / (1.0 + F.col("synapse_count")))
+    p = b.positives(spark, d).withColumn("p", 1.0 / (1.0 + F.col("synapse_count")))
     return distortion.retained(p, "typical-first", 0.1).select("source", "target")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import latticebits
 from latticebits.functions import columns as c
-from latticebits.operators import digest, graph, logistic, models, workflows
+from latticebits.operators import digest, graph, logistic, models, selection, workflows
 from latticebits.sources import records, services, tables
 
 
@@ -124,8 +124,8 @@ def test_cohort_sink(spark, tmp_path):
 
 @pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], list(range(5000)), [7.0] * 4000 + [1.0, 9.0], [10.0**k for k in range(-20, 20)] * 30, [-5.0, -5.0, 0.0, 1e300]])
 def test_exact_quantiles(spark, monkeypatch, values):
-    monkeypatch.setattr(models, "CELL_ROWS", 50)
-    monkeypatch.setattr(models, "CELLS", 16)
+    monkeypatch.setattr(selection, "FEW", 50)
+    monkeypatch.setattr(selection, "MARGIN", 0.02)
     levels = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
     df = spark.createDataFrame([(float(v),) for v in values], "d double").repartition(3)
     assert models.exact_quantiles(df, "d", levels) == pytest.approx(np.quantile(np.array(values, dtype=float), levels).tolist(), rel=1e-12)
