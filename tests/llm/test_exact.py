@@ -1,10 +1,12 @@
 """Operators held against brute force on texts with every odd case."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -249,14 +251,48 @@ def test_repeated_lines_do_not_hide_near_duplicates(spark, times):
     assert bag(minhash.near_duplicates(docs)) == Counter([(1, 1), (2, 1)])
 
 
-def test_one_shingle_set_has_one_signature(spark):
+def test_equal_weighted_shingles_have_one_signature(spark):
     line = " ".join(f"w{i}" for i in range(90))
     variants = [" ".join([line] * n) for n in (2, 3, 30)]
     crowd = [f"other{i} " * 3 + line for i in range(300)]
     alone = [minhash.sign(spark.createDataFrame([(1, t)], "doc_id long, text string"), "doc_id").drop("doc_id").first() for t in variants]
     among = spark.createDataFrame([(i, t) for i, t in enumerate(variants + crowd)], "doc_id long, text string").coalesce(1)
-    assert len({tuple(map(str, r)) for r in alone}) == 1
-    assert {tuple(map(str, r)) for r in minhash.sign(among, "doc_id").where("doc_id < 3").drop("doc_id").collect()} == {tuple(map(str, alone[0]))}
+    assert [tuple(map(str, r)) for r in minhash.sign(among, "doc_id").where("doc_id < 3").orderBy("doc_id").drop("doc_id").collect()] == [tuple(map(str, r)) for r in alone]
+    # the shingle set is one, and so are the bands that stand for it
+    assert len({r.h1 for r in alone}) == 3 and len({tuple(r.bands[minhash.BANDS :]) for r in alone}) == 1 and len(alone[0].bands) == 2 * minhash.BANDS
+    assert len(minhash.sign(spark.createDataFrame([(1, line)], "doc_id long, text string"), "doc_id").first().bands) == minhash.BANDS
+
+
+def by_definition(x, y):
+    """Probability Jaccard similarity of two Counters."""
+    return sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in x.keys() | y.keys()) for d in x.keys() & y.keys())
+
+
+def test_similarities_by_definition():
+    r = random.Random(2)
+    for _ in range(60):
+        x, y = (Counter({k: r.choice([1, 1, 2, 9]) for k in r.sample(range(30), r.randint(1, 25))}) for _ in range(2))
+        sides = [np.array(list(v)) for z in (x, y) for v in (z.keys(), z.values())]
+        assert minhash.similarities(*sides) == pytest.approx((len(x.keys() & y.keys()) / len(x.keys() | y.keys()), by_definition(x, y)))
+
+
+def test_repeated_shingles_weigh(spark):
+    """Much that is repeated on both sides and some rare words that differ: near by counts, not by sets."""
+    line = " ".join(f"line{i}" for i in range(30))
+    rows = [(k, " ".join([*[line] * 40, *[f"own{k}x{i}" for i in range(40)]])) for k in (4, 9)] + [(11, " ".join([line, *[f"else{i}" for i in range(40)]]))]
+    counts = [Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    assert by_definition(counts[0], counts[1]) > 0.85 and len(counts[0].keys() & counts[1].keys()) < 0.5 * len(counts[0].keys() | counts[1].keys())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(minhash.near_duplicates(docs)) == Counter([(4, 4), (9, 4), (11, 11)])
+
+
+def test_code_and_sql_split_words_alike(spark):
+    rows = [(1, "a\x0bb c d e f g h"), (2, "a b c d e f g h"), (3, "a\u2003b c d e f g h"), (4, "one\x1ctwo three four five six"), (None, "A B C D E F G H")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert bag(minhash.near_duplicates(docs)) == Counter(con.execute(minhash.ORACLE_SQL).fetchall()) == Counter([(1, 1), (2, 1), (None, 1), (3, 3), (4, 4)])
 
 
 def test_near_duplicates_of_nothing(empty):
