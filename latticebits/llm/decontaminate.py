@@ -51,7 +51,7 @@ def item_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """One row per row of docs: row_id, doc_id, n_words, hit_words (sorted positions from 1), items (sorted)."""
     spark = docs.sparkSession
-    windows = shared.written(item_windows(benchmark, size).coalesce(1), "benchmark-windows")
+    windows = shared.written(item_windows(benchmark, size), "benchmark-windows")
     lengths = sorted((r[0] for r in windows.select("len").distinct().collect()), reverse=True)  # at most `size` values
     base = shared.columns(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_id"), "doc_id", words(F.col("text")).alias("ws"))
     base = base.select("row_id", "doc_id", "ws", F.size("ws").alias("n_words"))
