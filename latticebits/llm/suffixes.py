@@ -353,7 +353,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: For small tables: SQL has no way around all windows or pairs.
 ORACLE_SQL = r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT rid, doc_id, i, substring(h, 2 * i + 1, 100) AS g FROM (SELECT rid, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+p AS (SELECT rid, coalesce(doc_id, 9223372036854775807) AS doc_id, i, substring(h, 2 * i + 1, 100) AS g FROM (SELECT rid, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
 f AS (SELECT g, min(doc_id) AS least FROM p GROUP BY g HAVING min(doc_id) < max(doc_id)),
 x AS MATERIALIZED (SELECT DISTINCT rid, i FROM p JOIN f USING (g) WHERE doc_id > least),
 b AS (SELECT rid, i, CASE WHEN i - lag(i, 1, -1000) OVER (PARTITION BY rid ORDER BY i) > 50 THEN 1 ELSE 0 END AS opens FROM x),

@@ -13,9 +13,9 @@ Products are exact: doubles where every partial sum stays below 2**53, 64-bit in
 beyond.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component (or one whose scaled value is not
-finite), and rows of null id, take no part; a query id that repeats is searched once, with the vector that sorts first;
-candidate rows are all rows of another id, repeated ones each for itself; ties go to the smaller id; vectors of another
-length than the query's are not comparable and left out; rows are ranked by their exact scores, of which one outside of
+finite), and rows of null id, take no part; every query row is searched for itself, also where its id repeats, among all
+rows but itself, so also among others of its id; ties go to the smaller id; vectors of another length than the query's
+are not comparable and left out; rows are ranked by their exact scores, of which one outside of
 64 bits is reported as the nearest value inside; an empty table gives no rows; extra columns are not read.
 """
 
@@ -34,11 +34,12 @@ from latticebits.llm import chunks, shared
 
 LEAF = 256
 BLOCK = 4096
-PROBE = 2048
+#: Vectors of the probe, of at most PROBE_BYTES of components.
+PROBE, PROBE_BYTES = 2048, 4 << 20
 SHARD_ROWS = 50_000
 #: One of so many shards is searched in the first round.
 FIRST = 8
-FOUND = "query_id long, vec_id long, score long, beyond binary, reached double"
+FOUND = "query_row long, query_id long, vec_id long, score long, beyond binary, reached double"
 _MOST = 2**63 - 1
 
 
@@ -61,9 +62,9 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class KDTree:
-    """ids and vectors of whole numbers in leaf order, nodes (begin, end, left, right) with their boxes."""
+    """rows, ids and vectors of whole numbers in leaf order, nodes (begin, end, left, right) with their boxes."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
         order = np.argsort(ids, kind="stable")
         nodes: list[tuple[int, int, int, int]] = []
         low, high = [], []
@@ -83,21 +84,21 @@ class KDTree:
 
         if len(ids):
             build(0, len(ids))
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
+        self.rows, self.ids, self.vectors = rows[order], ids[order], vectors[order].astype(np.float64)
         self.nodes = np.array(nodes, dtype=np.int64).reshape(-1, 4)
         self.low, self.high = (np.array(x, dtype=np.float64).reshape(len(nodes), -1) for x in (low, high))
         self._kept: dict[type, tuple[np.ndarray, ...]] = {}
 
     def pack(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, vectors=self.vectors, nodes=self.nodes, low=self.low, high=self.high)
+        np.savez(out, rows=self.rows, ids=self.ids, vectors=self.vectors, nodes=self.nodes, low=self.low, high=self.high)
         return out.getvalue()
 
     @classmethod
     def unpack(cls, packed: bytes) -> KDTree:
         tree = object.__new__(cls)
         with np.load(io.BytesIO(packed)) as parts:
-            tree.ids, tree.vectors, tree.nodes, tree.low, tree.high = (parts[n] for n in ("ids", "vectors", "nodes", "low", "high"))
+            tree.rows, tree.ids, tree.vectors, tree.nodes, tree.low, tree.high = (parts[n] for n in ("rows", "ids", "vectors", "nodes", "low", "high"))
         tree._kept = {}
         return tree
 
@@ -113,7 +114,7 @@ class KDTree:
         return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
 
     def search(self, query: np.ndarray, bound: np.ndarray, own: int, k: int, floor: float, kind: type = float) -> list[tuple[int, int]]:
-        """The k best (score, id) with a score of at least floor, ties to smaller ids, without rows of the id own."""
+        """The k best (score, id) with a score of at least floor, ties to smaller ids, without the row own."""
         vectors, nodes = self.within(kind)[0], self.nodes
         best_scores, best_ids = np.zeros(0, vectors.dtype), np.zeros(0, dtype=np.int64)
         kth, opened = (int(floor) if np.isfinite(floor) else float(floor)) if kind is object else floor, [(-bound[0], 0)]
@@ -126,7 +127,7 @@ class KDTree:
                         heapq.heappush(opened, (-bound[child], child))
                 continue
             scores = vectors[begin:end] @ query
-            keep = np.asarray(scores >= kth, dtype=bool) & (self.ids[begin:end] != own)
+            keep = np.asarray(scores >= kth, dtype=bool) & (self.rows[begin:end] != own)
             if keep.any():
                 best_scores, best_ids = np.concatenate([best_scores, scores[keep]]), np.concatenate([best_ids, self.ids[begin:end][keep]])
                 if len(best_ids) > k:
@@ -153,7 +154,7 @@ def _trees(vectors: DataFrame, shard_rows: int) -> DataFrame:
     """(size, tree): the vectors of each task by length, shard_rows to a tree."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
         rows: dict[int, int] = {}
 
         def made(size: int) -> pa.RecordBatch:
@@ -162,12 +163,12 @@ def _trees(vectors: DataFrame, shard_rows: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([tree.pack()], pa.binary())], ["size", "tree"])
 
         for batch in batches:
-            lengths = np.diff(batch.column(1).offsets.to_numpy())
+            lengths = np.diff(batch.column(2).offsets.to_numpy())
             for size in np.unique(lengths).tolist():
                 part = batch.filter(pa.array(lengths == size))
                 for lo in range(0, part.num_rows, shard_rows):
                     piece = part.slice(lo, shard_rows)
-                    held.setdefault(size, []).append((piece.column(0).to_numpy(), _matrix(piece.column(1), size)))
+                    held.setdefault(size, []).append((piece.column(0).to_numpy(), piece.column(1).to_numpy(), _matrix(piece.column(2), size)))
                     rows[size] = rows.get(size, 0) + piece.num_rows
                     if rows[size] >= shard_rows:
                         yield made(size)
@@ -178,28 +179,28 @@ def _trees(vectors: DataFrame, shard_rows: int) -> DataFrame:
 
 
 def _blocks(queries: DataFrame, probe: DataFrame, k: int, n_blocks: int, path: str) -> None:
-    """Queries (vec_id, v, reached) packed by length and block at path, each with the score that k rows reach at least."""
+    """Queries (row, vec_id, v, reached) packed by length and block at path, each with the score that k rows reach at least."""
     seen = probe.collect()  # a bounded probe
     by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in {len(r["v"]) for r in seen}:
         rows = [r for r in seen if len(r["v"]) == size]
-        by_size[size] = np.array([r["vec_id"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows], dtype=np.float64)
+        by_size[size] = np.array([r["row"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows], dtype=np.float64)
 
     def pack(group: pa.Table) -> pa.Table:
-        group = group.sort_by("vec_id")
-        ids, size = group.column("vec_id").to_numpy(), group.column("size")[0].as_py()
+        group = group.sort_by("row")
+        own_rows, ids, size = group.column("row").to_numpy(), group.column("vec_id").to_numpy(), group.column("size")[0].as_py()
         own = _matrix(group.column("v").combine_chunks(), size)
         floors = group.column("reached").to_numpy().copy()
-        probe_ids, probe_vectors = by_size.get(size, (np.zeros(0, np.int64), np.zeros((0, size))))
-        if len(probe_ids) > k and arithmetic(size, own, probe_vectors) is float:
+        probe_rows, probe_vectors = by_size.get(size, (np.zeros(0, np.int64), np.zeros((0, size))))
+        if len(probe_rows) > k and arithmetic(size, own, probe_vectors) is float:
             scores = own @ probe_vectors.T
-            scores[ids[:, None] == probe_ids[None, :]] = -np.inf
-            floors = np.maximum(floors, np.partition(scores, len(probe_ids) - k, axis=1)[:, -k])
+            scores[own_rows[:, None] == probe_rows[None, :]] = -np.inf
+            floors = np.maximum(floors, np.partition(scores, len(probe_rows) - k, axis=1)[:, -k])
         out = io.BytesIO()
-        np.savez(out, ids=ids, vectors=own, floors=floors)
+        np.savez(out, rows=own_rows, ids=ids, vectors=own, floors=floors)
         return pa.table({"size": pa.array([size], pa.int32()), "block": pa.array([group.column("block")[0].as_py()], pa.int32()), "packed": pa.array([out.getvalue()], pa.binary())})
 
-    placed = queries.select("vec_id", "v", "reached", F.size("v").alias("size"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"))
+    placed = queries.select("row", "vec_id", "v", "reached", F.size("v").alias("size"), F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int").alias("block"))
     placed.groupBy("size", "block").applyInArrow(pack, "size int, block int, packed binary").write.partitionBy("size").parquet(path)
 
 
@@ -228,17 +229,17 @@ def _searched(trees: DataFrame, blocks: str, k: int) -> DataFrame:
                 for part in ds.dataset(at, filesystem=system, format="parquet").to_batches(columns=["packed"], batch_size=1, batch_readahead=1, fragment_readahead=1):
                     for block in part.column(0):
                         with np.load(io.BytesIO(block.as_buffer().to_pybytes())) as q:
-                            ids, vectors, floors = q["ids"], q["vectors"], q["floors"]
+                            rows, ids, vectors, floors = q["rows"], q["ids"], q["vectors"], q["floors"]
                         kind = arithmetic(size, vectors, tree.vectors)
                         own = fitted(vectors, kind)
                         bounds = tree.bounds(own, kind)
-                        out = [(int(ids[i]), v, s) for i in range(len(ids)) for s, v in tree.search(own[i], bounds[i], int(ids[i]), k, floors[i], kind)]
+                        out = [(int(rows[i]), int(ids[i]), v, s) for i in range(len(ids)) for s, v in tree.search(own[i], bounds[i], int(rows[i]), k, floors[i], kind)]
                         scores = [s for *_, s in out]
                         # as doubles rounded down, so that they are reached for certain
                         reached = np.array([_down(s) for s in scores])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([min(max(s, -_MOST - 1), _MOST) for s in scores], pa.int64()), pa.array([_beyond(s) for s in scores], pa.binary()), pa.array(reached, pa.float64())],
-                            ["query_id", "vec_id", "score", "beyond", "reached"],
+                            [*[pa.array([o[c] for o in out], pa.int64()) for c in range(3)], pa.array([min(max(s, -_MOST - 1), _MOST) for s in scores], pa.int64()), pa.array([_beyond(s) for s in scores], pa.binary()), pa.array(reached, pa.float64())],
+                            ["query_row", "query_id", "vec_id", "score", "beyond", "reached"],
                         )
 
     return trees.select("size", "tree").mapInArrow(search, FOUND)
@@ -256,14 +257,15 @@ def _down(score: int) -> float:
 def top_k(vectors: DataFrame, is_query: Column, k: int, *, block: int = BLOCK, probe: int = PROBE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) over vectors (vec_id, v); is_query tells from vec_id which rows are queries."""
     spark = vectors.sparkSession
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.when(F.col("score") > 0, F.col("beyond")).desc_nulls_last(), F.when(F.col("score") < 0, F.col("beyond")).desc_nulls_first(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.when(F.col("score") > 0, F.col("beyond")).desc_nulls_last(), F.when(F.col("score") < 0, F.col("beyond")).desc_nulls_first(), "vec_id"))
     best = lambda found: found.withColumn("rank", rank).where(F.col("rank") <= k)
     with shared.scratch(spark):
-        vectors = shared.written(vectors.select("vec_id", F.col("v").cast("array<double>").alias("v")), "vectors")
-        queries = shared.written(vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-        n, n_queries = vectors.count(), queries.count()
+        vectors = shared.written(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.col("v").cast("array<double>").alias("v")), "vectors")
+        queries = vectors.where(is_query)
+        n, n_queries, longest = vectors.agg(F.count("*"), F.count_if(is_query), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
         n_blocks = max(1, -(-n_queries // block))
-        drawn = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, probe / max(1, n)) * (1 << 20)))).limit(4 * probe)
+        probe = max(1, min(probe, PROBE_BYTES // (8 * longest)))
+        drawn = vectors.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.lit(int(min(1.0, probe / max(1, n)) * (1 << 20)))).limit(4 * probe)
         with chunks.small_batches(spark, shard_rows):
             trees = shared.written(_trees(vectors, shard_rows).withColumn("turn", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(FIRST)) == 0), "trees")
         blocks = shared.new_path(spark, "query-blocks")
@@ -272,9 +274,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, *, block: int = BLOCK, p
         if trees.select("size").count() >= 2 * FIRST:  # of fewer, all are searched at once
             with chunks.small_batches(spark, 1):
                 found = shared.written(best(_searched(trees.where("turn"), blocks, k)).drop("rank"), "found")
-            merged = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("reached")).alias("least")).withColumnRenamed("query_id", "vec_id")
+            merged = found.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("reached")).alias("least")).withColumnRenamed("query_row", "row")
             trees, blocks = trees.where("NOT turn"), shared.new_path(spark, "query-blocks")
-            _blocks(queries.join(merged, "vec_id", "left").withColumn("reached", F.coalesce("least", F.lit(float("-inf")))), drawn, k, n_blocks, blocks)
+            _blocks(queries.join(merged, "row", "left").withColumn("reached", F.coalesce("least", F.lit(float("-inf")))), drawn, k, n_blocks, blocks)
         with chunks.small_batches(spark, 1):
             rest = _searched(trees, blocks, k)
             out = best(rest if found is None else found.unionByName(rest)).select("query_id", "rank", "vec_id", "score")
@@ -287,10 +289,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+s AS (SELECT q.r AS q, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
