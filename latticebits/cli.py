@@ -16,9 +16,10 @@ def _session():
 
 
 def _client(args):
+    from latticebits.operators.graph import STRICT_STRATEGIES
     from latticebits.sources.services import ExportConfig, ParquetClient
 
-    config = ExportConfig(args.version, max_nodes=args.max_nodes, max_pairs=args.max_candidate_pairs, strategies=tuple(args.strategy) if args.strategy else None)
+    config = ExportConfig(args.version, max_nodes=args.max_nodes, max_pairs=args.max_candidate_pairs, strategies=tuple(args.strategy) if args.strategy else STRICT_STRATEGIES)
     return ParquetClient(_session(), args.root, (args.version,), (config.node_table, config.type_table, config.event_table)), config
 
 
@@ -67,7 +68,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--version", type=int, required=True)
         s.add_argument("--max-nodes", type=int, default=500)
         s.add_argument("--max-candidate-pairs", type=int, default=5_000_000)
-        s.add_argument("--strategy", action="append", help="axon proofreading strategy of nodes; repeat for several (default: all)")
+        s.add_argument("--strategy", action="append", help="axon proofreading strategy of nodes; repeat for several (default: axon_fully_extended)")
         if name == "export":
             s.add_argument("--output", default="data/cache/pilot")
         s.set_defaults(run=run)

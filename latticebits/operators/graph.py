@@ -136,6 +136,18 @@ def labelled_pairs(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     return pairs.join(small(per, BROADCAST_COUNTS), ["source", "target"], "left").withColumn("synapse_count", n).withColumn("connected", (n > 0).cast("int"))
 
 
+def pair_relation(nodes: DataFrame, counts: DataFrame, *, max_pairs: int | None = MAX_PAIRS, max_nodes: int | None = MAX_NODES) -> DataFrame:
+    """The labelled candidate pairs within an export's limits, tile by tile: no pair is shuffled."""
+    from latticebits.operators.tiles import tiled
+
+    n = nodes.count()
+    if max_nodes is not None and n > max_nodes:
+        raise ValueError(f"{n} nodes, more than {max_nodes}")
+    if max_pairs is not None:
+        checks.require_pairs_within(n, max_pairs)
+    return tiled(nodes, counts).pairs()
+
+
 def connected_pairs(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     """The rows of labelled_pairs() that have an edge, by two joins from the counts."""
     side = lambda end, axis: nodes.select(F.col("id").alias(end), F.col("type").alias(f"{end}_type"), *[F.col(c).alias(f"{axis}{c}") for c in "xyz"])
@@ -149,7 +161,7 @@ def build_graph(nodes: DataFrame, events: DataFrame, *, max_nodes: int | None =
     """nodes and events as in clean_nodes and clean_events, to the labelled pair relation."""
     kept = nodes_with_events(nodes, events, max_nodes) if only_with_events or max_nodes else nodes
     counts = pair_counts(events_between(events, kept))
-    return Graph(kept, labelled_pairs(candidate_pairs(kept, max_pairs=max_pairs), counts))
+    return Graph(kept, pair_relation(kept, counts, max_pairs=max_pairs))
 
 
 def eligible_neurons(somas: DataFrame, *, id: str = "c3_rep_manual", label: str = "celltype", axes: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
@@ -167,15 +179,24 @@ def eligible_neurons(somas: DataFrame, *, id: str = "c3_rep_manual", label: str
     return rows.select(F.col("__id").cast("bigint").alias("id"), F.upper(F.trim(F.col(label))).alias("type"), *places)
 
 
-def current_nodes(proofread: DataFrame, *, strategies: list[str] | None = None) -> DataFrame:
-    """Proofread cells with both statuses true, a current id, finite places and a positive id; of each id the row that
-    sorts first by id and place."""
+#: The strategy that counts where none is named. Fixed value.
+STRICT_STRATEGIES = ("axon_fully_extended",)
+
+
+def current_nodes(proofread: DataFrame, *, strategies: tuple[str, ...] | list[str] | None = STRICT_STRATEGIES, require_dendrite_status: bool = True, require_current_valid_id: bool = True) -> DataFrame:
+    """Proofread cells of these strategies (None: of any) with a true axon status, finite places and a positive id, and
+    as asked a true dendrite status and a current id; of each id the row that sorts first by id and place."""
     from latticebits.functions.columns import status_true
 
-    rows = proofread.where(status_true(F.col("status_axon")) & status_true(F.col("status_dendrite")))
+    if strategies is not None and not strategies:
+        raise ValueError("one strategy at least is needed")
+    rows = proofread.where(status_true(F.col("status_axon")))
+    if require_dendrite_status:
+        rows = rows.where(status_true(F.col("status_dendrite")))
     if strategies is not None:
         rows = rows.where(F.col("strategy_axon").isin(*strategies))
-    rows = rows.where(coerced_id(F.col("valid_id")) == coerced_id(F.col("pt_root_id")))
+    if require_current_valid_id:
+        rows = rows.where(coerced_id(F.col("valid_id")) == coerced_id(F.col("pt_root_id")))
     rows = rows.withColumn("id", coerced_id(F.col("pt_root_id"))).where("id > 0")
     places = [coerced_double(F.col(f"pt_position_{a}")).alias(a) for a in "xyz"]
     return first_rows(rows.select("id", *places, "strategy_axon").dropna(subset=["x", "y", "z"]), ["id"], ["id", "x", "y", "z", F.asc_nulls_first("strategy_axon")])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,16 +16,43 @@ from latticebits.operators.ranking import ranked
 MAX_LABELS = 50
 
 
+def column_values(df: DataFrame) -> DataFrame:
+    """(k, value, n): how often column k of df (a column that is no list or structure) has a value, as text; null too.
+
+    One pass: tasks count the different values of each column of a batch, so what is shuffled of a column of few values
+    is few rows, and no row is written once a column."""
+    text = lambda n, t: F.hex(F.col(f"`{n}`")) if t == "binary" else F.col(f"`{n}`").cast("double").cast("string") if t == "float" else F.col(f"`{n}`").cast("string")
+    rows = df.select(*[text(n, t).alias(f"c{k}") for k, (n, t) in enumerate(plain_columns(df))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, column in enumerate(batch.columns):
+                values = pc.value_counts(column)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(values), pa.int32()), values.field(0).cast(pa.string()), values.field(1)], ["k", "value", "n"])
+
+    return rows.mapInArrow(count, "k int, value string, n long").groupBy("k", "value").agg(F.sum("n").alias("n"))
+
+
+def plain_columns(df: DataFrame) -> list[tuple[str, str]]:
+    return [(n, t) for n, t in df.dtypes if not t.startswith(("array", "map", "struct", "variant"))]
+
+
 def column_profile(df: DataFrame) -> DataFrame:
-    """(column, type, nulls, non_null, distinct, finite, min, max) of every plain column, in one aggregation."""
-    plain = [(n, t) for n, t in df.dtypes if not t.startswith(("array", "map", "struct", "variant"))]
-    number = lambda n, t: F.col(f"`{n}`").try_cast("double") if t == "string" else F.col(f"`{n}`").cast("double") if t not in ("date", "timestamp", "timestamp_ntz", "binary", "boolean") else F.lit(None).cast("double")
-    parts = []
-    for k, (n, t) in enumerate(plain):
-        x = F.when(is_finite(number(n, t)), number(n, t))
-        parts += [F.count_if(F.col(f"`{n}`").isNull()).alias(f"nulls{k}"), F.count(F.col(f"`{n}`")).alias(f"non_null{k}"), F.count_distinct(F.col(f"`{n}`")).alias(f"distinct{k}"), F.count(x).alias(f"finite{k}"), F.min(x).alias(f"min{k}"), F.max(x).alias(f"max{k}")]
-    rows = [F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), *[F.col(f"{m}{k}").alias(m) for m in ("nulls", "non_null", "distinct", "finite", "min", "max")]) for k, (n, t) in enumerate(plain)]
-    return df.agg(*parts).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """(column, type, nulls, non_null, distinct, finite, min, max) of every plain column, from its values' counts."""
+    plain = plain_columns(df)
+    names = df.sparkSession.createDataFrame([(k, n, t) for k, (n, t) in enumerate(plain)], "k int, column string, type string")
+    if not plain:
+        return names.select("column", "type", *[F.lit(0).cast("bigint").alias(c) for c in ("nulls", "non_null", "distinct", "finite")], *[F.lit(None).cast("double").alias(c) for c in ("min", "max")])
+    numbers = [k for k, (_, t) in enumerate(plain) if t not in ("date", "timestamp", "timestamp_ntz", "binary", "boolean")]
+    x = F.when(F.col("k").isin(*numbers), F.col("value").try_cast("double")) if numbers else F.lit(None).cast("double")
+    finite = F.when(is_finite(x), x)
+    has = F.col("value").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    # zero and minus zero are one double
+    twice = F.count_if(F.col("value") == "-0.0") + F.count_if(F.col("value") == "0.0") - 1
+    both = F.when(F.col("k").isin(*[k for k, (_, t) in enumerate(plain) if t in ("double", "float")]), F.greatest(twice, F.lit(0))).otherwise(0)
+    sums = column_values(df).groupBy("k").agg(F.sum(F.when(~has, F.col("n"))).alias("nulls"), F.sum(F.when(has, F.col("n"))).alias("non_null"), (F.count("value") - both).alias("distinct"), F.sum(F.when(finite.isNotNull(), F.col("n"))).alias("finite"), F.min(finite).alias("min"), F.max(finite).alias("max"))
+    return names.join(sums, "k", "left").select("column", "type", *[zero(F.col(c)).alias(c) for c in ("nulls", "non_null", "distinct", "finite")], "min", "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

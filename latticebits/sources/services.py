@@ -50,10 +50,12 @@ class ExportConfig:
     node_table: str = "proofreading_status"
     type_table: str = "cell_types"
     event_table: str = "synapses"
-    strategies: tuple[str, ...] | None = None
+    strategies: tuple[str, ...] | None = graph.STRICT_STRATEGIES
     max_nodes: int = 500
     max_pairs: int = 5_000_000
     lookup_batch: int = 500
+    require_dendrite_status: bool = True
+    require_current_valid_id: bool = True
 
     def __post_init__(self):
         if self.version <= 0:
@@ -103,11 +105,10 @@ def restricted(df: DataFrame, column: str | None = None, values: list | None = N
 
 def export_graph(client: TableClient, config: ExportConfig) -> graph.Graph:
     """Proofread nodes with one type each, the first max_nodes by id; events among them; all candidate pairs."""
-    nodes = graph.current_nodes(client.table(config.node_table, config.version), strategies=list(config.strategies) if config.strategies else None)
+    nodes = graph.current_nodes(client.table(config.node_table, config.version), strategies=config.strategies, require_dendrite_status=config.require_dendrite_status, require_current_valid_id=config.require_current_valid_id)
     typed = graph.typed_nodes(nodes, client.table(config.type_table, config.version), max_nodes=config.max_nodes).withColumnRenamed("strategy_axon", "strategy")
     events = graph.events_between(graph.clean_events(client.table(config.event_table, config.version)), typed)
-    pairs = graph.labelled_pairs(graph.candidate_pairs(typed, max_pairs=config.max_pairs), graph.pair_counts(events))
-    return graph.Graph(typed, pairs)
+    return graph.Graph(typed, graph.pair_relation(typed, graph.pair_counts(events), max_pairs=config.max_pairs))
 
 
 def export(client: TableClient, config: ExportConfig, path: str) -> dict:

@@ -272,7 +272,8 @@ def test_cli(client, tmp_path, capsys):
     from latticebits import cli
 
     assert cli.main(["doctor", str(tmp_path), "--version", "3"]) == 0
-    assert cli.main(["export", str(tmp_path), "--version", "3", "--output", str(tmp_path / "o")]) == 0
+    assert cli.main(["export", str(tmp_path), "--version", "3", "--strategy", "full", "--output", str(tmp_path / "o")]) == 0
+    assert cli.main(["export", str(tmp_path), "--version", "3", "--output", str(tmp_path / "p")]) == 1  # no node has the strict strategy
     assert cli.main(["validate", str(tmp_path / "o")]) == 0
     assert cli.main(["doctor", str(tmp_path), "--version", "9"]) == 1
     capsys.readouterr()

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from latticebits.plans import binding, catalogue
+from latticebits.plans import binding, catalogue, features  # noqa: F401  features registers more queries
 
 DATA = "/root/testdata/sf0.001"
 SLOW = {"nested_cv_folds", "newton_fit", "damped_fit"}
