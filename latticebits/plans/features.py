@@ -9,7 +9,8 @@ from latticebits.operators import bridge, degree, distortion, graph, models, nes
 from latticebits.plans import binding as b
 from latticebits.plans.binding import table
 from latticebits.plans.catalogue import EDGES, query, rounded
-from latticebits.sources import archive, remote, tables
+from latticebits.sources import archive, members, remote, tables
+from latticebits.streaming import shards
 
 # ---- cleaning and keys
 
@@ -155,3 +156,25 @@ def remote_scan(spark, d):
     """A service's table: the columns and the listed values are asked of the service, splits are partitions."""
     orders = remote.remote_table(spark, remote.FolderService(d), "orders", 1, columns=["o_orderstatus", "o_custkey"])
     return orders.where(F.col("o_orderstatus").isin("F", "O", "P")).groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.sum("o_custkey").alias("custkeys"))
+
+
+@query("SELECT pre AS pre_id, post AS post_id, synapse_count FROM cnt")
+def edge_members_scan(spark, d):
+    """The sorted edges as gzip members, written by a transaction, read back."""
+    path = b.folder(spark)
+    tables.write_sparse_edge_members(b.counts(spark, d), path)
+    return members.read_members(spark, path, "pre_id bigint, post_id bigint, synapse_count bigint")
+
+
+@query("SELECT pre, post, count(*) AS synapse_count FROM (SELECT user_id AS pre, CAST(json_extract_string(props, '$.k') AS BIGINT) AS post FROM events) WHERE pre <= 1000 AND post <= 1000 AND pre > 0 AND post > 0 GROUP BY ALL", bound=False)
+def shard_stream_counts(spark, d):
+    """Events as JSON shards, extracted as a stream of shards, in two calls of which the first stops early."""
+    root, e = b.folder(spark), table(spark, d, "events")
+    post = c.json_identity(F.try_parse_json("props"), "$.k").cast("bigint")
+    line = F.to_json(F.struct(F.struct(F.col("user_id").alias("neuron_id")).alias("pre_synaptic_site"), F.struct(post.alias("neuron_id")).alias("post_synaptic_partner")))
+    e.select(line).repartition(5).write.text(f"{root}/shards")
+    listed, store, ids = shards.listed_shards(f"{root}/shards"), shards.FolderStore(f"{root}/shards"), spark.range(1, 1001)
+    shards.extract(spark, listed, store, ids, f"{root}/out", per_batch=2, most_batches=1)
+    shards.extract(spark, listed, store, ids, f"{root}/out", per_batch=2)
+    counts = shards.extracted_counts(spark, f"{root}/out")
+    return counts.select(F.col("pre").cast("bigint").alias("pre"), F.col("post").cast("bigint").alias("post"), "synapse_count")
