@@ -133,6 +133,24 @@ class Tiles:
 
         return self.scan(measure, "distance double")
 
+    def slab_counts(self) -> DataFrame:
+        """(s_slab, t_slab, n, k): pairs and edges between every two slabs."""
+
+        def count(each: Iterator[tuple[Tile, Panel]]) -> Iterator[pa.RecordBatch]:
+            totals: dict[tuple[int, int], np.ndarray] = {}
+            for tile, p in each:
+                s, t = tile.s["slab"][p.source].astype(np.int64), tile.t["slab"][p.target].astype(np.int64)
+                width = int(t.max(initial=0)) + 1
+                n, k = (np.bincount((s * width + t)[chosen]) for chosen in (slice(None), p.count > 0))
+                for at in np.flatnonzero(n).tolist():
+                    own = divmod(at, width)
+                    totals[own] = totals.get(own, 0) + np.array([n[at], k[at] if at < len(k) else 0])
+            if totals:
+                yield pa.RecordBatch.from_arrays([*[pa.array([o[i] for o in totals], pa.int32()) for i in (0, 1)], *[pa.array([v[i] for v in totals.values()], pa.int64()) for i in (0, 1)]], ["s_slab", "t_slab", "n", "k"])
+
+        sums = self.scan(count, "s_slab int, t_slab int, n long, k long")
+        return sums.groupBy("s_slab", "t_slab").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+
     def binned(self, interior: list[float], train: frozenset[int], test: frozenset[int]) -> DataFrame:
         """(source_type, target_type, bin, n, k, test_n, test_k): pairs and edges with both ends in the train slabs, and
         in the test slabs, by types and distance bin. A task sends one row for each of these that it has met."""

@@ -268,15 +268,9 @@ def gram_pass(spark, d):
     return spark.createDataFrame([tuple(round(float(v), 3) for v in (g[0], g[1], h[0, 0], h[0, 1], h[1, 1]))], "g0 double, g1 double, h00 double, h01 double, h11 double")
 
 
-def near_pairs(spark, d):
-    """Pairs whose edges are kept only where the ends are near, so that geometry tells something."""
-    pairs = b.slabbed(spark, d)
-    (cut,) = models.exact_quantiles(pairs, "distance", [0.25])
-    return pairs.withColumn("connected", F.when(F.col("distance") <= cut, F.col("connected")).otherwise(0))
-
-
 def near_tiles(spark, d):
-    """The same as tiles: the cut is found on distances alone, and labels are cut where they are made."""
+    """Pairs whose edges are kept only where the ends are near, so that geometry tells something: the cut is found on
+    distances alone, and labels are cut where they are made."""
     tiles = b.tiles(spark, d, slabs=True)
     with tiles.kept() as kept:
         (cut,) = models.exact_quantiles(kept.distances(), "distance", [0.25])
@@ -365,8 +359,7 @@ def wins_and_reduction(spark, d):
 
 
 def nested_cv_folds(spark, d):
-    pairs = near_pairs(spark, d).drop("s_slab", "t_slab")
-    result = nested_cv.run(pairs, b.nodes(spark, d))
+    result = nested_cv.run_nodes(b.nodes(spark, d), b.counts(spark, d), near=near_tiles(spark, d).near)
     return rounded(nested_cv.fold_rows(result, spark), "residual_bits", "two_part_bits", digits=2)
 
 
@@ -376,7 +369,7 @@ QUERIES["nested_cv_folds"] = nested_cv_folds
 # ---- bridges
 
 _ROIS = "SELECT l_orderkey, l_linenumber AS session, CAST(l_partkey % 4 AS INTEGER) AS scan_idx, CAST(l_partkey % 3 AS INTEGER) AS field, l_partkey AS mask_id FROM lineitem"
-_UNITS = "SELECT s AS session, CAST(p_partkey % 4 AS INTEGER) AS scan_idx, CAST(p_partkey % 3 AS INTEGER) AS field, p_partkey AS mask_id, p_partkey * 10 + s AS unit_id FROM part, (SELECT 1 AS s UNION ALL SELECT 2 UNION ALL SELECT 3) WHERE p_size > 10"
+_UNITS = "SELECT s AS session, CAST(p_partkey % 4 AS INTEGER) AS scan_idx, CAST(p_partkey % 3 AS INTEGER) AS field, p_partkey AS mask_id, p_partkey * 10 + s AS unit_id FROM part, (SELECT 1 AS s UNION ALL SELECT 2 UNION ALL SELECT 3)"
 
 
 @query(f"SELECT l_orderkey, session, mask_id, unit_id FROM ({_ROIS}) LEFT JOIN (SELECT DISTINCT * FROM ({_UNITS})) USING (session, scan_idx, field, mask_id)", bound=False)
@@ -388,24 +381,24 @@ def roi_unit_join(spark, d):
 
 @query(
     """SELECT unit_id, CASE WHEN n IS NULL THEN 'unmatched' WHEN n = 1 THEN 'accepted' ELSE 'ambiguous' END AS match, CASE WHEN n = 1 THEN root END AS pt_root_id, CASE WHEN n = 1 THEN x END AS x
-       FROM (SELECT p_partkey AS unit_id FROM part) LEFT JOIN (SELECT l_partkey AS unit_id, count(DISTINCT (l_suppkey, l_linenumber)) AS n, min(l_suppkey) AS root, min(l_linenumber) AS x FROM lineitem WHERE l_quantity > 49 GROUP BY 1) USING (unit_id)""",
+       FROM (SELECT p_partkey AS unit_id FROM part) LEFT JOIN (SELECT l_partkey AS unit_id, count(DISTINCT (l_suppkey, l_linenumber)) AS n, min(l_suppkey) AS root, min(l_linenumber) AS x FROM lineitem GROUP BY 1) USING (unit_id)""",
     bound=False,
 )
 def release_match_class(spark, d):
-    release = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("unit_id"), F.col("l_suppkey").alias("pt_root_id"), F.col("l_linenumber").alias("x"))
+    release = table(spark, d, "lineitem").select(F.col("l_partkey").alias("unit_id"), F.col("l_suppkey").alias("pt_root_id"), F.col("l_linenumber").alias("x"))
     units = table(spark, d, "part").select(F.col("p_partkey").alias("unit_id"))
     return bridge.match_class(units, release, identity=("pt_root_id", "x"))
 
 
-@query("SELECT pt_root_id, l_partkey FROM (SELECT l_suppkey * 7 + l_linenumber AS pt_root_id, l_partkey, count(*) OVER (PARTITION BY l_suppkey * 7 + l_linenumber) AS n FROM lineitem WHERE l_quantity > 48) WHERE n = 1", bound=False)
+@query("SELECT pt_root_id, l_partkey FROM (SELECT l_orderkey * 64 + CAST(l_quantity AS BIGINT) AS pt_root_id, l_partkey, count(*) OVER (PARTITION BY l_orderkey, CAST(l_quantity AS BIGINT)) AS n FROM lineitem) WHERE n = 1", bound=False)
 def one_to_one_roots(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 48").select((F.col("l_suppkey") * 7 + F.col("l_linenumber")).alias("pt_root_id"), "l_partkey")
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 64 + F.col("l_quantity").cast("bigint")).alias("pt_root_id"), "l_partkey")
     return bridge.one_to_one(rows)
 
 
-@query("SELECT coalesce(a.id, c.id) AS id, CASE WHEN a.id IS NULL THEN 'right' WHEN c.id IS NULL THEN 'left' ELSE 'both' END AS side FROM (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0) c ON a.id = c.id", bound=False)
+@query("SELECT coalesce(a.id, c.id) AS id, CASE WHEN a.id IS NULL THEN 'right' WHEN c.id IS NULL THEN 'left' ELSE 'both' END AS side FROM (SELECT DISTINCT o_custkey AS id FROM orders) a FULL JOIN (SELECT p_partkey AS id FROM part) c ON a.id = c.id", bound=False)
 def id_overlap(spark, d):
-    return bridge.id_overlap(table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_custkey"), table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey"))
+    return bridge.id_overlap(table(spark, d, "orders").select("o_custkey"), table(spark, d, "part").select("p_partkey"))
 
 
 @query("SELECT count(*) AS ids, sha256(string_agg(CAST(id AS VARCHAR) || chr(10), '' ORDER BY id)) AS sha256 FROM (SELECT DISTINCT o_custkey AS id FROM orders)", bound=False)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticebits.operators import degree, evaluate, graph, logistic, models, ranking, selection, splits, tiles, validate
+from latticebits.operators import degree, evaluate, graph, logistic, models, nested_cv, ranking, selection, splits, tiles, validate
 
 LEVELS = [0, 0.001, 0.1, 0.25, 1 / 3, 0.5, 0.9, 1]
 
@@ -175,3 +175,15 @@ def test_validation_finds_repeats(spark):
     got = found(pairs.unionByName(again).unionByName(stray))
     assert got["repeated_pair"] == n + k - 1 and got["unknown_node"] == k and got["pair_count"] == n + k
     assert found(pairs.limit(0)) == {"pair_count": 70 * 69}
+
+
+def test_nested_runs_of_nodes_are_those_of_pairs(spark):
+    nodes, counts = small_graph(spark, 40, 400)
+    nodes = nodes.na.fill("?")
+    near = 7.0
+    pairs = tiles.tiled(nodes, counts).pairs().withColumn("connected", F.when(F.col("distance") <= near, F.col("connected")).otherwise(0))
+    a, b = nested_cv.run(pairs, nodes), nested_cv.run_nodes(nodes, counts, near=near)
+    assert nested_cv.equivalence(a, b, 1e-6)["max_fold_residual_difference_bits"] < 1e-6
+    for x, y in zip(a["folds"], b["folds"]):
+        assert {k: v for k, v in x.items() if k not in ("predictive", "inner_selection", "degree_oracle")} == {k: v for k, v in y.items() if k not in ("predictive", "inner_selection", "degree_oracle")}
+        assert y["degree_oracle"] == {k: pytest.approx(v) for k, v in x["degree_oracle"].items()}
