@@ -11,8 +11,9 @@ similarity of the plain sets, and meets others by these bands too; for all other
 Two texts are linked where either similarity reaches the threshold: a line that is repeated on one side only must not
 hide a copy, and neither must rare words beside what is repeated on both.
 
-Texts of equal weighted shingles have one signature, whatever stands beside them in a batch, and are one node. In each bucket
-every node is paired with the least node; a bucket is met in parts, so a crowded one is several tasks' work. Pairs
+Texts of equal weighted shingles have one signature, whatever stands beside them in a batch, and are one node. In each
+bucket every node is paired with the least node, first only with that which it meets most often, then with the others
+where they are in another class still; a bucket is met in parts, so a crowded one is several tasks' work. Pairs
 are verified by the exact similarities of their shingles and counts, after their registers say that one may reach the
 threshold. Shingles are told apart by 64-bit keyed hashes of their words: that two different ones of a pair of texts are
 taken for one has a chance of about their number squared over 2**64. Where
@@ -246,11 +247,20 @@ def classes(docs: DataFrame, signatures: DataFrame, similarity: float = SIMILARI
     salts = max(SALTS, -(-nodes.count() // PART_NODES))
     buckets = nodes.select(F.explode("bands").alias("key"), "node")
     shared_buckets = shared.written(_met(buckets, salts, u=(F.min, "node"), last=(F.max, "node")).where("u <> last").select("key", "u", "node"), "near-buckets")
-    pairs = shared_buckets.where("u <> node").select("u", F.col("node").alias("v")).distinct()
+    star = shared.written(shared_buckets.where("u <> node").groupBy("u", F.col("node").alias("v")).agg(F.count("*").alias("n")), "near-star")
     wanted = shared.written(shared_buckets.select("node").distinct().join(nodes.select("node", "h1", "h2", F.coalesce("min_doc", F.lit(_NO_ID)).alias("min_doc")), "node"), "near-wanted")
     sets = shared.written(_sets(docs, wanted), "near-sets")
-    tested = _verified(nodes, sets, pairs, similarity)
+    # first each node with the one it meets most often; then those pairs of the rest that could still join two classes
+    tested = _verified(nodes, sets, star.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v"), similarity)
     comps = components(tested.where("same"))
+    of = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}"))
+    apart = star.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
+    apart = shared.written(apart.join(tested.select("u", "v"), ["u", "v"], "left_anti"), "near-apart")
+    if not apart.isEmpty():
+        more = _verified(nodes, sets, apart, similarity)
+        tested = tested.unionByName(more)
+        if not more.where("same").isEmpty():
+            comps = components(tested.where("same"))
     for turn in range(HUB_ROUNDS + 1):
         placed = shared_buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         placed = shared.written(_met(placed, salts, low=(F.min, "comp"), high=(F.max, "comp")).where("low <> high").select("key", "node", "comp"), "near-mixed")
