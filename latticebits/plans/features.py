@@ -85,11 +85,11 @@ def eligible_neurons(spark, d):
 # ---- bridges and comparisons
 
 
-@query("SELECT l_orderkey AS unit_id, l_partkey AS pt_root_id, l_quantity * 1.0 AS x FROM lineitem WHERE l_linenumber = 3 AND l_suppkey % 5 = 2", bound=False)
+@query("SELECT l_orderkey AS unit_id, l_partkey + 1 AS pt_root_id, l_quantity * 1.0 AS x FROM lineitem WHERE l_linenumber = 3 AND l_suppkey % 5 = 2", bound=False)
 def scan_release_rows(spark, d):
     """The release rows of one scan, from text columns."""
     text = lambda e, n: F.expr(e).cast("string").alias(n)
-    release = table(spark, d, "lineitem").select(text("l_orderkey", "unit_id"), text("l_partkey", "pt_root_id"), F.lit(" T ").alias("valid"), text("l_linenumber", "session"), text("l_suppkey % 5", "scan_idx"), *[text("l_quantity", f"pt_position_{a}") for a in "xyz"])
+    release = table(spark, d, "lineitem").select(text("l_orderkey", "unit_id"), text("l_partkey + 1", "pt_root_id"), F.lit(" T ").alias("valid"), text("l_linenumber", "session"), text("l_suppkey % 5", "scan_idx"), *[text("l_quantity", f"pt_position_{a}") for a in "xyz"])
     return bridge.release_rows(release, 3, 2).select("unit_id", "pt_root_id", "x")
 
 
