@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticebits.functions import columns as c
-from latticebits.operators import bridge, degree, distortion, graph, models, nested_cv, profile, splits
+from latticebits.operators import bridge, degree, distortion, graph, models, nested_cv, profile, ranking, splits
 from latticebits.plans import binding as b
 from latticebits.plans.binding import table
 from latticebits.plans.catalogue import EDGES, query, rounded
@@ -122,8 +122,8 @@ def distance_bins(spark, d):
     """Pairs and edges of every distance bin, counted in the tiles."""
     every = frozenset([0])  # nodes without slabs are all in slab 0
     with b.tiles(spark, d).kept() as kept:
-        edges = models.exact_quantiles(kept.distances(), "distance", [i / 12 for i in range(13)])
-    return b.tiles(spark, d).binned(edges[1:-1], every, frozenset()).groupBy("bin").agg(F.sum("n").alias("pairs"), F.sum("k").alias("edges_there"))
+        counts = ranking.checkpointed(kept.binned(models.tile_edges(kept, 12)[1:-1], every, frozenset()))
+    return counts.groupBy("bin").agg(F.sum("n").alias("pairs"), F.sum("k").alias("edges_there"))
 
 
 @query(
