@@ -413,8 +413,8 @@ def among(tile: Tile, panel: Panel, slabs: frozenset[int] | None) -> np.ndarray
     return s[panel.source] & t[panel.target]
 
 
-def tiled(nodes: DataFrame, counts: DataFrame, *, block: int = BLOCK) -> Tiles:
-    """nodes(id, type, x, y, z, and slab where they have one) and counts(pre, post, synapse_count) as tiles."""
+def tiled(nodes: DataFrame, counts: DataFrame | None = None, *, block: int = BLOCK) -> Tiles:
+    """nodes(id, type, x, y, z, and slab where they have one) and counts(pre, post, synapse_count) as tiles; no edges without counts."""
     spark, n = nodes.sparkSession, nodes.count()
     cores = spark.sparkContext.defaultParallelism
     blocks = max(1, min(n, max(min(ceil(n / block), MAX_BLOCKS), isqrt(8 * cores) + 1)))
@@ -423,6 +423,7 @@ def tiled(nodes: DataFrame, counts: DataFrame, *, block: int = BLOCK) -> Tiles:
     row = F.struct(F.col("id").cast("long").alias("id"), F.col("type").cast("string").alias("type"), *[F.col(a).cast("double").alias(a) for a in "xyz"], slab.alias("slab"))
     packed = nodes.where("id IS NOT NULL").groupBy(of("id").alias("block")).agg(F.array_sort(F.collect_list(row)).alias("r"))  # about `block` nodes, in id order
     side = lambda end, key: packed.select(F.col("block").alias(key), *[F.col(f"r.{c}").alias(f"{end}_{c}") for c in _NODE])
+    counts = spark.createDataFrame([], "pre long, post long, synapse_count long") if counts is None else counts
     edge = F.struct(*[F.col(c).cast("long").alias(c) for c in ("pre", "post", "synapse_count")])
     edges = counts.groupBy(of("pre").alias("i"), of("post").alias("j")).agg(F.collect_list(edge).alias("e"))  # at most a tile's pairs
     edges = edges.select("i", "j", F.col("e.pre").alias("e_pre"), F.col("e.post").alias("e_post"), F.col("e.synapse_count").alias("e_count"))

@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from latticebits.operators import splits, tiles
+from latticebits.functions import columns
+from latticebits.operators import geometry, splits, tiles
 
 
 def graph_of(spark, n, edges=400, spread=9.0, repeat=False):
@@ -50,3 +52,19 @@ def test_distances_and_bins_of_tiles_are_those_of_pairs(spark, monkeypatch, few,
         assert own.pairs("s_slab", same_slab=True).count() == (rows.s_slab == rows.t_slab).sum()
         assert own.quantiles(levels, frozenset([9])) is None
     assert tiles.tiled(nodes.limit(0), counts).quantiles([0.5]) is None
+
+
+def test_geometry_sums_are_made_in_tiles(spark):
+    nodes, _ = graph_of(spark, 60, repeat=True)
+    assert geometry.all_finite(nodes) and not geometry.all_finite(nodes.selectExpr("id", "type", "x", "y", "CAST(NULL AS DOUBLE) AS z"))
+    own = tiles.tiled(nodes, block=20)
+    f = columns.geometry_features("spatial")
+    pairs = own.pairs()
+    want = {r["source"]: r[1:] for r in pairs.groupBy("source").agg(*[F.avg(v).alias(k) for k, v in f.items()]).collect()}
+    got = {r["source"]: r[1:] for r in geometry.source_means(own).select("source", *f).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-9, abs=1e-9)
+    f = columns.geometry_features("relative")
+    want = pairs.agg(*[x for v in f.values() for x in (F.avg(v), F.stddev_pop(v))]).first()
+    assert tuple(geometry.moments(own).first()) == pytest.approx(tuple(want), rel=1e-9, abs=1e-9)
