@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import functions as F
 
 from latticebits.functions import columns as c
@@ -166,15 +168,21 @@ def edge_members_scan(spark, d):
     return members.read_members(spark, path, "pre_id bigint, post_id bigint, synapse_count bigint")
 
 
+#: Events of a shard: more events are more shards, and a batch takes as many as there are cores.
+SHARD_EVENTS = 200_000
+
+
 @query("SELECT pre, post, count(*) AS synapse_count FROM (SELECT user_id AS pre, CAST(json_extract_string(props, '$.k') AS BIGINT) AS post FROM events) WHERE pre <= 1000 AND post <= 1000 AND pre > 0 AND post > 0 GROUP BY ALL", bound=False)
 def shard_stream_counts(spark, d):
     """Events as JSON shards, extracted as a stream of shards, in two calls of which the first stops early."""
     root, e = b.folder(spark), table(spark, d, "events")
     post = c.json_identity(F.try_parse_json("props"), "$.k").cast("bigint")
     line = F.to_json(F.struct(F.struct(F.col("user_id").alias("neuron_id")).alias("pre_synaptic_site"), F.struct(post.alias("neuron_id")).alias("post_synaptic_partner")))
-    e.select(line).repartition(5).write.text(f"{root}/shards")
+    n = max(5, ceil(e.count() / SHARD_EVENTS))
+    per_batch = max(2, min(n // 2, 2 * spark.sparkContext.defaultParallelism))
+    e.select(line).repartition(n).write.text(f"{root}/shards")
     listed, store, ids = shards.listed_shards(f"{root}/shards"), shards.FolderStore(f"{root}/shards"), spark.range(1, 1001)
-    shards.extract(spark, listed, store, ids, f"{root}/out", per_batch=2, most_batches=1)
-    shards.extract(spark, listed, store, ids, f"{root}/out", per_batch=2)
+    shards.extract(spark, listed, store, ids, f"{root}/out", per_batch=per_batch, most_batches=1)
+    shards.extract(spark, listed, store, ids, f"{root}/out", per_batch=per_batch)
     counts = shards.extracted_counts(spark, f"{root}/out")
     return counts.select(F.col("pre").cast("bigint").alias("pre"), F.col("post").cast("bigint").alias("post"), "synapse_count")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticebits.functions import columns
-from latticebits.operators import geometry, splits, tiles
+from latticebits.operators import geometry, splits, tiles, validate
+from latticebits.plans import features
 
 
 def graph_of(spark, n, edges=400, spread=9.0, repeat=False):
@@ -68,3 +69,22 @@ def test_geometry_sums_are_made_in_tiles(spark):
     f = columns.geometry_features("relative")
     want = pairs.agg(*[x for v in f.values() for x in (F.avg(v), F.stddev_pop(v))]).first()
     assert tuple(geometry.moments(own).first()) == pytest.approx(tuple(want), rel=1e-9, abs=1e-9)
+
+
+def test_validation_does_not_shuffle_pairs_for_their_nodes(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes, counts = graph_of(spark, 30)
+        found = validate.violations(nodes, tiles.tiled(nodes, counts).pairs())
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shards_grow_with_events(spark, monkeypatch):
+    seen, listed = [], features.shards.listed_shards
+    monkeypatch.setattr(features, "SHARD_EVENTS", 100)
+    monkeypatch.setattr(features.shards, "listed_shards", lambda folder: seen.append(listed(folder)) or seen[-1])
+    features.shard_stream_counts(spark, "/root/testdata/sf0.001")
+    assert len(seen[0]) == 10  # of 1,000 events
