@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticebits.functions import columns
-from latticebits.operators import geometry, splits, tiles, validate
+from latticebits.operators import geometry, graph, splits, tiles, validate
 from latticebits.plans import features
 
 
@@ -88,3 +88,13 @@ def test_shards_grow_with_events(spark, monkeypatch):
     monkeypatch.setattr(features.shards, "listed_shards", lambda folder: seen.append(listed(folder)) or seen[-1])
     features.shard_stream_counts(spark, "/root/testdata/sf0.001")
     assert len(seen[0]) == 10  # of 1,000 events
+
+
+@pytest.mark.parametrize("few", [200_000, 10])
+def test_tasks_of_the_pair_table_are_as_many_as_its_pairs_ask_for(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "TASK_PAIRS", 400)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", few)
+    pairs = graph.candidate_pairs(graph_of(spark, 100)[0])
+    sizes = pairs.groupBy(F.spark_partition_id().alias("task")).count().toPandas()["count"]
+    assert sizes.sum() == 100 * 99 and sizes.max() <= 1_500 and pairs.rdd.getNumPartitions() >= 25
+    assert pairs.select("source", "target").distinct().count() == 100 * 99
